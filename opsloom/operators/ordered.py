@@ -43,8 +43,11 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
                  totals: Mapping[str, Column],
                  carried: Callable[[WindowSpec], Mapping[str, Column]],
                  final: Mapping[str, Column], newest_first: bool = False) -> DataFrame:
-    """Local window per slice, totals per slice, carry across slices, then ``final`` columns."""
-    sliced = df.withColumn("_slice", slice_col)
+    """Local window per slice, totals per slice, carry across slices, then ``final`` columns.
+
+    A frame that already has ``_slice`` keeps it, so consecutive scans share one shuffle.
+    """
+    sliced = df if "_slice" in df.columns else df.withColumn("_slice", slice_col)
     window = Window.partitionBy(*keys, "_slice").orderBy(*_sort(order, newest_first))
     rows = sliced.withColumns(dict(local(window)))
     per_slice = sliced.groupBy(*keys, "_slice").agg(*[c.alias(n) for n, c in totals.items()])
