@@ -69,8 +69,8 @@ def upsert(state: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     rank = F.struct("updated_at", "seq")
     body = [c for c in both.columns if c not in (key, "created_at")]
     last_delete = F.max(F.when(F.col("deleted"), rank))
-    dropped = both.groupBy(key).agg(last_delete.alias("_gone"))
-    alive = (both.join(dropped, key)
+    dropped = both.groupBy(key).agg(last_delete.alias("_gone")).filter("_gone IS NOT NULL")
+    alive = (both.join(dropped, key, "left")
              .filter(F.col("_gone").isNull() | (F.struct("updated_at", "seq") > F.col("_gone"))))
     return (alive.groupBy(key)
             .agg(F.max_by(F.struct(*body), rank).alias("_b"),
@@ -96,7 +96,7 @@ def _cutoff(days: int, now):
 
 def live_cache(cache: DataFrame, now, pattern: str | None = None) -> DataFrame:
     """Entries that have not expired, optionally keys LIKE ``pattern``."""
-    lives = F.unix_micros("written_at") + F.col("ttl_s") * 1_000_000
+    lives = F.unix_micros("written_at") + F.col("ttl_s").cast("long") * 1_000_000
     out = cache.filter(lives > F.unix_micros(F.lit(now).cast("timestamp")))
     return out.filter(F.col("key").like(pattern)) if pattern else out
 

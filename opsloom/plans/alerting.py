@@ -275,12 +275,12 @@ def s18(spark, d):
 
 @query("j10_missing_targets", """SELECT s_name AS target, n_name AS service FROM supplier
 JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey NOT IN (
-  SELECT l_suppkey FROM lineitem WHERE l_shipdate > TIMESTAMP '2001-11-15' AND l_shipdate <= TIMESTAMP '2001-12-15')""")
+  SELECT l_suppkey FROM lineitem WHERE l_shipdate > TIMESTAMP '2000-01-01' AND l_shipdate <= TIMESTAMP '2000-01-04')""")
 def j10(spark, d):
     targets = model.table(spark, d, "supplier").join(
         model.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", F.col("s_name").alias("target"), F.col("n_name").alias("service"))
     seen = model.table(spark, d, "lineitem").filter(
-        "l_shipdate > timestamp_ntz'2001-11-15' AND l_shipdate <= timestamp_ntz'2001-12-15'"
+        "l_shipdate > timestamp_ntz'2000-01-01' AND l_shipdate <= timestamp_ntz'2000-01-04'"
     ).select(F.col("l_suppkey").alias("s_suppkey"))
     return targets.join(seen, "s_suppkey", "left_anti").select("target", "service")
