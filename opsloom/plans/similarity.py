@@ -1,0 +1,197 @@
+"""J12, J14, D11, D12, D16, D17, T03 on the supplied tables."""
+
+from pyspark.sql import functions as F
+
+from opsloom import model
+from opsloom.functions import text
+from opsloom.model import FILES_SQL
+from opsloom.operators import catalog, graph, search, similar
+from opsloom.plans.documents import WORDS_SQL
+from opsloom.plans.registry import query
+from opsloom.plans.state_quality import files_with_entities
+
+
+def vectors(spark, d, name):
+    return model.table(spark, d, "embeddings").select(F.col("vec_id").alias(name), "embedding")
+
+
+@query("j12_knn_l2", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, list_distance(a.e, b.e) AS distance
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), base_id) AS rank FROM p)
+SELECT query_id, base_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+def j12(spark, d):
+    return similar.knn(vectors(spark, d, "query_id"), vectors(spark, d, "base_id"), 5).withColumn(
+        "distance", F.round("distance", 6))
+
+
+@query("j12_knn_cosine", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, 1 - list_cosine_similarity(a.e, b.e) AS distance
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), base_id) AS rank FROM p)
+SELECT query_id, base_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+def j12b(spark, d):
+    out = similar.knn(vectors(spark, d, "query_id"), vectors(spark, d, "base_id"), 5, "cosine",
+                      block_bytes=1 << 20)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+SHINGLE_SQL = f"""s AS (SELECT id, list_distinct(list_transform(CASE WHEN len(w) >= 3
+  THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  ELSE [array_to_string(w, ' ')] END,
+  lambda t: CAST(concat('0x', substring(md5(t), 1, 8)) AS BIGINT) % {similar.PRIME})) AS set
+  FROM (SELECT min(doc_id) AS id, {WORDS_SQL} AS w FROM documents GROUP BY text))"""
+SIG_SQL = ", ".join(f"list_min(list_transform(set, lambda h: (h * {a} + {b}) % {similar.PRIME}))"
+                    for a, b in similar.coefficients(similar.BANDS * similar.ROWS))
+
+
+@query("d11_related", f"""WITH {SHINGLE_SQL}, g AS MATERIALIZED (SELECT id, set, [{SIG_SQL}] AS sig FROM s),
+m AS MATERIALIZED (SELECT id, md5(array_to_string(sig, ',')) AS place, b AS band,
+  md5(array_to_string(sig[b * 4 + 1 : b * 4 + 4], ',')) AS bucket FROM g, range({similar.BANDS}) t(b)),
+star AS (SELECT min(id) OVER (PARTITION BY band, bucket) AS src, id AS dst FROM m),
+chain AS (SELECT lag(id) OVER (PARTITION BY band, bucket ORDER BY place, id) AS p, id FROM m),
+pairs AS (SELECT src, dst FROM star WHERE src < dst UNION
+  SELECT least(p, id), greatest(p, id) FROM chain WHERE p IS NOT NULL),
+j AS (SELECT src, dst, len(list_intersect(a.set, b.set)) AS n, len(a.set) + len(b.set) AS t
+  FROM pairs JOIN g a ON a.id = src JOIN g b ON b.id = dst),
+c AS (SELECT min(doc_id) OVER (PARTITION BY text) AS src, doc_id AS dst FROM documents)
+SELECT src, dst, round(n / (t - n), 6) AS score FROM j WHERE n / (t - n) >= 0.6
+UNION ALL SELECT src, dst, 1.0 FROM c WHERE src < dst""")
+def d11(spark, d):
+    return similar.related(model.files(spark, d).select("file_id", "text"), 0.6).withColumn(
+        "score", F.round("score", 6))
+
+
+@query("d12_phash_pairs", f"""WITH w AS (SELECT doc_id, unnest({WORDS_SQL}) AS w FROM documents),
+c AS (SELECT doc_id, CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 64 AS cell,
+  count(*) AS n FROM w GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT doc_id, (SELECT string_agg(CASE WHEN coalesce(c.n, 0) > t / 64.0 THEN '1' ELSE '0' END, ''
+  ORDER BY r.cell) FROM range(64) r(cell) LEFT JOIN c ON c.doc_id = d.doc_id AND c.cell = r.cell) AS bits
+  FROM (SELECT doc_id, len({WORDS_SQL}) AS t FROM documents) d),
+f AS MATERIALIZED (SELECT bits, min(doc_id) AS first FROM h GROUP BY 1)
+SELECT f.first AS a, h.doc_id AS b, 0 AS distance FROM h JOIN f USING (bits) WHERE h.doc_id > f.first
+UNION ALL SELECT x.first, y.first, hamming(x.bits, y.bits) FROM f x JOIN f y ON x.first < y.first
+WHERE hamming(x.bits, y.bits) <= 5""")
+def d12(spark, d):
+    f = model.files(spark, d).select("file_id", text.average_hash(
+        text.term_vector(text.words("text"))).alias("phash"))
+    return similar.phash_pairs(f, 5)
+
+
+def search_table(spark, d):
+    """Documents with the first sentence as title and the whole text as summary."""
+    f = model.files(spark, d)
+    return f.select(F.col("file_id").alias("id"),
+                    F.split_part("text", F.lit("."), F.lit(1)).alias("title"), "file_name",
+                    F.col("text").alias("summary"), F.array("lang", "source").alias("tags"),
+                    "file_size", "lang")
+
+
+QUERY = "whose tion ertion and"
+SEARCH_SQL = f"""WITH d AS (SELECT doc_id AS id, n_chars AS file_size, lang,
+  [split_part(text, '.', 1), NULL, text, lang || ' ' || source] AS bodies FROM documents
+  WHERE n_chars > 100 AND lang <> 'de'),
+b AS (SELECT id, unnest(range(4)) AS field_rank, unnest(bodies) AS body FROM d),
+f AS (SELECT id, field_rank, list_filter(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+'),
+  lambda w: w <> '') AS w FROM b WHERE body IS NOT NULL),
+idx AS (SELECT id, field_rank, unnest(range(len(w))) AS pos, unnest(w) AS term FROM f),
+q AS (SELECT unnest(range(4)) AS word_no, unnest(['whose','tion','ertion','and']) AS word),
+voc AS (SELECT term, word_no, CASE WHEN term = word THEN 0 ELSE 1 END AS typos
+  FROM (SELECT DISTINCT term FROM idx) JOIN q ON abs(length(term) - length(word)) <= 1
+  AND levenshtein(term, word) <= 1),
+h AS (SELECT idx.*, word_no, typos FROM idx JOIN voc USING (term)),
+p AS (SELECT *, last_value(CASE WHEN word_no = 0 THEN pos END IGNORE NULLS) OVER w AS p0,
+  last_value(CASE WHEN word_no = 1 THEN pos END IGNORE NULLS) OVER w AS p1,
+  last_value(CASE WHEN word_no = 2 THEN pos END IGNORE NULLS) OVER w AS p2,
+  last_value(CASE WHEN word_no = 3 THEN pos END IGNORE NULLS) OVER w AS p3
+  FROM h WINDOW w AS (PARTITION BY id, field_rank ORDER BY pos, word_no ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT id, min(field_rank) AS attribute,
+  least(8, coalesce(min(CASE WHEN word_no IN (0, 1) THEN abs(p0 - p1) END), 8)) +
+  least(8, coalesce(min(CASE WHEN word_no IN (1, 2) THEN abs(p1 - p2) END), 8)) +
+  least(8, coalesce(min(CASE WHEN word_no IN (2, 3) THEN abs(p2 - p3) END), 8)) AS proximity FROM p GROUP BY 1),
+m AS (SELECT id, word_no, min(typos) AS typos FROM h GROUP BY 1, 2),
+k AS (SELECT id, count(*) AS words, sum(typos)::BIGINT AS typos, count(*) FILTER (typos = 0) AS exact FROM m GROUP BY 1),
+hits AS (SELECT id, words, typos, proximity, attribute, exact, file_size FROM k JOIN a USING (id) JOIN d USING (id)
+ORDER BY words DESC, typos, proximity, attribute, file_size DESC, exact DESC, id LIMIT 1000)"""
+
+
+@query("d16_search", SEARCH_SQL + """ SELECT id, words, typos, proximity,
+  CASE attribute WHEN 1 THEN 1 ELSE attribute END AS attribute, exact, file_size FROM hits""")
+def d16(spark, d):
+    return run_search(spark, d)
+
+
+def run_search(spark, d, **page):
+    table = search_table(spark, d).drop("file_name")
+    return search.search(table, QUERY, "file_size > 100 AND lang <> 'de'", [F.desc("file_size")],
+                         **page).select("id", "words", "typos", "proximity", "attribute", "exact",
+                                        "file_size")
+
+
+@query("t03_search_page", SEARCH_SQL + """ SELECT id, words, typos FROM hits
+ORDER BY words DESC, typos, proximity, attribute, file_size DESC, exact DESC, id LIMIT 20 OFFSET 40""")
+def t03(spark, d):
+    return run_search(spark, d, limit=20, offset=40).select("id", "words", "typos")
+
+
+@query("d17_vector_search", """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS base_id, 1 - list_cosine_similarity(a.e, b.e) AS distance
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND b.label < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), base_id) AS rank FROM p)
+SELECT query_id, base_id, rank FROM r WHERE rank <= 3""")
+def d17(spark, d):
+    docs = model.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return search.vector_search(docs, vectors(spark, d, "query_id"), 3, "label < 5").select(
+        "query_id", "base_id", "rank")
+
+
+@query("d17_hybrid", SEARCH_SQL + """, kw AS (SELECT id, row_number() OVER (ORDER BY words DESC, typos,
+  proximity, attribute, file_size DESC, exact DESC, id) AS rank FROM hits),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+dist AS (SELECT b.vec_id AS id, 1 - list_cosine_similarity(a.e, b.e) AS distance FROM v a JOIN v b
+  ON a.vec_id = 0 AND b.vec_id <> 0),
+vr AS (SELECT id, row_number() OVER (ORDER BY round(distance, 9), id) AS rank FROM dist
+  ORDER BY rank LIMIT 100)
+SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM vr)
+GROUP BY id ORDER BY score DESC, id LIMIT 50""")
+def d17b(spark, d):
+    kw = search.numbered(run_search(spark, d), [F.desc("words"), F.col("typos"), F.col("proximity"),
+                                                F.col("attribute"), F.desc("file_size"),
+                                                F.desc("exact"), F.col("id")])
+    seed = vectors(spark, d, "query_id").filter("query_id = 0")
+    docs = model.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    near = search.vector_search(docs, seed, 100).select(F.col("base_id").alias("id"), "rank")
+    return search.hybrid(kw, near, 50)
+
+
+def edges(spark, d):
+    return catalog.graph_tables(files_with_entities(spark, d))["edges"]
+
+
+EDGES_SQL = f"""WITH {FILES_SQL}, edges AS (
+  SELECT 'File:' || file_id AS src, 'Tag:' || lang AS dst, 'TAGGED' AS rel FROM files
+  UNION SELECT 'File:' || file_id, 'Tag:' || source, 'TAGGED' FROM files
+  UNION SELECT 'File:' || file_id, 'Category:' || category, 'BELONGS_TO' FROM files
+  UNION SELECT 'File:' || file_id, 'Entity:organization:' || source, 'MENTIONS' FROM files)"""
+
+
+@query("j14_cotagged", EDGES_SQL + """ SELECT a.dst AS tag_a, b.dst AS tag_b, count(*) AS shared
+FROM edges a JOIN edges b ON a.src = b.src AND a.dst < b.dst AND a.rel = 'TAGGED' AND b.rel = 'TAGGED'
+GROUP BY 1, 2 HAVING count(*) >= 2""")
+def j14(spark, d):
+    return graph.cotagged(edges(spark, d), 2)
+
+
+@query("j14_neighbours", EDGES_SQL + """ SELECT src AS node_id, dst AS neighbour, rel FROM edges
+  WHERE src LIKE 'File:%7' UNION SELECT dst, src, rel FROM edges WHERE dst IN ('Tag:fr', 'Category:video')""")
+def j14b(spark, d):
+    e = edges(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    seeds = nodes.filter("node_id LIKE 'File:%7' OR node_id IN ('Tag:fr', 'Category:video')")
+    return graph.neighbours(e, seeds)
+
+
+@query("j14_degrees", EDGES_SQL + """ SELECT node_id, rel, count(*) AS degree FROM (
+  SELECT src AS node_id, rel FROM edges UNION ALL SELECT dst, rel FROM edges) GROUP BY 1, 2""")
+def j14c(spark, d):
+    return graph.degrees(edges(spark, d))
