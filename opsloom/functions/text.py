@@ -20,22 +20,11 @@ def hash_number(text: Column, digits: int = 8) -> Column:
     return F.conv(F.left(F.md5(text), F.lit(digits)), 16, 10).cast("long")
 
 
-def term_vector(tokens: Column, dims: int = DIMS) -> Column:
-    """Counts of tokens per md5 bucket: a hashed term vector."""
-    buckets = F.transform(tokens, lambda w: F.pmod(hash_number(w), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(
-        F.filter(buckets, lambda x: x == b)))
-
-
-def average_hash(vector: Column) -> Column:
-    """64-bit hash of a 64-cell profile: a bit is set where the cell is above the mean."""
-    mean = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x) / F.size(vector)
-    bits = F.array_join(F.transform(vector, lambda x: F.when(x > mean, "1").otherwise("0")), "")
-    return F.conv(bits, 2, -10).cast("long")
-
-
 def shingles(tokens: Column, n: int = 3) -> Column:
-    """Distinct runs of ``n`` words; a shorter text is one shingle."""
+    """Distinct runs of ``n`` words; a shorter text is one shingle.
+
+    ``tokens`` must be a column: an expression would be computed again for every run.
+    """
     runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
                        lambda i: F.array_join(F.slice(tokens, i, n), " "))
     return F.array_distinct(F.when(F.size(tokens) >= n, runs).otherwise(

@@ -121,8 +121,10 @@ def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body:
               .select(F.col("_first").alias("src"), F.col(key).alias("dst"),
                       F.lit(1.0).alias("score")))
     uniques = src.join(firsts, "_h", "left").filter(F.col(key) == F.col("_first"))
-    hashed = uniques.select(F.col(key).alias("id"), F.transform(
-        text.shingles(text.words(body)), lambda s: text.hash_number(s) % PRIME).alias("set"))
+    runs = text.shingles(F.col("_w"))
+    hashed = uniques.select(F.col(key).alias("id"), text.words(body).alias("_w")).select(
+        "id", F.array_distinct(F.transform(runs, lambda s: text.hash_number(s) % PRIME))
+        .alias("set"))
     signed = hashed.select("id", signature(F.col("set"), bands, rows).alias("sig"))
     cells = [F.struct(F.lit(b).alias("band"), F.md5(F.array_join(
         F.slice("sig", b * rows + 1, rows).cast("array<string>"), ",")).alias("bucket"))
@@ -139,8 +141,8 @@ def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body:
     chain = near.filter("_p IS NOT NULL").select(
         F.least("_p", "id").alias("src"), F.greatest("_p", "id").alias("dst"))
     pairs = star.unionByName(chain).distinct()
-    left = hashed.select(F.col("id").alias("src"), F.array_distinct("set").alias("_a"))
-    right = hashed.select(F.col("id").alias("dst"), F.array_distinct("set").alias("_b"))
+    left = hashed.select(F.col("id").alias("src"), F.col("set").alias("_a"))
+    right = hashed.select(F.col("id").alias("dst"), F.col("set").alias("_b"))
     scored = (pairs.join(left, "src").join(right, "dst")
               .select("src", "dst", jaccard(F.col("_a"), F.col("_b")).alias("score"))
               .filter(F.col("score") >= threshold))
@@ -149,6 +151,18 @@ def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body:
 
 # ---------------------------------------------------------------- 64-bit hashes
 
+def average_hash(docs: DataFrame, key: str = "file_id", body: str = "text") -> DataFrame:
+    """64-bit hash per text: words fall into 64 md5 cells, a bit is set for a cell above the mean."""
+    cell = F.pmod(text.hash_number(F.col("_t")), F.lit(text.DIMS)).cast("int")
+    counts = (docs.select(key, F.explode_outer(text.words(body)).alias("_t"))
+              .groupBy(key, cell.alias("_cell")).agg(F.count("_t").alias("_n")))
+    total = F.sum("_n").over(Window.partitionBy(key))
+    bit = F.when(F.col("_n") * text.DIMS > F.col("_all"), F.expr("shiftleft(1L, _cell)"))
+    return (counts.withColumn("_all", total).groupBy(key)
+            .agg(F.coalesce(F.bit_or(bit), F.lit(0).cast("long")).alias("phash")))
+
+
+
 def _cells(width: int, parts: int) -> list[tuple[int, int]]:
     """(first bit, length) of ``parts`` nearly equal runs of ``width`` bits."""
     step, extra, at, out = width // parts, width % parts, 0, []

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from opsloom import model
-from opsloom.functions import text
 from opsloom.model import FILES_SQL
 from opsloom.operators import catalog, graph, search, similar
 from opsloom.plans.documents import WORDS_SQL
@@ -65,17 +64,16 @@ def d11(spark, d):
 @query("d12_phash_pairs", f"""WITH w AS (SELECT doc_id, unnest({WORDS_SQL}) AS w FROM documents),
 c AS (SELECT doc_id, CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 64 AS cell,
   count(*) AS n FROM w GROUP BY 1, 2),
-h AS MATERIALIZED (SELECT doc_id, (SELECT string_agg(CASE WHEN coalesce(c.n, 0) > t / 64.0 THEN '1' ELSE '0' END, ''
-  ORDER BY r.cell) FROM range(64) r(cell) LEFT JOIN c ON c.doc_id = d.doc_id AND c.cell = r.cell) AS bits
-  FROM (SELECT doc_id, len({WORDS_SQL}) AS t FROM documents) d),
+a AS (SELECT doc_id, map_from_entries(list((cell, n))) AS m, sum(n) AS t FROM c GROUP BY 1),
+h AS MATERIALIZED (SELECT d.doc_id, CASE WHEN t IS NULL THEN repeat('0', 64) ELSE array_to_string(
+  list_transform(range(64), lambda i: CASE WHEN coalesce(m[i], 0) * 64 > t THEN '1' ELSE '0' END), '')
+  END AS bits FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id),
 f AS MATERIALIZED (SELECT bits, min(doc_id) AS first FROM h GROUP BY 1)
 SELECT f.first AS a, h.doc_id AS b, 0 AS distance FROM h JOIN f USING (bits) WHERE h.doc_id > f.first
 UNION ALL SELECT x.first, y.first, hamming(x.bits, y.bits) FROM f x JOIN f y ON x.first < y.first
 WHERE hamming(x.bits, y.bits) <= 5""")
 def d12(spark, d):
-    f = model.files(spark, d).select("file_id", text.average_hash(
-        text.term_vector(text.words("text"))).alias("phash"))
-    return similar.phash_pairs(f, 5)
+    return similar.phash_pairs(similar.average_hash(model.files(spark, d)), 5)
 
 
 def search_table(spark, d):
@@ -98,7 +96,7 @@ idx AS (SELECT id, field_rank, unnest(range(len(w))) AS pos, unnest(w) AS term F
 q AS (SELECT unnest(range(4)) AS word_no, unnest(['whose','tion','ertion','and']) AS word),
 voc AS (SELECT term, word_no, CASE WHEN term = word THEN 0 ELSE 1 END AS typos
   FROM (SELECT DISTINCT term FROM idx) JOIN q ON abs(length(term) - length(word)) <= 1
-  AND levenshtein(term, word) <= 1),
+  AND levenshtein(regexp_replace(term, '[^a-z]', '?', 'g'), word) <= 1),
 h AS (SELECT idx.*, word_no, typos FROM idx JOIN voc USING (term)),
 p AS (SELECT *, last_value(CASE WHEN word_no = 0 THEN pos END IGNORE NULLS) OVER w AS p0,
   last_value(CASE WHEN word_no = 1 THEN pos END IGNORE NULLS) OVER w AS p1,
