@@ -78,11 +78,10 @@ def s06(spark, d):
     path = fresh_dir(spark, "sidecars")
     f = model.files(spark, d).select("source", "file_id", "file_size", "priority")
     f.write.option("compression", "none").partitionBy("source").json(path)
-    raw = spark.read.schema("file_id LONG, file_size LONG, priority STRING").option(
-        "recursiveFileLookup", "true").json(path)
-    named = raw.select("file_size", F.regexp_extract(
-        F.col("_metadata.file_path"), "/source=([^/]+)/", 1).alias("source"))
-    return named.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"))
+    side = src_files.read_sidecars(spark, path, "file_id LONG, file_size LONG, priority STRING",
+                                   "*.json", "/source=([^/]+)/", multiline=False)
+    return side.groupBy(F.col("path").alias("source")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("file_size").alias("bytes"))
 
 
 @query("s07_report_csv", """WITH r AS (SELECT event_type AS name, count(*) AS n, max(value) AS hi

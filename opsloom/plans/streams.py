@@ -1,0 +1,159 @@
+"""M01-M10 over the supplied tables, drained with ``availableNow``."""
+
+from pyspark.sql import functions as F
+
+from opsloom import model
+from opsloom.model import FILES_SQL, SAMPLES_SQL
+from opsloom.plans.alerting import HELD_SQL, RULES, rules
+from opsloom.plans.registry import ORACLES, query
+from opsloom.session import fresh_dir
+from opsloom.streaming import jobs
+
+
+def sample_stream(spark, d):
+    return model.as_samples(jobs.file_stream(spark, d, model.EVENTS, "events.parquet"))
+
+
+@query("m01_stream_samples", f"""WITH {SAMPLES_SQL} SELECT collector, strftime(ts, '%Y-%m-%d') AS day,
+  count(*) AS n, max(us) AS last_us FROM samples GROUP BY 1, 2""")
+def m01(spark, d):
+    out, check = fresh_dir(spark, "stream"), fresh_dir(spark, "stream-checkpoint")
+    jobs.ingest_stream(spark, d, model.EVENTS, out, check, glob="events.parquet").awaitTermination()
+    back = spark.read.parquet(out)
+    return back.groupBy("collector", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us"))
+
+
+# Windows whose end the watermark has passed: max(ts) in milliseconds minus the allowed delay.
+CLOSED = "(SELECT (max(us) // 1000) * 1000 - {delay} FROM samples)"
+
+
+@query("m02_stream_health", f"""WITH {SAMPLES_SQL}, w AS (SELECT name, value, us,
+  us - us % 1800000000 - s * 1800000000 AS start_us FROM samples, range(2) t(s))
+SELECT name, start_us, start_us + 3600000000 AS end_us, count(*) AS n, arg_max(value, us) AS current,
+  round(avg(value), 6) AS avg, max(value) AS max FROM w GROUP BY 1, 2
+HAVING start_us + 3600000000 <= {CLOSED.format(delay=600000000)}""")
+def m02(spark, d):
+    out = jobs.drain(jobs.stream_health(sample_stream(spark, d), "1 hour", "30 minutes"), "health")
+    return out.withColumn("avg", F.round("avg", 6))
+
+
+@query("m03_stream_summary", ORACLES["a01_metric_summary"])
+def m03(spark, d):
+    updates = jobs.drain(jobs.stream_summary(sample_stream(spark, d)), "summary", "update")
+    return jobs.newest_batch(updates, ["collector", "name"]).withColumn(
+        "avg_value", F.round("avg_value", 6))
+
+
+@query("m04_stream_threshold", ORACLES["w05_threshold_hold"])
+def m04(spark, d):
+    out = jobs.drain(jobs.stream_threshold(sample_stream(spark, d), rules(spark)), "threshold")
+    return out.select("rule", "sample_id", "violated", "run_start", "fires")
+
+
+@query("m05_with_lateness", f"""WITH {SAMPLES_SQL} SELECT name, us - us % 3600000000 AS start_us,
+  count(*) AS n FROM samples GROUP BY 1, 2
+HAVING start_us + 3600000000 <= {CLOSED.format(delay=168 * 3600 * 1000000)}""")
+def m05(spark, d):
+    late = jobs.with_lateness(sample_stream(spark, d))
+    hourly = late.groupBy(F.window("ts", "1 hour").alias("w"), "name").agg(
+        F.count(F.lit(1)).alias("n")).select("name", F.unix_micros("w.start").alias("start_us"), "n")
+    return jobs.drain(hourly, "late")
+
+
+def marks(spark, d):
+    """Violations of three rules and the samples that resolve them."""
+    s = sample_stream(spark, d)
+    r = rules(spark).filter("rule <> 'flat_error'").select("rule", "metric", "threshold",
+                                                           "comparison", "cooldown_s")
+    bad = s.join(r, s["name"] == r["metric"]).filter(
+        "(comparison = 'greater' AND value > threshold) OR (comparison = 'less' AND value < threshold)")
+    names = [(x[0], x[6]) for x in RULES if x[0] != "flat_error"]
+    ends = s.filter("name = 'signup' AND value > 150").withColumn("_r", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("rule"), F.lit(c).alias("cooldown_s")) for n, c in names])))
+    cols = ["us", "sample_id"]
+    return bad.select("rule", *cols, F.lit(0).alias("resolve"), "value", "cooldown_s").unionByName(
+        ends.select("_r.rule", *cols, F.lit(1).alias("resolve"), "value", "_r.cooldown_s"))
+
+
+EPISODE_MARKS = HELD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, ev AS (
+  SELECT rule, us, sample_id, 0 AS resolve, value, cooldown_s FROM held
+    WHERE violated AND rule <> 'flat_error'
+  UNION ALL SELECT r.rule, s.us, s.sample_id, 1, NULL, 0 FROM samples s, rules r
+    WHERE s.name = 'signup' AND s.value > 150 AND r.rule <> 'flat_error'),
+n AS (SELECT *, sum(resolve) OVER (PARTITION BY rule ORDER BY us, sample_id
+  ROWS UNBOUNDED PRECEDING) - resolve AS episode FROM ev)"""
+
+
+@query("m06_stream_episodes", EPISODE_MARKS + """ SELECT rule, min(us) FILTER (resolve = 0) AS opened_us,
+  max(us) FILTER (resolve = 1) AS us, count(*) FILTER (resolve = 0) AS fires,
+  max(value) FILTER (resolve = 0) AS peak_value FROM n GROUP BY rule, episode
+HAVING count(*) FILTER (resolve = 0) > 0 AND count(*) FILTER (resolve = 1) > 0""")
+def m06(spark, d):
+    out = jobs.drain(jobs.stream_episodes(marks(spark, d), ["rule"]), "episodes")
+    return out.filter("kind = 'resolved'").select("rule", "opened_us", "us", "fires", "peak_value")
+
+
+@query("m06_stream_notifications", EPISODE_MARKS + """, v2 AS (SELECT rule, us, cooldown_s FROM ev WHERE resolve = 0),
+sent(rule, us, cooldown_s) AS (SELECT rule, min(us), any_value(cooldown_s) FROM v2 GROUP BY rule
+  UNION ALL SELECT s.rule, (SELECT min(v2.us) FROM v2 WHERE v2.rule = s.rule
+    AND v2.us > s.us + s.cooldown_s::BIGINT * 1000000), s.cooldown_s FROM sent s WHERE s.us IS NOT NULL)
+SELECT rule, us FROM sent WHERE us IS NOT NULL""")
+def m06b(spark, d):
+    out = jobs.drain(jobs.stream_episodes(marks(spark, d), ["rule"]), "episodes")
+    return out.filter("kind = 'notify'").select("rule", "us")
+
+
+@query("m07_stream_pattern", ORACLES["w04_pattern_rule"])
+def m07(spark, d):
+    log = sample_stream(spark, d)
+    return jobs.drain(jobs.stream_pattern(log, ["name"], F.col("labels")["k"].rlike("^[1-5]"), 3,
+                                          3600), "pattern").select("sample_id", "matches", "fires")
+
+
+@query("m07_stream_rate", ORACLES["w02_rate_rule"])
+def m07b(spark, d):
+    out = jobs.drain(jobs.stream_rate(sample_stream(spark, d), ["name"], 0.02, 7200), "rate")
+    return out.select("name", "sample_id", F.round("rate", 9).alias("rate"), "fires")
+
+
+DOCUMENTS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
+
+
+@query("m08_stream_dedup", f"WITH {FILES_SQL} SELECT DISTINCT md5_hash FROM files")
+def m08(spark, d):
+    f = jobs.file_stream(spark, d, DOCUMENTS, "documents.parquet").select(
+        F.md5("text").alias("md5_hash"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+        .alias("ts"))
+    return jobs.drain(jobs.stream_dedup(f), "dedup").select("md5_hash")
+
+
+@query("m09_stream_pair", f"""WITH {SAMPLES_SQL} SELECT a.user_id, a.us AS started_us, b.us AS done_us
+FROM samples a JOIN samples b ON a.user_id = b.user_id AND a.name = 'signup' AND b.name = 'purchase'
+AND b.us >= a.us AND b.us <= a.us + 21600000000""")
+def m09(spark, d):
+    started = sample_stream(spark, d).filter("name = 'signup'")
+    done = sample_stream(spark, d).filter("name = 'purchase'")
+    out = jobs.drain(jobs.stream_pair(started, done, "user_id", "6 HOURS"), "pairs")
+    return out.filter("done_us IS NOT NULL")
+
+
+@query("m10_write_alerts", HELD_SQL + """ SELECT rule, epoch_us(min(ts)) AS created_us,
+  epoch_us(max(ts)) AS updated_us, arg_max(value, us) AS value FROM held WHERE fires GROUP BY 1""")
+def m10(spark, d):
+    root, check = fresh_dir(spark, "alerts"), fresh_dir(spark, "alerts-checkpoint")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    fires = jobs.stream_threshold(sample_stream(spark, d), rules(spark)).filter("fires")
+    jobs.write_alerts(fires, rules(spark), root, check).awaitTermination()
+    state = jobs.newest_state(spark, root)
+    return state.select("rule", F.unix_micros("created_at").alias("created_us"),
+                        F.unix_micros("updated_at").alias("updated_us"), "value")
+
+
+@query("m10_messages", ORACLES["s18_render_alerts"])
+def m10b(spark, d):
+    root, check = fresh_dir(spark, "alerts"), fresh_dir(spark, "alerts-checkpoint")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    fires = jobs.stream_threshold(sample_stream(spark, d), rules(spark)).filter("fires")
+    jobs.write_alerts(fires, rules(spark), root, check).awaitTermination()
+    return spark.read.parquet(f"{root}/messages").drop("batch_id")

@@ -36,9 +36,10 @@ def read_stats_json(spark: SparkSession, path: str, schema: str = ERROR_STATS,
     return spark.read.schema(schema).option("multiLine", str(multiline).lower()).json(path)
 
 
-def read_sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """``<file>.metadata`` JSON keyed by the path of the file it describes."""
-    raw = (spark.read.schema(schema).option("multiLine", "true")
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SIDECAR}").json(path))
-    described = F.regexp_replace(F.col("_metadata.file_path"), r"\.metadata$", "")
+def read_sidecars(spark: SparkSession, path: str, schema: str, glob: str = f"*{SIDECAR}",
+                  key: str = r"^(.*)\.metadata$", multiline: bool = True) -> DataFrame:
+    """Sidecar JSON keyed by the path it describes (group 1 of ``key`` on its own path)."""
+    raw = (spark.read.schema(schema).option("multiLine", str(multiline).lower())
+           .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path))
+    described = F.regexp_extract(F.col("_metadata.file_path"), key, 1)
     return raw.select(described.alias("path"), *raw.columns)
