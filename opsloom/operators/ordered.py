@@ -38,22 +38,36 @@ def _sort(names: Sequence[str], newest_first: bool) -> list[Column]:
     return [F.col(n).desc() if newest_first else F.col(n).asc() for n in names]
 
 
+Step = Callable[[WindowSpec], Mapping[str, Column]] | Sequence[
+    Callable[[WindowSpec], Mapping[str, Column]]]
+
+
+def _apply(df: DataFrame, window: WindowSpec, steps: Step) -> DataFrame:
+    for step in [steps] if callable(steps) else steps:
+        df = df.withColumns(dict(step(window)))
+    return df
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column,
-                 local: Callable[[WindowSpec], Mapping[str, Column]],
-                 totals: Mapping[str, Column],
-                 carried: Callable[[WindowSpec], Mapping[str, Column]],
-                 final: Mapping[str, Column], newest_first: bool = False) -> DataFrame:
+                 local: Step, totals: Mapping[str, Column], carried: Step,
+                 final: Mapping[str, Column], newest_first: bool = False,
+                 totals_of_rows: bool = False) -> DataFrame:
     """Local window per slice, totals per slice, carry across slices, then ``final`` columns.
 
-    A frame that already has ``_slice`` keeps it, so consecutive scans share one shuffle.
+    ``local`` and ``carried`` are one step or a list of steps, each seeing the columns of the one
+    before; all steps share a partitioning and sort. ``totals_of_rows`` aggregates the locally
+    windowed rows instead of the input: the same partitioning serves both, but unlike input totals
+    they cannot combine before the shuffle.
     """
-    sliced = df if "_slice" in df.columns else df.withColumn("_slice", slice_col)
+    sliced = df.withColumn("_slice", slice_col)
     window = Window.partitionBy(*keys, "_slice").orderBy(*_sort(order, newest_first))
-    rows = sliced.withColumns(dict(local(window)))
-    per_slice = sliced.groupBy(*keys, "_slice").agg(*[c.alias(n) for n, c in totals.items()])
+    rows = _apply(sliced, window, local)
+    per_slice = (rows if totals_of_rows else sliced).groupBy(*keys, "_slice").agg(
+        *[c.alias(n) for n, c in totals.items()])
     across = Window.partitionBy(*keys).orderBy(*_sort(["_slice"], newest_first))
-    state = dict(carried(across))
-    carry = per_slice.select(*keys, "_slice", *[c.alias(n) for n, c in state.items()])
+    known = set(per_slice.columns)
+    carry = _apply(per_slice, across, carried)
+    carry = carry.select(*keys, "_slice", *[c for c in carry.columns if c not in known])
     return (rows.join(carry, [*keys, "_slice"], "left")
             .select(*[F.col(c) for c in df.columns if c not in final],
                     *[c.alias(n) for n, c in final.items()]))
@@ -144,6 +158,27 @@ def asof(probes: DataFrame, samples: DataFrame, keys: Sequence[str], us: str,
     return merged.filter("_probe IS NOT NULL").select("_probe.*", "found")
 
 
+def first_in_window(df: DataFrame, keys: Sequence[str], us: str, take: Sequence[str], tie: str,
+                    window_s: int, seconds: int = HOUR) -> DataFrame:
+    """Each row with ``found`` = first row of its series at most ``window_s`` seconds older.
+
+    Every row emits itself and a probe at the lower edge of its window; one pass from newest to
+    oldest answers all probes, so cost does not grow with the rows per window.
+    """
+    row_type = probes_struct(df)
+    sample = F.struct(F.col(us).alias("_us"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"),
+                      F.struct(*take).alias("_sample"), F.lit(None).cast(row_type).alias("_probe"))
+    take_type = probes_struct(df.select(*take))
+    probe = F.struct((F.col(us) - window_s * MICROS).alias("_us"), F.lit(0).alias("_side"),
+                     F.lit(None).cast(df.schema[tie].dataType).alias("_tie"),
+                     F.lit(None).cast(take_type).alias("_sample"),
+                     F.struct(*df.columns).alias("_probe"))
+    events = df.select(*keys, F.inline(F.array(sample, probe)))
+    scanned = last_known(events, keys, ["_us", "_side", "_tie"], {"found": F.col("_sample")},
+                         by_time("_us", seconds), newest_first=True)
+    return scanned.filter("_probe IS NOT NULL").select("_probe.*", "found")
+
+
 def probes_struct(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
 
@@ -159,21 +194,53 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], us: str, sums: Mapping[str,
     """
     leave = window_s * MICROS + (1 if inclusive else 0)
     amounts = {n: f"_a_{n}" for n in sums}
-    enter = df.select(F.struct(*df.columns).alias("_row"), *keys, F.col(us).alias("_us"),
-                      *[F.coalesce(c, F.lit(0)).alias(amounts[n]) for n, c in sums.items()])
-    empty = F.lit(None).cast(enter.schema["_row"].dataType)
-    exits = (df.select(*keys, F.col(us).alias("_us"),
-                       *[F.coalesce(c, F.lit(0)).alias(amounts[n]) for n, c in sums.items()])
-             .filter(" OR ".join(f"{a} <> 0" for a in amounts.values()))
-             .groupBy(*keys, (F.col("_us") + leave).alias("_us"))
-             .agg(*[(-F.sum(a)).alias(a) for a in amounts.values()])
-             .withColumn("_row", empty))
-    summed = running_sum(enter.unionByName(exits), keys, ["_us"],
-                         {n: F.col(a) for n, a in amounts.items()},
+    valued = df.withColumns({a: F.coalesce(sums[n], F.lit(0)) for n, a in amounts.items()})
+    row = F.struct(*df.columns)
+    row_type = probes_struct(df)
+    enter = F.struct(row.alias("_row"), F.col(us).alias("_us"), *amounts.values())
+    leaves = F.expr(" OR ".join(f"{a} <> 0" for a in amounts.values()))
+    exit_ = F.when(leaves, F.struct(
+        F.lit(None).cast(row_type).alias("_row"), (F.col(us) + leave).alias("_us"),
+        *[(-F.col(a)).alias(a) for a in amounts.values()]))
+    events = valued.select(*keys, F.explode(F.array_compact(F.array(enter, exit_))).alias("_e")
+                           ).select(*keys, "_e.*")
+    summed = running_sum(events, keys, ["_us"], {n: F.col(a) for n, a in amounts.items()},
                          by_time("_us", seconds), peers=True)
     return summed.filter("_row IS NOT NULL").select("_row.*", *sums)
 
 
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, start: str,
+         slice_col: Column, out: str = "run_start") -> DataFrame:
+    """Value of ``start`` on the first row of the current run of ``flag``; NULL where it is false.
+
+    A slice is summed up as: all true?, last row true?, start of its last run. Slices that are
+    true throughout pass an earlier run on.
+    """
+    f, rank = F.col(flag), F.struct(*order)
+    so_far = lambda w: w.rowsBetween(_FIRST, _HERE)
+    before = lambda w: w.rowsBetween(_FIRST, -1)
+    local = [
+        lambda w: {"_was": F.lag(f).over(w), "_head": F.min(f).over(so_far(w))},
+        lambda w: {"_l_s": F.last(F.when(f & ~F.coalesce(F.col("_was"), F.lit(False)),
+                                         F.col(start)), ignorenulls=True).over(so_far(w))}]
+    totals = {"_t_all": F.bool_and(f), "_t_last": F.max_by(f, rank),
+              "_t_tail": F.max_by("_l_s", rank)}
+    carried = [
+        lambda w: {"_x_opens": F.col("_t_all") & ~F.coalesce(F.lag("_t_all").over(w), F.lit(False)),
+                   "_x_cut": F.last(F.when(~F.col("_t_all"), F.struct(
+                       F.when(F.col("_t_last"), F.col("_t_tail")).alias("s"))),
+                       ignorenulls=True).over(so_far(w))},
+        lambda w: {"_x_open": F.last(F.when(F.col("_x_opens"), F.col("_t_tail")),
+                                     ignorenulls=True).over(so_far(w))},
+        lambda w: {"_x_now": F.when(~F.col("_t_last"), None).when(
+            F.col("_t_all"), F.coalesce(F.col("_x_cut.s"), F.col("_x_open"))).otherwise(
+            F.col("_t_tail"))},
+        lambda w: {"_c_s": F.lag("_x_now").over(w)}]
+    mine = F.when(F.col("_head"), F.coalesce("_c_s", "_l_s")).otherwise(F.col("_l_s"))
+    return ordered_scan(df, keys, order, slice_col, local, totals, carried,
+                        {out: F.when(f, mine)}, totals_of_rows=True)
+
+
 def keep_newest(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int,
                 spread: str, buckets: int = 64) -> DataFrame:
     """Newest ``n`` rows per group, largest ``order`` first.

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.operators.ordered import MICROS, asof, by_time, last_known, previous, trailing_sum
+from opsloom.operators.ordered import (MICROS, asof, by_time, first_in_window, previous, runs,
+                                       trailing_sum)
 
 EQUAL_TOLERANCE = 0.0001
 ORDER = ["us", "sample_id"]
@@ -38,13 +39,9 @@ def hold(df: DataFrame, keys: Sequence[str], flag: str = "violated",
          duration_s: Column | None = None) -> DataFrame:
     """Adds ``run_start`` (start of the current run of ``flag``) and ``fires`` (held long enough)."""
     duration = F.col("duration_s") if duration_s is None else duration_s
-    sliced = df.withColumn("_slice", by_time("us"))
-    was = previous(sliced, keys, ORDER, {"_was": F.col(flag)}, F.col("_slice"))
-    begins = F.when(F.col(flag) & ~F.coalesce(F.col("_was"), F.lit(False)), F.col("us"))
-    known = last_known(was, keys, ORDER, {"_start": begins}, F.col("_slice"))
-    held = (F.col("us") - F.col("_start")) >= duration.cast("long") * MICROS
-    return (known.withColumn("run_start", F.when(F.col(flag), F.col("_start")))
-            .withColumn("fires", F.col(flag) & held).drop("_slice", "_was", "_start"))
+    ran = runs(df, keys, ORDER, flag, "us", by_time("us"))
+    held = (F.col("us") - F.col("run_start")) >= duration.cast("long") * MICROS
+    return ran.withColumn("fires", F.col(flag) & F.coalesce(held, F.lit(False)))
 
 
 def threshold_rule(samples: DataFrame, rules: DataFrame, series: Sequence[str] = ()) -> DataFrame:
@@ -58,14 +55,12 @@ def threshold_rule(samples: DataFrame, rules: DataFrame, series: Sequence[str] =
 def rate_rule(samples: DataFrame, by: Sequence[str], threshold: float,
               window_s: int = 300) -> DataFrame:
     """(last - first) / seconds over the trailing window; needs two different times."""
-    probes = samples.select(*by, "sample_id", F.col("us").alias("at_us"), "value",
-                            (F.col("us") - window_s * MICROS).alias("us"))
-    first = asof(probes, samples, by, "us", ["us", "value"], "sample_id", forward=True)
-    seconds = (F.col("at_us") - F.col("found.us")) / MICROS
+    first = first_in_window(samples, by, "us", ["us", "value"], "sample_id", window_s)
+    seconds = (F.col("us") - F.col("found.us")) / MICROS
     rate = F.try_divide(F.col("value") - F.col("found.value"), seconds)
     return (first.withColumn("rate", rate)
             .withColumn("fires", F.coalesce(F.abs("rate") > threshold, F.lit(False)))
-            .select(*by, "sample_id", F.col("at_us").alias("us"), "value", "rate", "fires"))
+            .select(*by, "sample_id", "us", "value", "rate", "fires"))
 
 
 def relative_change(samples: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:

@@ -193,7 +193,7 @@ SELECT rule, sample_id, violated AND us - min(CASE WHEN violated THEN us END) OV
   PARTITION BY rule, island) >= duration_s::BIGINT * 1000000 AS fires FROM g""")
 def w13(spark, d):
     return rl.composite_rule(model.samples(spark, d), composites(spark)).select(
-        "rule", "sample_id", F.coalesce("fires", F.lit(False)).alias("fires"))
+        "rule", "sample_id", "fires")
 
 
 EPISODE_SQL = HELD_SQL + """, ev AS (
