@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsloom.session import spread
+
 METRIC_SAMPLES = ("sample_id LONG, name STRING, value DOUBLE, labels MAP<STRING,STRING>, "
                   "ts TIMESTAMP, collector STRING")
 EVENTS = ("event_id LONG, ts TIMESTAMP, user_id LONG, event_type STRING, value DOUBLE, "
@@ -14,6 +16,9 @@ METRIC_DEFS = ("collector STRING, name STRING, type STRING, description STRING,
 ALERT_RULES = ("rule STRING, metric STRING, comparison STRING, severity STRING, threshold DOUBLE, "
                "duration_s INT, cooldown_s INT, channels ARRAY<STRING>")
 
+# Tables with long texts and their row keys; small ones are spread over the cores.
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
 # Extension, mime type and processor by file number modulo 5.
 FILE_KINDS = [("txt", "text/plain"), ("html", "text/html"), ("pdf", "application/pdf"),
               ("jpg", "image/jpeg"), ("mp4", "video/mp4")]
@@ -21,7 +26,8 @@ FILE_KINDS = [("txt", "text/plain"), ("html", "text/html"), ("pdf", "application
 
 def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    scan = reader.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan, *TEXT_KEYS[name]) if name in TEXT_KEYS else scan
 
 
 def as_samples(events: DataFrame) -> DataFrame:

@@ -77,13 +77,17 @@ def search(docs: DataFrame, query: str, filters: Column | str | None = None,
         here = F.col("word_no").isin(i, i + 1)
         gaps.append(F.least(F.lit(FAR), F.coalesce(F.min(F.when(here, F.abs(
             F.col(f"_p{i}") - F.col(f"_p{i + 1}")))), F.lit(FAR))).alias(f"_g{i}"))
-    per_word = placed.groupBy("doc", "word_no").agg(F.min("typos").alias("typos"))
-    words_of = per_word.groupBy("doc").agg(
-        F.count(F.lit(1)).alias("words"), F.sum("typos").alias("typos"),
-        F.count_if(F.col("typos") == 0).alias("exact"))
-    places = placed.groupBy("doc").agg(F.min("field_rank").alias("attribute"), *gaps)
+    best = [F.min(F.when(F.col("word_no") == i, F.col("typos"))).alias(f"_t{i}")
+            for i in range(len(words))]
+    places = placed.groupBy("doc").agg(F.min("field_rank").alias("attribute"), *gaps, *best)
+    typo_cols = [F.col(f"_t{i}") for i in range(len(words))]
+    places = places.withColumns({
+        "words": sum((t.isNotNull().cast("long") for t in typo_cols), F.lit(0).cast("long")),
+        "typos": sum((F.coalesce(t, F.lit(0)).cast("long") for t in typo_cols), F.lit(0).cast("long")),
+        "exact": sum((F.coalesce((t == 0).cast("long"), F.lit(0)) for t in typo_cols),
+                     F.lit(0).cast("long"))})
     proximity = sum((F.col(f"_g{i}") for i in range(len(gaps))), F.lit(0))
-    ranked = (words_of.join(places, "doc").withColumn("proximity", proximity)
+    ranked = (places.withColumn("proximity", proximity)
               .join(kept.withColumnRenamed(key, "doc"), "doc")
               .orderBy(F.desc("words"), "typos", "proximity", "attribute", *sort, F.desc("exact"),
                        "doc").offset(offset).limit(min(limit, MAX_HITS - offset)))

@@ -180,9 +180,10 @@ def relabel(df: DataFrame, rules: Sequence[Relabel], labels: str = "labels") ->
             hits = F.map_filter(labels, lambda k, _: k.rlike(pattern))  # noqa: B023
             renamed = F.transform_keys(
                 hits, lambda k, _: F.regexp_replace(k, pattern, r.replacement))  # noqa: B023
-            kept = F.map_filter(labels,
-                                lambda k, _: ~F.map_contains_key(renamed, k))  # noqa: B023
-            df = df.withColumn(labels, F.map_concat(kept, renamed))
+            # A column of its own: inside a lambda the map would be built again for every key.
+            df = df.withColumn("_renamed", renamed)
+            kept = F.map_filter(labels, lambda k, _: ~F.map_contains_key("_renamed", k))
+            df = df.withColumn(labels, F.map_concat(kept, "_renamed")).drop("_renamed")
         else:
             raise ValueError(f"unknown relabel action {r.action}")
     return df

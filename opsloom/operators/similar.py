@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import text
 from opsloom.operators.ordered import by_prefix, previous
+from opsloom.session import cut
 
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 
@@ -95,10 +96,12 @@ def coefficients(count: int) -> list[tuple[int, int]]:
     return out
 
 
-def signature(hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """MinHash values of a set of hash numbers; row-local, no shuffle."""
-    return F.array(*[F.array_min(F.transform(hashes, lambda h: (h * a + b) % PRIME))  # noqa: B023
-                     for a, b in coefficients(bands * rows)])
+def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """MinHash values per id. The members of one set share a task, so they combine before the shuffle."""
+    mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}")
+            for i, (a, b) in enumerate(coefficients(bands * rows))]
+    return (sets.select("id", F.explode("set").alias("h")).groupBy("id").agg(*mins)
+            .select("id", F.array(*[f"m{i}" for i in range(bands * rows)]).alias("sig")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -122,15 +125,16 @@ def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body:
                       F.lit(1.0).alias("score")))
     uniques = src.join(firsts, "_h", "left").filter(F.col(key) == F.col("_first"))
     runs = text.shingles(F.col("_w"))
-    hashed = uniques.select(F.col(key).alias("id"), text.words(body).alias("_w")).select(
+    # Sets and band members are read several times below, so both are written once.
+    hashed = cut(uniques.select(F.col(key).alias("id"), text.words(body).alias("_w")).select(
         "id", F.array_distinct(F.transform(runs, lambda s: text.hash_number(s) % PRIME))
-        .alias("set"))
-    signed = hashed.select("id", signature(F.col("set"), bands, rows).alias("sig"))
+        .alias("set")), "sets")
+    signed = signatures(hashed, bands, rows)
     cells = [F.struct(F.lit(b).alias("band"), F.md5(F.array_join(
         F.slice("sig", b * rows + 1, rows).cast("array<string>"), ",")).alias("bucket"))
         for b in range(bands)]
-    members = signed.select("id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ","))
-                            .alias("place"), F.inline(F.array(*cells)))
+    members = cut(signed.select("id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ","))
+                                .alias("place"), F.inline(F.array(*cells))), "bands")
     # A bucket with a single file needs no comparison; dropping those first keeps the rest small.
     pivots = members.groupBy("band", "bucket").agg(F.min("id").alias("pivot"),
                                                    F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -61,6 +61,16 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of few input splits over all cores before heavy work per row.
+
+    A table with at least one split per core is returned as it is, so a large scan never shuffles
+    here. ``scan`` must be a plain scan: its split count is then known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def small_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A literal table for rules, routes and lexicons; its size is visible to the planner."""
     fields = spark.createDataFrame([], schema).schema.fields
