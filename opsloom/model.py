@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.session import spread
+from opsloom.session import cut, spread
 
 METRIC_SAMPLES = ("sample_id LONG, name STRING, value DOUBLE, labels MAP<STRING,STRING>, "
                   "ts TIMESTAMP, collector STRING")
@@ -124,14 +124,17 @@ QUEUE_SQL = """items AS (
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter series ``(name, instance)`` that start again every 500 samples of the input."""
+    """Counter series ``(name, instance)`` that start again every 500 samples of the input.
+
+    Counters arrive as a stored table in practice, so the derived one is written once as well.
+    """
     from opsloom.operators.ordered import by_time, running_sum
     s = samples(spark, sf_dir).select(
         "sample_id", "name", F.pmod("user_id", F.lit(8)).alias("instance"), "us", "value",
         F.expr("sample_id div 500").alias("life"))
     ran = running_sum(s, ["name", "instance", "life"], ["us", "sample_id"],
                       {"counter": F.col("value")}, by_time("us"))
-    return ran.select("sample_id", "name", "instance", "us", "counter")
+    return cut(ran.select("sample_id", "name", "instance", "us", "counter"), "counters")
 
 
 COUNTERS_SQL = """counters AS (
