@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from opsloom import model
 from opsloom.model import FILES_SQL
-from opsloom.operators import catalog, graph, search, similar
+from opsloom.operators import catalog, graph, search, similar, summary
 from opsloom.plans.documents import WORDS_SQL
 from opsloom.plans.registry import query
 from opsloom.plans.state_quality import files_with_entities
@@ -31,7 +31,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance
 SELECT query_id, base_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
 def j12b(spark, d):
     out = similar.knn(vectors(spark, d, "query_id"), vectors(spark, d, "base_id"), 5, "cosine",
-                      block_bytes=1 << 20)
+                      block_bytes=1 << 17)
     return out.withColumn("distance", F.round("distance", 6))
 
 
@@ -146,8 +146,9 @@ def d17(spark, d):
 @query("d17_hybrid", SEARCH_SQL + """, kw AS (SELECT id, row_number() OVER (ORDER BY words DESC, typos,
   proximity, attribute, file_size DESC, exact DESC, id) AS rank FROM hits),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-dist AS (SELECT b.vec_id AS id, 1 - list_cosine_similarity(a.e, b.e) AS distance FROM v a JOIN v b
-  ON a.vec_id = 0 AND b.vec_id <> 0),
+seed AS (SELECT list(m ORDER BY pos) AS e FROM (SELECT pos, avg(x) AS m FROM (
+  SELECT unnest(range(len(e))) AS pos, unnest(e) AS x FROM v) GROUP BY pos)),
+dist AS (SELECT b.vec_id AS id, 1 - list_cosine_similarity(a.e, b.e) AS distance FROM seed a, v b),
 vr AS (SELECT id, row_number() OVER (ORDER BY round(distance, 9), id) AS rank FROM dist
   ORDER BY rank LIMIT 100)
 SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM vr)
@@ -156,7 +157,9 @@ def d17b(spark, d):
     kw = search.numbered(run_search(spark, d), [F.desc("words"), F.col("typos"), F.col("proximity"),
                                                 F.col("attribute"), F.desc("file_size"),
                                                 F.desc("exact"), F.col("id")])
-    seed = vectors(spark, d, "query_id").filter("query_id = 0")
+    # The query vector is the direction of the whole collection.
+    seed = summary.pool_vectors(vectors(spark, d, "_").select(
+        F.lit(-1).cast("long").alias("query_id"), "embedding"), "query_id")
     docs = model.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
     near = search.vector_search(docs, seed, 100).select(F.col("base_id").alias("id"), "rank")
     return search.hybrid(kw, near, 50)
@@ -181,11 +184,12 @@ def j14(spark, d):
 
 
 @query("j14_neighbours", EDGES_SQL + """ SELECT src AS node_id, dst AS neighbour, rel FROM edges
-  WHERE src LIKE 'File:%7' UNION SELECT dst, src, rel FROM edges WHERE dst IN ('Tag:fr', 'Category:video')""")
+  WHERE src LIKE 'Tag:%' OR src LIKE 'Category:%'
+  UNION SELECT dst, src, rel FROM edges WHERE dst LIKE 'Tag:%' OR dst LIKE 'Category:%'""")
 def j14b(spark, d):
     e = edges(spark, d)
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    seeds = nodes.filter("node_id LIKE 'File:%7' OR node_id IN ('Tag:fr', 'Category:video')")
+    seeds = nodes.filter("node_id LIKE 'Tag:%' OR node_id LIKE 'Category:%'")
     return graph.neighbours(e, seeds)
 
 

@@ -43,8 +43,7 @@ def split_events(spark, sf_dir, parts=3):
     """The events in time order as several files, and the folder they lie in."""
     path = fresh_dir(spark, "events")
     e = model.table(spark, sf_dir, "events", model.EVENTS)
-    bounds = [r[0] for r in e.select(F.expr("percentile_approx(event_id, array(0.33, 0.66))")
-                                     ).first()[0:1]][0]
+    bounds = e.select(F.percentile_approx("event_id", [0.33, 0.66])).first()[0]
     edges = [-1, *bounds, 1 << 60]
     return path, [e.filter((F.col("event_id") > a) & (F.col("event_id") <= b)).coalesce(1)
                   for a, b in zip(edges, edges[1:])]
