@@ -81,18 +81,21 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: st
         best = base.select(bid, vec).mapInPandas(scan, schema)
     else:
         q_blocks, b_blocks = (int(-(-b // block_bytes)) for b in (query_bytes, size(base)))
+        # Fresh names on both sides: a table may be joined with itself.
         cells_q = queries.select(
-            qid, vec, F.pmod(F.xxhash64(qid), F.lit(q_blocks)).cast("int").alias("_qb"),
+            F.col(qid).alias("_q"), F.col(vec).alias("_qv"),
+            F.pmod(F.xxhash64(qid), F.lit(q_blocks)).cast("int").alias("_qb"),
             F.explode(F.sequence(F.lit(0), F.lit(max(b_blocks, 1) - 1))).alias("_bb"))
         cells_b = base.select(
-            bid, vec, F.pmod(F.xxhash64(bid), F.lit(max(b_blocks, 1))).cast("int").alias("_bb"),
+            F.col(bid).alias("_b"), F.col(vec).alias("_bv"),
+            F.pmod(F.xxhash64(bid), F.lit(max(b_blocks, 1))).cast("int").alias("_bb"),
             F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"))
 
         def cell(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(b):
                 return pd.DataFrame({qid: [], bid: [], "distance": []})
-            out = _nearest(q[qid].to_numpy(), _matrix(q[vec]), b[bid].to_numpy(), _matrix(b[vec]), k,
-                           metric)
+            out = _nearest(q["_q"].to_numpy(), _matrix(q["_qv"]), b["_b"].to_numpy(),
+                           _matrix(b["_bv"]), k, metric)
             return pd.DataFrame(dict(zip((qid, bid, "distance"), out)))
 
         best = (cells_q.groupBy("_qb", "_bb").cogroup(cells_b.groupBy("_qb", "_bb"))
