@@ -143,11 +143,13 @@ def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body:
     group stays connected without listing all its pairs.
     """
     src = docs.select(key, F.md5(body).alias("_h"), body)
-    firsts = src.groupBy("_h").agg(F.min(key).alias("_first"))
-    copies = (src.select(key, "_h").join(firsts, "_h").filter(F.col(key) > F.col("_first"))
+    firsts = src.groupBy("_h").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # Only hashes with copies take part, and only ids travel, however popular one content is.
+    copies = (src.select(key, "_h").join(firsts.filter("_n > 1"), "_h")
+              .filter(F.col(key) > F.col("_first"))
               .select(F.col("_first").alias("src"), F.col(key).alias("dst"),
                       F.lit(1.0).alias("score")))
-    uniques = src.join(firsts, "_h", "left").filter(F.col(key) == F.col("_first"))
+    uniques = src.join(firsts.select(F.col("_first").alias(key)), key, "left_semi")
     runs = text.shingles(F.col("_w"))
     # Sets and band members are read several times below, so both are written once.
     hashed = cut(uniques.select(F.col(key).alias("id"), text.words(body).alias("_w")).select(
@@ -215,8 +217,9 @@ def phash_pairs(df: DataFrame, d: int, key: str = "file_id", h: str = "phash") -
     """
     if not 0 <= d <= 15:
         raise ValueError("d must lie in 0..15")
-    firsts = df.filter(F.col(h).isNotNull()).groupBy(h).agg(F.min(key).alias("first"))
-    copies = (df.join(firsts, h).filter(F.col(key) > F.col("first"))
+    firsts = df.filter(F.col(h).isNotNull()).groupBy(h).agg(F.min(key).alias("first"),
+                                                           F.count(F.lit(1)).alias("_n"))
+    copies = (df.select(key, h).join(firsts.filter("_n > 1"), h).filter(F.col(key) > F.col("first"))
               .select(F.col("first").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance")))
     if d == 0:
         return copies
