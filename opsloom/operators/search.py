@@ -55,12 +55,14 @@ def matching_terms(idx: DataFrame, words: Sequence[str]) -> DataFrame:
 
 
 def search(docs: DataFrame, query: str, filters: Column | str | None = None,
-           sort: Sequence[Column] = (), fields: Sequence[str] = FIELDS, key: str = "id",
+           sort: Sequence[str] = (), fields: Sequence[str] = FIELDS, key: str = "id",
            limit: int = MAX_HITS, offset: int = 0) -> DataFrame:
     """Ranked hits, at most 1000.
 
     Rules in order: query words found, typos, proximity of neighbouring query words, best field,
-    ``sort`` columns, exactly matched words. The cap is the reference's page limit.
+    ``sort`` columns (a leading minus sorts descending), exactly matched words. The cap is the
+    page limit of the index settings. Ranking carries ids, rule values and sort columns only; the
+    documents themselves are joined to the page of hits.
     """
     kept = docs if filters is None else docs.filter(filters)
     words = query_words(query)
@@ -87,10 +89,15 @@ def search(docs: DataFrame, query: str, filters: Column | str | None = None,
         "exact": sum((F.coalesce((t == 0).cast("long"), F.lit(0)) for t in typo_cols),
                      F.lit(0).cast("long"))})
     proximity = sum((F.col(f"_g{i}") for i in range(len(gaps))), F.lit(0))
-    ranked = (places.withColumn("proximity", proximity)
-              .join(kept.withColumnRenamed(key, "doc"), "doc")
-              .orderBy(F.desc("words"), "typos", "proximity", "attribute", *sort, F.desc("exact"),
-                       "doc").offset(offset).limit(min(limit, MAX_HITS - offset)))
+    names = [c.lstrip("-") for c in sort]
+    by = [F.desc(f"_s_{c[1:]}") if c.startswith("-") else F.asc(f"_s_{c}") for c in sort]
+    order = [F.desc("words"), "typos", "proximity", "attribute", *by, F.desc("exact"), "doc"]
+    rules = places.select("doc", "words", "typos", proximity.alias("proximity"), "attribute", "exact")
+    if names:
+        keys = kept.select(F.col(key).alias("doc"), *[F.col(c).alias(f"_s_{c}") for c in names])
+        rules = rules.join(keys, "doc")
+    page = rules.orderBy(*order).offset(offset).limit(min(limit, MAX_HITS - offset))
+    ranked = page.join(kept.withColumnRenamed(key, "doc"), "doc").orderBy(*order)
     return ranked.select(F.col("doc").alias(key), "words", "typos", "proximity", "attribute", "exact",
                          *[c for c in kept.columns if c not in (key, "words")])
 

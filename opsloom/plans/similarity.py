@@ -121,7 +121,7 @@ def d16(spark, d):
 
 def run_search(spark, d, **page):
     table = search_table(spark, d).drop("file_name")
-    return search.search(table, QUERY, "file_size > 100 AND lang <> 'de'", [F.desc("file_size")],
+    return search.search(table, QUERY, "file_size > 100 AND lang <> 'de'", ["-file_size"],
                          **page).select("id", "words", "typos", "proximity", "attribute", "exact",
                                         "file_size")
 
