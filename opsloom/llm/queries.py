@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import minhash, quality_classifier, quality_rules
+from opsloom.llm import language_model, minhash, quality_classifier, quality_rules
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_lm_score")
+def op7(spark, sf_dir):
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
