@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.linear import Row, fit_ftrl, squash
 from opsloom.llm.samples import labelled_sample, text_remainder
 from opsloom.llm.tokens import CODES, U64, Chunk, chunks, mix, runs_of
 
@@ -60,15 +61,15 @@ def weight(chunk: Chunk) -> np.ndarray:
     return 1 / np.maximum(chunk.counts, 1)
 
 
-def sample_rows(sample: DataFrame, target: str, bits: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Feature numbers, values and target of each row of a bounded sample, in an order by hash."""
+def sample_rows(sample: DataFrame, target: str, bits: int) -> tuple[list[Row], np.ndarray]:
+    """Features and targets of a bounded sample, in an order by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 feature, owner = hashed_ngrams(chunk, bits)
                 key, times = np.unique((owner << bits) | feature, return_counts=True)
                 ends = np.searchsorted(key >> bits, np.arange(chunk.n + 1)).astype(np.int32)
-                value = (times * weight(chunk)[key >> bits]).astype(np.float32)
+                value = np.sqrt(times * weight(chunk)[key >> bits]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, chunk.n),
                      pa.ListArray.from_arrays(ends, pa.array((key & ((1 << bits) - 1)).astype(np.int32))),
@@ -80,44 +81,16 @@ def sample_rows(sample: DataFrame, target: str, bits: int) -> list[tuple[np.ndar
     ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy()
     at, val = rows["i"].combine_chunks(), rows["x"].combine_chunks()
     order = np.lexsort((y, ids, mix(ids.astype(np.int64).view(U64))))
-    return [(at[int(k)].values.to_numpy(), val[int(k)].values.to_numpy(), float(y[k] > 0)) for k in order]
-
-
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], bits: int, alpha: float = 0.5,
-             beta: float = 1.0, l1: float = 0.002, l2: float = 0.1, passes: int = 3) -> np.ndarray:
-    """Weights by FTRL-Proximal; the last one is the intercept.
-
-    Only the coordinates of a row are read and changed in its step. Rows of the rarer class weigh more, so
-    0.5 is the balanced cut.
-    """
-    size = (1 << bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    good = sum(y for _, _, y in rows)
-    share = {1.0: 0.5 * len(rows) / max(good, 1), 0.0: 0.5 * len(rows) / max(len(rows) - good, 1)}
-
-    def weights(i: np.ndarray) -> np.ndarray:
-        zi = z[i]
-        return np.where(np.abs(zi) <= l1, 0.0,
-                        -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
-
-    for _ in range(passes):
-        for i, x, y in rows:
-            i = np.append(i, size - 1)
-            x = np.append(np.sqrt(x), 1.0)
-            w = weights(i)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - y) * share[y] * x
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
-            z[i] += g - sigma * w
-            n[i] += g * g
-    return weights(np.arange(size))
+    return ([(at[int(k)].values.to_numpy(), val[int(k)].values.to_numpy()) for k in order],
+            (y[order] > 0).astype(float))
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS,
         bits: int = BITS) -> np.ndarray:
     """Weights fitted on at most ``rows`` labelled documents that are not held out."""
     known = labels.where(text_remainder("doc_id", 3) != 1)
-    return fit_ftrl(sample_rows(labelled_sample(docs, known, [target], rows), target, bits), bits)
+    found, targets = sample_rows(labelled_sample(docs, known, [target], rows), target, bits)
+    return fit_ftrl(found, targets, 1 << bits)
 
 
 def scores(chunk: Chunk, weights: np.ndarray, bits: int) -> np.ndarray:
@@ -127,7 +100,7 @@ def scores(chunk: Chunk, weights: np.ndarray, bits: int) -> np.ndarray:
     owner = key >> bits
     value = weights[key & ((1 << bits) - 1)] * np.sqrt(times * weight(chunk)[owner])
     margin = np.bincount(owner, value, minlength=chunk.n) + weights[-1]
-    return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+    return squash(margin)
 
 
 def classify(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import language_model, minhash, quality_classifier, quality_rules
+from opsloom.llm import language_model, minhash, quality_classifier, quality_rules, toxicity
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op6(spark, sf_dir):
 @query("op7_lm_score")
 def op7(spark, sf_dir):
     return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))

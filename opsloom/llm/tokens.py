@@ -39,6 +39,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CODES = random_words(256, 1)
 LOWER_CODES = CODES[LOWER]
+NOT_ALNUM = np.ones(256, dtype=bool)   # everything but ASCII letters and digits and non-ASCII characters
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 CONTINUES = (np.arange(256) & 0xC0) == 0x80    # second and later bytes of a UTF-8 character
 
 _powers = {"up": np.ones(1, dtype=U64), "down": np.ones(1, dtype=U64)}
@@ -111,10 +113,10 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return offsets, data
 
 
-def chunk_of(first: int, offsets: np.ndarray, data: np.ndarray) -> Chunk:
+def chunk_of(first: int, offsets: np.ndarray, data: np.ndarray, gaps: np.ndarray = SPACE) -> Chunk:
     base = offsets[0]
     data, offsets = data[base:offsets[-1]], offsets - base
-    solid = ~SPACE[data]
+    solid = ~gaps[data]
     before, after = np.ones(len(data), dtype=bool), np.ones(len(data), dtype=bool)
     if len(data):
         np.logical_not(solid[:-1], out=before[1:])
@@ -127,14 +129,15 @@ def chunk_of(first: int, offsets: np.ndarray, data: np.ndarray) -> Chunk:
     return Chunk(first, len(offsets) - 1, data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The texts of a column in chunks of bounded size, in order."""
+def chunks(column: pa.Array | pa.ChunkedArray, gaps: np.ndarray = SPACE,
+           size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The texts of a column in chunks of bounded size, in order; ``gaps`` marks bytes between words."""
     offsets, data = text_buffers(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), n)
-        yield chunk_of(first, offsets[first:last + 1], data)
+        yield chunk_of(first, offsets[first:last + 1], data, gaps)
         first = last
 
 
