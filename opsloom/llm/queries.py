@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import language_model, minhash, quality_classifier, quality_rules, toxicity
+from opsloom.llm import (language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
+                         secret_scan, toxicity)
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_mix_sources", mixing.mix_sql())
+def op2(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def op3(spark, sf_dir):
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 @query("op4_minhash_dedup")
 def op4(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -48,6 +59,11 @@ def op7(spark, sf_dir):
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
+@query("op9_pii_pseudonyms")
+def op9(spark, sf_dir):
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 @query("op10_toxicity")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
