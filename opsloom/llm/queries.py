@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.llm import (language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
+from opsloom.llm import (decontamination, language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
                          secret_scan, toxicity)
 from opsloom.session import prepare
 
@@ -59,6 +59,11 @@ def op7(spark, sf_dir):
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
+@query("op8_decontaminate")
+def op8(spark, sf_dir):
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_pii_pseudonyms")
 def op9(spark, sf_dir):
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"))
