@@ -7,10 +7,12 @@ of similarity ``s`` miss each other in all tables with probability below ``2 * (
 
 The pairs of half keys are made only where they can matter: a text enters the tables of ``a_i`` only if another
 text has the same ``a_i``. Texts of one shingle set are one node. In each table the node of least number is the
-pivot which the others are compared with; nodes not joined so go into further rounds with 2, 4, 8, ...
-pivots a table until no two nodes of a table are left that are neither compared nor already connected. So every
-candidate link between components is decided on full sets, while a group of near copies costs about as many
-comparisons as it has members.
+pivot which the others are compared with. Where that leaves the nodes of a table unconnected, its nodes are
+compared further, without making all pairs of a table: similar sets must share one of their rarest shingles (the
+exact prefix bound), early enough in both (the exact position bound). Nodes meet by such a shingle, again around
+pivots, the most central node first, 1, 2, 4, ... a round, until no two nodes are left that are neither
+compared, connected nor excluded by a bound. So every candidate link between components is decided on full sets,
+while a group of near copies costs about as many comparisons as it has members.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text shorter than
 a shingle is one shingle; rows without ``doc_id`` get no component and are kept; rows that repeat a
@@ -163,47 +165,68 @@ def connect(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = after
 
 
+def rare_shingles(sets: DataFrame, share: int, of: int) -> DataFrame:
+    """``key, node, n, left``: the shingles by which similar nodes must meet.
+
+    Each set is put in the order of how many sets have a shingle. Two sets with the asked similarity share one
+    of the first ``n - share * n / of + 1`` shingles of both. ``left`` is how many shingles, this one included,
+    stand from here on. Shingles of one set only take places but meet nothing.
+    """
+    each = sets.select("node", F.size("members").alias("n"), F.explode("members").alias("key"))
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = (each.join(common, "key").groupBy("node", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("list")))
+    return (ordered.select("node", "n", (F.size("list")).alias("common"), F.posexplode("list"))
+            .select(F.col("col.key").alias("key"), "node", "n", (F.col("common") - F.col("pos")).alias("left"))
+            .where(of * F.col("left") >= share * F.col("n")))
+
+
 def link_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, share: int, of: int) -> DataFrame:
     """``node, label`` for the nodes that meet another in a table; a label is the least doc_id."""
     rows = table_rows(nodes)
-    first = rows.join(shared_keys(rows), "key")
-    met = cut(first, "tables")     # key, node, pivot, members
+    met = cut(rows.join(shared_keys(rows), "key"), "tables")     # key, node, pivot, members
     sizes = nodes.select("node", "n_shingles")
     own = met.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     labels = cut(own.select("node", F.col("doc_id").alias("label")), "labels")
     wanted = docs.join(own.select("doc_id"), "doc_id", "left_semi")
     sets = cut(shingle_sets(wanted, shingle).join(labels, "node", "left_semi")
                .dropDuplicates(["node"]), "sets")
-
-    def close_in_size(pairs: DataFrame) -> DataFrame:
-        """Sets whose sizes differ too much can't be similar enough."""
-        return (pairs.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
-                .where(of * F.least("nu", "nv") >= share * F.greatest("nu", "nv")).select("u", "v"))
-
-    pairs = met.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v"))
-    done = cut(close_in_size(pairs.distinct()), "pairs")
+    pairs = (met.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
+             .join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
+             .where(of * F.least("nu", "nv") >= share * F.greatest("nu", "nv")).select("u", "v"))
+    done = cut(pairs, "pairs")
     links = cut(verified(done, sets, share, of), "links")
     labels = connect(labels, links)
-    live = met.where("members > 2 AND node <> pivot").select("key", "node")
-    slots = 2
+    rest = met.where("members > 2 AND node <> pivot").select("key", "node").join(labels, "node")
+    split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    open_nodes = rest.join(split.select("key"), "key").select("node").distinct()
+    live = cut(rare_shingles(sets.join(open_nodes, "node", "left_semi"), share, of), "rare")
+    slots = 1
     while True:
         now = live.join(labels, "node")
-        split = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        now = cut(now.join(split.where("low < high").select("key"), "key"), "live")
+        keys = (now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                       F.min("n").alias("least")).where("low < high").select("key", "least"))
+        # a row whose rest can't reach the overlap with the smallest set here, or allowed at all, is done
+        smallest = F.greatest(of * F.col("least"), share * F.col("n"))
+        now = cut(now.join(keys, "key").where(
+            of * (share + of) * F.col("left") >= share * (of * F.col("n") + smallest))
+            .select("key", "node", "n", "left", "label"), "live")
         if now.isEmpty():
             return connect(labels, links)
-        pivots = (now.groupBy("key", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot"))
-                  .agg(F.min("node").alias("pivot")).select("key", "pivot")
-                  .join(labels.toDF("pivot", "pivot_label"), "pivot"))
-        pairs = (now.join(pivots, "key").where("label <> pivot_label")
+        pivots = cut(now.groupBy("key", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot"))
+                     .agg(F.max(F.struct("left", "node", "n", "label")).alias("p"))
+                     .select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
+                             F.col("p.left").alias("pleft"), F.col("p.label").alias("plabel")), "pivots")
+        pairs = (now.join(pivots, "key").where(F.col("label") != F.col("plabel"))
+                 .where((share + of) * F.least("left", "pleft") >= share * (F.col("n") + F.col("pn")))
                  .select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
                  .distinct().join(done, ["u", "v"], "left_anti"))
-        pairs = cut(close_in_size(pairs), "pairs")
+        pairs = cut(pairs, "pairs")
         fresh = cut(verified(pairs, sets, share, of), "links")
         done, links = done.unionByName(pairs), links.unionByName(fresh)
-        labels = contract(labels, fresh)
+        labels = connect(labels, fresh)
         live = (now.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-                .select("key", "node"))
+                .select("key", "node", "n", "left"))
         slots *= 2
 
 
