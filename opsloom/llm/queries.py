@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from opsloom.llm import (decontamination, language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
-                         secret_scan, toxicity)
+                         secret_scan, substring_dedup, toxicity)
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_substring_dedup")
+def op1(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op2_mix_sources", mixing.mix_sql())
 def op2(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -73,3 +79,6 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
