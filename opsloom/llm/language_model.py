@@ -182,7 +182,7 @@ def answered(requests: DataFrame) -> DataFrame:
     One row per block, kind and range; deleted counts go to blocks of deleted texts only. A row with a null block instead has a range's distinct words and
     tokens of training texts.
     """
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[int, int], frame: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_keys(k) for k in frame["keys"]]
         every, where = np.unique(np.concatenate(keys), return_inverse=True)
         own = [unpack_counts(c) for c in frame["own"]]

@@ -33,7 +33,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _WORDS = ("passw", "secret", "token", "api")   # every assignment has one of these
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_LONG = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST_NAME = re.compile(r"(md5|sha-?(1|224|256|384|512)|blake\w*|crc\w*|commit|etag|integrity)[\"']?\s*[:=-]\s*[\"']?$",
                           re.IGNORECASE)

@@ -3,6 +3,7 @@
 The categories are predicted one after the other by sparse linear models over the hashed words that a text
 has; each model also gets the probabilities of the categories before it. In training those come from models
 that have not seen the row (out-of-fold), so a later model learns how far an earlier one can be trusted. The
+out-of-fold probabilities of the last category also set the cut, so that clean texts are left alone. The
 models are fitted on a bounded sample of labelled rows. Words are runs of letters and digits, so signs
 around a word hide nothing; letters count as small ones.
 
@@ -34,7 +35,8 @@ BITS = 18
 FOLDS = 3
 LEAST_ROWS = 3   # sampled rows that must have a word for it to count
 L1 = 20.0        # a word must pull this hard to get a weight: words of a few rows by chance do not
-CUT = 0.5 + 1e-9
+CUT = 0.5 + 1e-9  # least probability that may count as toxic
+PRECISION = 0.99  # share of truly toxic rows among those called toxic, on out-of-fold predictions
 CHAIN = ["insult", "contempt", "toxic"]
 # Words of the two weakly labelled categories.
 WORDS = {"insult": ["idiot", "moron", "clown", "loser", "scum"],
@@ -50,6 +52,7 @@ class Chain:
     earlier: np.ndarray    # categories x categories
     intercept: np.ndarray
     bits: int
+    cut: float = CUT       # probability of the last category from which a text is toxic
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         """Probabilities from the word part of the margins, category after category."""
@@ -58,6 +61,11 @@ class Chain:
             out[:, k] = squash(sums[:, k] + out[:, :k] @ self.earlier[k, :k] + self.intercept[k])
         return out
 
+    def of_words(self, feature: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """Probabilities of texts from the distinct words each has."""
+        sums = [np.bincount(owner, w[feature], minlength=texts).astype(float) for w in self.words]
+        return self.probabilities(np.column_stack(sums))
+
 
 def present(chunk: Chunk, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed words of each text and the text each belongs to."""
@@ -106,15 +114,25 @@ def fit_chain(ids: np.ndarray, rows: list[Row], targets: np.ndarray, names: list
 
     for k in range(k_all):
         known = np.flatnonzero(targets[:, k] >= 0)
-        for f in range(folds if k + 1 < k_all else 0):
+        for f in range(folds):
             w = learn(known[fold[known] != f], k)
             for r in np.flatnonzero(fold == f):
                 before[r, k] = squash(w[rows[r][0]].sum() + before[r, :k] @ w[size:size + k] + w[-1])
         w = learn(known, k)
         chain.words[k], chain.earlier[k, :k], chain.intercept[k] = w[:size], w[size:size + k], w[-1]
+    known = targets[:, -1] >= 0
+    chain.cut = least_cut(before[known, -1], targets[known, -1])
     return chain
 
 
+def least_cut(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
+    """The least probability, ``CUT`` at least, above which enough of the rows are of the category."""
+    order = np.argsort(-p, kind="stable")
+    share = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    good = np.flatnonzero(share >= precision)
+    return max(CUT, float(p[order[good[-1]]])) if len(good) else CUT
+
+
 def weak_categories(sample: DataFrame) -> DataFrame:
     """The sample with ``insult`` and ``contempt`` next to ``toxic``."""
     def has(name: str) -> Column:
@@ -131,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, bits: int =
     return fit_chain(*sampled(sample, CHAIN, bits), CHAIN, bits)
 
 
-def predict(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
-    """``doc_id``, a probability for each category and ``is_toxic`` (the last category reaches ``cut``)."""
+def predict(docs: DataFrame, chain: Chain) -> DataFrame:
+    """``doc_id``, a probability for each category and ``is_toxic`` (the last category reaches the cut)."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
 
@@ -141,17 +159,16 @@ def predict(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column(1), NOT_ALNUM):
                 feature, owner = present(chunk, model.bits)
-                sums = np.column_stack([np.bincount(owner, w[feature], minlength=chunk.n) for w in model.words])
-                p = model.probabilities(sums)
+                p = model.of_words(feature, owner, chunk.n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, chunk.n), *[pa.array(x) for x in p.T],
-                     pa.array(p[:, -1] >= cut)], names=["doc_id", *names, "is_toxic"])
+                     pa.array(p[:, -1] >= model.cut)], names=["doc_id", *names, "is_toxic"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", is_toxic boolean")
 
 
-def without_toxic(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
+def without_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` without the rows judged toxic, all columns as they were; nothing is joined or shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     place = docs.columns.index("text")
@@ -162,8 +179,8 @@ def without_toxic(docs: DataFrame, chain: Chain, cut: float = CUT) -> DataFrame:
             keep = np.ones(batch.num_rows, dtype=bool)
             for chunk in chunks(batch.column(place), NOT_ALNUM):
                 feature, owner = present(chunk, model.bits)
-                sums = np.column_stack([np.bincount(owner, w[feature], minlength=chunk.n) for w in model.words])
-                keep[chunk.first:chunk.first + chunk.n] = model.probabilities(sums)[:, -1] < cut
+                p = model.of_words(feature, owner, chunk.n)
+                keep[chunk.first:chunk.first + chunk.n] = p[:, -1] < model.cut
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
