@@ -10,7 +10,7 @@ text has the same ``a_i``. Texts of one shingle set are one node. In each table
 pivot which the others are compared with. Where that leaves the nodes of a table unconnected, its nodes are
 compared further, without making all pairs of a table: similar sets must share one of their rarest shingles (the
 exact prefix bound), early enough in both (the exact position bound). Nodes meet by such a shingle, again around
-pivots, the most central node first, 1, 2, 4, ... a round, until no two nodes are left that are neither
+pivots, the most central nodes first, 1, 64, 4096, ... a round, until no two nodes are left that are neither
 compared, connected nor excluded by a bound. So every candidate link between components is decided on full sets,
 while a group of near copies costs about as many comparisons as it has members.
 
@@ -35,6 +35,7 @@ SHINGLE = 5
 TABLES = 16      # half keys in each of the two collections
 ROWS = 3         # minhashes in a half key
 SHARE, OF = 75, 100
+GROWTH = 64      # how many times more pivots each further round has; the first two settle nearly all
 
 
 def fingerprints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +195,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, share: int, of:
     pairs = (met.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
              .join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
              .where(of * F.least("nu", "nv") >= share * F.greatest("nu", "nv")).select("u", "v"))
-    done = cut(pairs, "pairs")
-    links = cut(verified(done, sets, share, of), "links")
-    labels = connect(labels, links)
+    labels = connect(labels, cut(verified(pairs, sets, share, of), "links"))
     rest = met.where("members > 2 AND node <> pivot").select("key", "node").join(labels, "node")
     split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     open_nodes = rest.join(split.select("key"), "key").select("node").distinct()
@@ -212,22 +211,19 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, share: int, of:
             of * (share + of) * F.col("left") >= share * (of * F.col("n") + smallest))
             .select("key", "node", "n", "left", "label"), "live")
         if now.isEmpty():
-            return connect(labels, links)
+            return labels
         pivots = cut(now.groupBy("key", F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots)).alias("slot"))
                      .agg(F.max(F.struct("left", "node", "n", "label")).alias("p"))
                      .select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
                              F.col("p.left").alias("pleft"), F.col("p.label").alias("plabel")), "pivots")
         pairs = (now.join(pivots, "key").where(F.col("label") != F.col("plabel"))
                  .where((share + of) * F.least("left", "pleft") >= share * (F.col("n") + F.col("pn")))
-                 .select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v"))
-                 .distinct().join(done, ["u", "v"], "left_anti"))
-        pairs = cut(pairs, "pairs")
+                 .select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct())
         fresh = cut(verified(pairs, sets, share, of), "links")
-        done, links = done.unionByName(pairs), links.unionByName(fresh)
-        labels = connect(labels, fresh)
+        labels = labels if fresh.isEmpty() else connect(labels, fresh)
         live = (now.join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
                 .select("key", "node", "n", "left"))
-        slots *= 2
+        slots *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE, of: int = OF,
