@@ -8,7 +8,8 @@ row, those rows are scanned per series, and the carried state is joined back to
     rows --partial aggregate--> slice totals --> carry per series --> joined on (series, slice)
 
 The rows shuffle once; the totals are one row per (series, slice). The join reuses the hash
-partitioning of the local window, so only the small side moves. Key columns must not be NULL.
+partitioning of the local window, so only the small side moves. A NULL key is a series like any
+other: keys enter windows and joins as (is NULL, value or a default).
 """
 
 from __future__ import annotations
@@ -48,6 +49,31 @@ def _apply(df: DataFrame, window: WindowSpec, steps: Step) -> DataFrame:
     return df
 
 
+# Values that stand for NULL inside a key; the flag beside them tells the two apart.
+_DEFAULTS = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01",
+             "timestamp_ntz": "1970-01-01"}
+
+
+def null_safe(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with key columns that equal each other exactly where the given keys do, NULLs too."""
+    added: dict[str, Column] = {}
+    names: list[str] = []
+    for key in keys:
+        field = df.schema[key]
+        if not field.nullable:
+            names.append(key)
+            continue
+        kind = field.dataType.typeName()
+        if kind in ("array", "struct", "map"):
+            value, default = F.to_json(F.struct(key)), F.lit("")
+        else:
+            value, default = F.col(key), F.lit(_DEFAULTS.get(kind, 0)).cast(field.dataType)
+        added[f"_null_{key}"] = F.col(key).isNull()
+        added[f"_key_{key}"] = F.coalesce(value, default)
+        names += [f"_null_{key}", f"_key_{key}"]
+    return (df.withColumns(added) if added else df), names
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_col: Column,
                  local: Step, totals: Mapping[str, Column], carried: Step,
                  final: Mapping[str, Column], newest_first: bool = False,
@@ -59,7 +85,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     windowed rows instead of the input: the same partitioning serves both, but unlike input totals
     they cannot combine before the shuffle.
     """
-    sliced = df.withColumn("_slice", slice_col)
+    safe, keys = null_safe(df, keys)
+    sliced = safe.withColumn("_slice", slice_col)
     window = Window.partitionBy(*keys, "_slice").orderBy(*_sort(order, newest_first))
     rows = _apply(sliced, window, local)
     per_slice = (rows if totals_of_rows else sliced).groupBy(*keys, "_slice").agg(
@@ -185,28 +212,52 @@ def probes_struct(df: DataFrame):
 
 def trailing_sum(df: DataFrame, keys: Sequence[str], us: str, sums: Mapping[str, Column],
                  window_s: int, inclusive: bool = True, seconds: int = HOUR) -> DataFrame:
-    """Sums over the trailing ``window_s`` seconds for every row.
-
-    Each row adds its amounts at its own time and takes them back when it leaves the window, so a
-    running sum over both kinds of event gives the trailing sum in linear time. ``inclusive``
-    keeps a row exactly ``window_s`` old. Sums of doubles carry rounding noise of the running
-    total; counts and integers are exact.
+    """Sums over the trailing ``window_s`` seconds for every row, in linear time.
+
+    Time is cut into blocks of which a whole number fill the window. A window is then the rows of
+    its own block up to now, the whole blocks before, and the rows of its oldest block that are not
+    too old. Each row is shown to the block it can be the oldest of, shifted by the window, so both
+    open ends are running sums over one partition: up to now, and from now on. Amounts are only ever
+    added, so a huge or infinite one leaves no trace once it is out of the window. ``inclusive``
+    keeps a row exactly ``window_s`` old. ``seconds`` bounds a block.
     """
-    leave = window_s * MICROS + (1 if inclusive else 0)
-    amounts = {n: f"_a_{n}" for n in sums}
-    valued = df.withColumns({a: F.coalesce(sums[n], F.lit(0)) for n, a in amounts.items()})
+    width = window_s * MICROS
+    blocks = max(1, -(-window_s // seconds))
+    while width % blocks:
+        blocks += 1
+    step = width // blocks
+    safe, safe_keys = null_safe(df, keys)
+    names = {n: f"_a_{n}" for n in sums}
+    valued = safe.withColumns({**{a: F.coalesce(sums[n], F.lit(0)) for n, a in names.items()},
+                               "_block": F.col(us) - F.pmod(us, F.lit(step))})
     row = F.struct(*df.columns)
-    row_type = probes_struct(df)
-    enter = F.struct(row.alias("_row"), F.col(us).alias("_us"), *amounts.values())
-    leaves = F.expr(" OR ".join(f"{a} <> 0" for a in amounts.values()))
-    exit_ = F.when(leaves, F.struct(
-        F.lit(None).cast(row_type).alias("_row"), (F.col(us) + leave).alias("_us"),
-        *[(-F.col(a)).alias(a) for a in amounts.values()]))
-    events = valued.select(*keys, F.explode(F.array_compact(F.array(enter, exit_))).alias("_e")
-                           ).select(*keys, "_e.*")
-    summed = running_sum(events, keys, ["_us"], {n: F.col(a) for n, a in amounts.items()},
-                         by_time("_us", seconds), peers=True)
-    return summed.filter("_row IS NOT NULL").select("_row.*", *sums)
+    none = {a: F.lit(None).cast(valued.schema[a].dataType) for a in names.values()}
+    here = F.struct(row.alias("_row"), F.col(us).alias("_at"), F.col("_block"),
+                    *[F.col(a) for a in names.values()],
+                    *[none[a].alias(f"{a}_old") for a in names.values()])
+    later = F.struct(F.lit(None).cast(probes_struct(df)).alias("_row"),
+                     (F.col(us) + width - (0 if inclusive else 1)).alias("_at"),
+                     (F.col("_block") + width).alias("_block"),
+                     *[none[a].alias(a) for a in names.values()],
+                     *[F.col(a).alias(f"{a}_old") for a in names.values()])
+    adds = F.expr(" OR ".join(f"{a} <> 0" for a in names.values()))
+    events = valued.select(*safe_keys, F.explode(F.array_compact(F.array(
+        here, F.when(adds, later)))).alias("_e")).select(*safe_keys, "_e.*")
+    own = Window.partitionBy(*safe_keys, "_block").orderBy("_at")
+    ends = {f"_s_{n}": F.coalesce(F.sum(a).over(own.rangeBetween(_FIRST, _HERE)), F.lit(0))
+            + F.coalesce(F.sum(f"{a}_old").over(own.rangeBetween(_HERE, Window.unboundedFollowing)),
+                         F.lit(0)) for n, a in names.items()}
+    summed = events.withColumns(ends).filter("_row IS NOT NULL")
+    if blocks > 1:
+        across = Window.partitionBy(*safe_keys).orderBy("_block").rangeBetween(-(blocks - 1) * step,
+                                                                               -step)
+        between = (valued.groupBy(*safe_keys, "_block")
+                   .agg(*[F.sum(a).alias(a) for a in names.values()])
+                   .select(*safe_keys, "_block", *[F.sum(a).over(across).alias(f"_m_{n}")
+                                                   for n, a in names.items()]))
+        summed = summed.join(between, [*safe_keys, "_block"], "left").withColumns(
+            {f"_s_{n}": F.col(f"_s_{n}") + F.coalesce(f"_m_{n}", F.lit(0)) for n in names})
+    return summed.select("_row.*", *[F.col(f"_s_{n}").alias(n) for n in names])
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, start: str,

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.operators.ordered import (MICROS, asof, by_time, first_in_window, previous, runs,
-                                       trailing_sum)
+from opsloom.operators.ordered import (MICROS, asof, by_time, first_in_window, null_safe, previous,
+                                       runs, trailing_sum)
 
 EQUAL_TOLERANCE = 0.0001
 ORDER = ["us", "sample_id"]
@@ -106,10 +106,12 @@ def _slice_exits(times: np.ndarray, cooldown: int, start: int) -> list[tuple[int
     ``upto``) ends the slice with ``exit`` as its last notification.
     """
     hop, n = _hops(times, cooldown), len(times)
-    last = list(range(n))
-    for i in range(n - 1, -1, -1):
-        if hop[i] < n:
-            last[i] = last[hop[i]]
+    last = np.where(hop < n, hop, np.arange(n))
+    while True:     # each step doubles the hops that are followed
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
     # An earlier notification lies before the slice, so it can only delay up to start + cooldown.
     reach = min(n, int(np.searchsorted(times, start + cooldown, side="right")) + 1)
     table: list[tuple[int, int]] = []
@@ -133,12 +135,14 @@ def cooldown_sent(violations: DataFrame, by: Sequence[str], cooldown_s: int,
     task sees the violations of more than one slice.
     """
     cooldown = cooldown_s * MICROS
-    width = (slice_s or max(64 * cooldown_s, 86400)) * MICROS
-    keys = list(by)
+    width = (slice_s or max(16 * cooldown_s, 1)) * MICROS
+    violations, keys = null_safe(violations, by)
     times = violations.select(*keys, "us", (F.col("us") - F.pmod("us", F.lit(width)))
                               .alias("_slice")).dropDuplicates([*keys, "us", "_slice"])
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in violations.select(*keys).schema.fields)
+    given = [F.when(~F.col(f"_null_{k}"), F.col(f"_key_{k}")).alias(k) if k not in keys else F.col(k)
+             for k in by]
 
     def reduce_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["_slice"].iloc[0])
@@ -180,7 +184,7 @@ def cooldown_sent(violations: DataFrame, by: Sequence[str], cooldown_s: int,
         reduce_slice, f"{key_schema}, _slice long, upto long, exit long")
     entries = exits.groupBy(*keys).applyInPandas(follow, f"{key_schema}, _slice long, entry long")
     return (times.join(entries, [*keys, "_slice"]).groupBy(*keys, "_slice")
-            .applyInPandas(replay, f"{key_schema}, us long"))
+            .applyInPandas(replay, f"{key_schema}, us long").select(*given, "us"))
 
 
 def gaps(samples: DataFrame, defs: DataFrame, by: Sequence[str], k: float = 2.0) -> DataFrame:

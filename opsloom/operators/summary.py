@@ -7,12 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloom.operators.ordered import HOUR, MICROS, by_time, keep_newest
+from opsloom.operators.ordered import HOUR, MICROS, by_time, null_safe
 from opsloom.operators.select import pct
 
 TREND_LIMIT = 0.1
-# A weight of 2^-2200 times any double is zero, so older samples cannot change the average.
-EWMA_DEPTH = 2200
 
 
 def window_start(us: str | Column, seconds: int) -> Column:
@@ -70,19 +68,33 @@ def metric_summary(df: DataFrame, keys: Sequence[str] = ("collector", "name")) -
         F.max("us").alias("last_update"))
 
 
-def ewma_half(df: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+def ewma_half(df: DataFrame, keys: Sequence[str] = ("name",), seconds: int = HOUR) -> DataFrame:
     """``avg = (avg + value) / 2`` in time order, starting from the first value.
 
-    Closed form over the newest ``EWMA_DEPTH`` samples: weight 2^-rank from the newest, and the
-    very first sample of a series keeps the weight of its predecessor in rank.
+    Each slice is folded to its count and ``sum(value * 2^-rank)``, newest first; a slice then
+    weighs 2^-(samples after it). The first sample of a series has the weight of its successor.
+    Every sample takes part, so an early Inf or NaN stays in the average as in the recursion.
     """
-    kept = keep_newest(df, keys, ["us", "sample_id"], EWMA_DEPTH, spread="sample_id")
-    depth = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rank = F.col("rank_newest")
-    oldest = (rank == F.col("_d")) & (F.col("_d") < EWMA_DEPTH)
-    power = F.when(oldest, rank - 1).otherwise(rank)
-    return (kept.withColumn("_d", depth).groupBy(*keys)
-            .agg(F.sum(F.col("value") * F.pow(F.lit(0.5), power)).alias("ewma_half")))
+    safe, names = null_safe(df, keys)
+    sliced = safe.withColumn("_slice", by_time("us", seconds))
+    newest = Window.partitionBy(*names, "_slice").orderBy(F.desc("us"), F.desc("sample_id"))
+    rank = F.row_number().over(newest)
+    order = F.struct("us", "sample_id")
+    per_slice = sliced.withColumn("_r", rank).groupBy(*keys, *[n for n in names if n not in keys],
+                                                      "_slice").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("value") * half_to(F.col("_r"))).alias("_s"),
+        F.min_by("value", order).alias("_first"))
+    across = Window.partitionBy(*names).orderBy(F.desc("_slice"))
+    after = F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = per_slice.withColumns({"_after": after, "_oldest": F.lead("_slice").over(across).isNull()})
+    first = F.when(F.col("_oldest"), F.col("_first") * half_to(F.col("_after") + F.col("_n")))
+    return placed.groupBy(*keys).agg(
+        (F.sum(F.col("_s") * half_to(F.col("_after"))) + F.sum(first)).alias("ewma_half"))
+
+
+def half_to(n: Column) -> Column:
+    """2^-n, not below the smallest double that keeps Inf and NaN what they are."""
+    return F.pow(F.lit(0.5), F.least(n, F.lit(1074)).cast("double"))
 
 
 def health(df: DataFrame, name: str, end=None, window_s: int = 300) -> DataFrame:
