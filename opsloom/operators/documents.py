@@ -22,14 +22,15 @@ MAGIC = [("25504446", "application/pdf"), ("89504E470D0A1A0A", "image/png"),
          ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"), ("504B0304", "application/zip"),
          ("494433", "audio/mpeg"), ("1A45DFA3", "video/webm"), ("50415231", "application/x-parquet")]
 
+# Start of an HTML text: marks, blanks, comments and an XML line of any length may stand before it.
+HTML_START = r"(?is)\A\x{FEFF}?(?:\s++|<!--.*?-->|<\?xml.*?\?>)*+<(?:!doctype\s+html|html)"
+
 
 def mime_of(content: Column) -> Column:
-    """Mime type from leading bytes; text is told apart by its first tag."""
+    """Mime type from leading bytes; text is told apart by its first tag, wherever that stands."""
     head = F.hex(F.substring(content, 1, 16))
     known = F.coalesce(*[F.when(head.startswith(m), mime) for m, mime in MAGIC])
-    opening = F.lower(F.ltrim(F.substring(content, 1, 64).cast("string")))
-    return F.coalesce(known, F.when(opening.startswith("<!doctype html")
-                                    | opening.startswith("<html"), "text/html"),
+    return F.coalesce(known, F.when(content.cast("string").rlike(HTML_START), "text/html"),
                       F.lit("text/plain"))
 
 
@@ -62,12 +63,11 @@ def route(files: DataFrame) -> DataFrame:
 
 def chunk(docs: DataFrame, n: int = CHUNK, key: str = "file_id", body: str = "text") -> DataFrame:
     """Every ``n`` characters of the whole text; empty text has no chunk."""
+    parts = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{n}}}"), F.lit(0))
     count = F.ceil(F.length(body) / n).cast("int")
-    starts = F.sequence(F.lit(0), count - 1)
     return (docs.filter(F.length(body) > 0)
-            .select(key, count.alias("chunks"), F.col(body), F.posexplode(starts).alias("pos", "_i"))
-            .select(key, "pos", "chunks",
-                    F.substr(F.col(body), F.col("_i") * n + 1, F.lit(n)).alias("chunk")))
+            .select(key, count.alias("chunks"), F.posexplode(parts).alias("pos", "chunk"))
+            .select(key, "pos", "chunks", "chunk"))
 
 
 def hashed_terms(texts: Sequence[str]) -> np.ndarray:
@@ -119,7 +119,7 @@ def embed(docs: DataFrame, cache: DataFrame | None = None, now=None,
     return pooled if hits is None else hits.unionByName(pooled)
 
 
-# Prompt texts and how many characters of the content each one carries.
+# Prompt texts and how many characters of the content the head form of each carries.
 PROMPTS = {
     "title": ("Create a concise, descriptive title for this document in 10 words or less: ", 1000),
     "summary": ("Summarize the following text in 2-3 sentences: ", 2000),
@@ -131,15 +131,21 @@ PROMPTS = {
 }
 
 
-def prompts(docs: DataFrame, key: str = "file_id", body: str = "text") -> DataFrame:
-    """One prompt per document and task with its cache key.
+def prompts(docs: DataFrame, key: str = "file_id", body: str = "text",
+            heads: bool = False) -> DataFrame:
+    """Prompts per document and task with their cache keys.
 
-    A model prompt has a size limit, so carrying the head of the text is the feature here.
+    A model prompt has a size limit, so a long text gives one prompt for each numbered chunk (D04);
+    ``heads`` carries the head of the text only, in one prompt. Empty texts have no chunk to ask
+    about.
     """
-    cells = [F.struct(F.lit(task).alias("task"),
-                      F.concat(F.lit(head), F.left(F.col(body), F.lit(size)), F.lit("..."))
-                      .alias("prompt")) for task, (head, size) in PROMPTS.items()]
-    return docs.select(key, F.inline(F.array(*cells))).withColumn(
+    pieces = (docs.select(key, F.lit(0).alias("pos"), F.col(body).alias("chunk")) if heads
+              else chunk(docs, CHUNK, key, body))
+    cells = [F.struct(F.lit(task).alias("task"), F.concat(
+        F.lit(head), F.left("chunk", F.lit(size)) if heads else F.col("chunk"),
+        F.lit("...") if heads else F.lit("")).alias("prompt"))
+        for task, (head, size) in PROMPTS.items()]
+    return pieces.select(key, F.col("pos").alias("part"), F.inline(F.array(*cells))).withColumn(
         "cache_key", F.concat_ws(":", "task", F.md5("prompt")))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions import text
+from opsloom.operators.ordered import row_index
 from opsloom.operators.similar import knn
 
-# Searched fields in rank order, shortest word that may hold a typo, hit limit,
-# distance that counts for words that do not meet in one field.
+# Searched fields in rank order, shortest word that may hold a typo.
 FIELDS = ["title", "file_name", "summary", "tags", "categories", "dewey_decimal"]
 MIN_TYPO_SIZE = 3
-MAX_HITS = 1000
-FAR = 8
+# Distance of words that do not meet in any field: more than any text has words.
+APART = 1 << 31
 
 
 def postings(docs: DataFrame, fields: Sequence[str] = FIELDS, key: str = "id") -> DataFrame:
@@ -56,13 +56,15 @@ def matching_terms(idx: DataFrame, words: Sequence[str]) -> DataFrame:
 
 def search(docs: DataFrame, query: str, filters: Column | str | None = None,
            sort: Sequence[str] = (), fields: Sequence[str] = FIELDS, key: str = "id",
-           limit: int = MAX_HITS, offset: int = 0) -> DataFrame:
-    """Ranked hits, at most 1000.
+           limit: int | None = None, offset: int = 0, cap: int | None = None,
+           far: int | None = None) -> DataFrame:
+    """Ranked hits, all of them unless ``limit`` asks for a page.
 
     Rules in order: query words found, typos, proximity of neighbouring query words, best field,
-    ``sort`` columns (a leading minus sorts descending), exactly matched words. The cap is the
-    page limit of the index settings. Ranking carries ids, rule values and sort columns only; the
-    documents themselves are joined to the page of hits.
+    ``sort`` columns (a leading minus sorts descending), exactly matched words. ``cap`` ends the
+    result after so many hits, as the page limit of an index does, and ``far`` treats greater
+    distances as equal; both are off by default. A page past the end is empty. Ranking carries ids,
+    rule values and sort columns only; the documents themselves are joined to the page of hits.
     """
     kept = docs if filters is None else docs.filter(filters)
     words = query_words(query)
@@ -77,8 +79,9 @@ def search(docs: DataFrame, query: str, filters: Column | str | None = None,
     gaps = []
     for i in range(len(words) - 1):
         here = F.col("word_no").isin(i, i + 1)
-        gaps.append(F.least(F.lit(FAR), F.coalesce(F.min(F.when(here, F.abs(
-            F.col(f"_p{i}") - F.col(f"_p{i + 1}")))), F.lit(FAR))).alias(f"_g{i}"))
+        most = F.lit(APART if far is None else far)
+        gaps.append(F.least(most, F.coalesce(F.min(F.when(here, F.abs(
+            F.col(f"_p{i}") - F.col(f"_p{i + 1}")))), most)).cast("long").alias(f"_g{i}"))
     best = [F.min(F.when(F.col("word_no") == i, F.col("typos"))).alias(f"_t{i}")
             for i in range(len(words))]
     places = placed.groupBy("doc").agg(F.min("field_rank").alias("attribute"), *gaps, *best)
@@ -88,7 +91,7 @@ def search(docs: DataFrame, query: str, filters: Column | str | None = None,
         "typos": sum((F.coalesce(t, F.lit(0)).cast("long") for t in typo_cols), F.lit(0).cast("long")),
         "exact": sum((F.coalesce((t == 0).cast("long"), F.lit(0)) for t in typo_cols),
                      F.lit(0).cast("long"))})
-    proximity = sum((F.col(f"_g{i}") for i in range(len(gaps))), F.lit(0))
+    proximity = sum((F.col(f"_g{i}") for i in range(len(gaps))), F.lit(0).cast("long"))
     names = [c.lstrip("-") for c in sort]
     by = [F.desc(f"_s_{c[1:]}") if c.startswith("-") else F.asc(f"_s_{c}") for c in sort]
     order = [F.desc("words"), "typos", "proximity", "attribute", *by, F.desc("exact"), "doc"]
@@ -96,7 +99,11 @@ def search(docs: DataFrame, query: str, filters: Column | str | None = None,
     if names:
         keys = kept.select(F.col(key).alias("doc"), *[F.col(c).alias(f"_s_{c}") for c in names])
         rules = rules.join(keys, "doc")
-    page = rules.orderBy(*order).offset(offset).limit(min(limit, MAX_HITS - offset))
+    sizes = [n for n in (limit, None if cap is None else max(cap - offset, 0)) if n is not None]
+    page = rules
+    if offset or sizes:
+        page = rules.orderBy(*order).offset(offset)
+        page = page.limit(min(sizes)) if sizes else page
     ranked = page.join(kept.withColumnRenamed(key, "doc"), "doc").orderBy(*order)
     return ranked.select(F.col("doc").alias(key), "words", "typos", "proximity", "attribute", "exact",
                          *[c for c in kept.columns if c not in (key, "words")])
@@ -112,14 +119,19 @@ def vector_search(docs: DataFrame, queries: DataFrame, k: int, filters: Column |
 def hybrid(keyword_hits: DataFrame, vector_hits: DataFrame, k: int, depth: int = 60) -> DataFrame:
     """Merge two ranked lists of (id, rank) by the sum of 1 / (depth + rank).
 
-    Both lists are search results of at most 1000 rows each.
+    Both lists compete in full; ``k`` cuts the merged one only.
     """
     both = keyword_hits.select("id", "rank").unionByName(vector_hits.select("id", "rank"))
     return (both.groupBy("id").agg(F.round(F.sum(1 / (depth + F.col("rank"))), 9).alias("score"))
             .orderBy(F.desc("score"), "id").limit(k))
 
 
-def numbered(hits: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rank of a capped hit list (at most 1000 rows)."""
-    return hits.limit(MAX_HITS).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+def numbered(hits: DataFrame, order: Sequence[str], coarse: Sequence[str]) -> DataFrame:
+    """Rank of every hit under ``order``, ascending columns of which ``coarse`` are the first.
+
+    Hits are ranked within equal values of ``coarse`` and these are added up, so a long list is never
+    sorted by one task unless all its hits agree on them.
+    """
+    one = hits.withColumns({"_all": F.lit(0), "_coarse": F.struct(*coarse)})
+    ranked = row_index(one, ["_all"], order, F.col("_coarse"), "_at")
+    return ranked.withColumn("rank", F.col("_at") + 1).drop("_all", "_coarse", "_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
@@ -87,6 +87,22 @@ def score(model: PipelineModel, df: DataFrame, vec: str = "embedding") -> DataFr
         "features", "_y", "_p", "rawPrediction", "probability")
 
 
+def score_linear(df: DataFrame, classes: Mapping[str, tuple[str, float]],
+                 vec: str = "embedding") -> DataFrame:
+    """D22 with given coefficients: the class of the largest ``w . x + b``, the first one on ties.
+
+    ``classes`` has for each class the weight at place ``i`` (from 0) as an expression, and ``b``.
+    """
+    x = F.col(vec).cast("array<double>")
+    cells = []
+    for at, (name, (weight, bias)) in enumerate(classes.items()):
+        dot = F.expr(f"aggregate(transform(cast({vec} AS array<double>), (x, i) -> x * ({weight})), "
+                     f"0.0D, (a, y) -> a + y)") + F.lit(float(bias))
+        cells.append(F.struct(dot.alias("margin"), F.lit(-at).alias("place"), F.lit(name).alias("name")))
+    best = F.array_max(F.array(*cells))
+    return df.withColumn("prediction", F.when(x.isNotNull(), best["name"]))
+
+
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """A22, long form."""
     return pred.groupBy(F.col(label).cast("string").alias("label"),

@@ -90,15 +90,16 @@ def d05b(spark, d):
 
 
 PROMPTS_SQL = " UNION ALL ".join(
-    f"SELECT doc_id AS file_id, '{t}' AS task, '{h}' || left(text, {n}) || '...' AS prompt FROM documents"
-    for t, (h, n) in docs.PROMPTS.items())
+    f"SELECT doc_id AS file_id, part, '{t}' AS task, '{h}' || substr(text, part * {docs.CHUNK} + 1, {docs.CHUNK}) "
+    f"AS prompt FROM (SELECT *, unnest(range(CAST(ceil(length(text) / {docs.CHUNK}) AS BIGINT))) AS part "
+    "FROM documents)" for t, (h, _) in docs.PROMPTS.items())
 
 
 @query("d06_prompts", f"""WITH p AS ({PROMPTS_SQL})
-SELECT file_id, task, length(prompt) AS size, task || ':' || md5(prompt) AS cache_key FROM p""")
+SELECT file_id, part, task, length(prompt) AS size, task || ':' || md5(prompt) AS cache_key FROM p""")
 def d06(spark, d):
     return docs.prompts(model.files(spark, d)).select(
-        "file_id", "task", F.length("prompt").alias("size"), "cache_key")
+        "file_id", "part", "task", F.length("prompt").alias("size"), "cache_key")
 
 
 def responses(spark, d):

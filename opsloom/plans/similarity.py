@@ -104,13 +104,13 @@ p AS (SELECT *, last_value(CASE WHEN word_no = 0 THEN pos END IGNORE NULLS) OVER
   last_value(CASE WHEN word_no = 3 THEN pos END IGNORE NULLS) OVER w AS p3
   FROM h WINDOW w AS (PARTITION BY id, field_rank ORDER BY pos, word_no ROWS UNBOUNDED PRECEDING)),
 a AS (SELECT id, min(field_rank) AS attribute,
-  least(8, coalesce(min(CASE WHEN word_no IN (0, 1) THEN abs(p0 - p1) END), 8)) +
-  least(8, coalesce(min(CASE WHEN word_no IN (1, 2) THEN abs(p1 - p2) END), 8)) +
-  least(8, coalesce(min(CASE WHEN word_no IN (2, 3) THEN abs(p2 - p3) END), 8)) AS proximity FROM p GROUP BY 1),
+  coalesce(min(CASE WHEN word_no IN (0, 1) THEN abs(p0 - p1) END), 2147483648) +
+  coalesce(min(CASE WHEN word_no IN (1, 2) THEN abs(p1 - p2) END), 2147483648) +
+  coalesce(min(CASE WHEN word_no IN (2, 3) THEN abs(p2 - p3) END), 2147483648) AS proximity FROM p GROUP BY 1),
 m AS (SELECT id, word_no, min(typos) AS typos FROM h GROUP BY 1, 2),
 k AS (SELECT id, count(*) AS words, sum(typos)::BIGINT AS typos, count(*) FILTER (typos = 0) AS exact FROM m GROUP BY 1),
 hits AS (SELECT id, words, typos, proximity, attribute, exact, file_size FROM k JOIN a USING (id) JOIN d USING (id)
-ORDER BY words DESC, typos, proximity, attribute, file_size DESC, exact DESC, id LIMIT 1000)"""
+)"""
 
 
 @query("d16_search", SEARCH_SQL + """ SELECT id, words, typos, proximity,
@@ -154,9 +154,10 @@ vr AS (SELECT id, row_number() OVER (ORDER BY round(distance, 9), id) AS rank FR
 SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM vr)
 GROUP BY id ORDER BY score DESC, id LIMIT 50""")
 def d17b(spark, d):
-    kw = search.numbered(run_search(spark, d), [F.desc("words"), F.col("typos"), F.col("proximity"),
-                                                F.col("attribute"), F.desc("file_size"),
-                                                F.desc("exact"), F.col("id")])
+    hits = run_search(spark, d).withColumns({"more_words": -F.col("words"), "larger": -F.col("file_size"),
+                                             "more_exact": -F.col("exact")})
+    coarse = ["more_words", "typos", "proximity", "attribute"]
+    kw = search.numbered(hits, [*coarse, "larger", "more_exact", "id"], coarse)
     # The query vector is the direction of the whole collection.
     seed = summary.pool_vectors(vectors(spark, d, "_").select(
         F.lit(-1).cast("long").alias("query_id"), "embedding"), "query_id")

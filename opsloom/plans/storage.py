@@ -43,9 +43,22 @@ def s01(spark, d):
                        F.col("labels")["user_id"].alias("user_id"))
 
 
-@query("s03_scan_files")
+@query("s03_scan_files", """SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS suffix,
+  strlen(html) + 1 AS file_size, 'txt' AS extension, true AS named, true AS timed FROM pages""")
 def s03(spark, d):
-    return src_files.scan_files(spark, d, "*.parquet").select("file_name", "extension", "file_size")
+    """Pages written as text files, one folder each, and found again by a scan of the tree."""
+    path = fresh_dir(spark, "tree")
+    pages = model.table(spark, d, "pages")
+    suffix = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
+    (pages.select("page_id", suffix.alias("suffix"), F.col("html").alias("value"))
+     .write.partitionBy("page_id", "suffix").text(path))
+    found = src_files.scan_files(spark, path, "*.txt")
+    return found.select(
+        F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"),
+        F.regexp_replace(F.regexp_extract("path", "suffix=([^/]*)/", 1), "__HIVE_DEFAULT_PARTITION__", "")
+        .alias("suffix"), "file_size", "extension",
+        (F.col("file_name") == F.element_at(F.split("path", "/"), -1)).alias("named"),
+        F.col("modified_at").isNotNull().alias("timed"))
 
 
 @query("s04_read_stats_json", ORACLES["a15_error_metrics"])

@@ -83,7 +83,7 @@ def stream_health(samples: DataFrame, size: str, slide: str | None = None,
     """N, current, avg, max per sliding event-time window."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     return (samples.withWatermark("ts", late).groupBy(window.alias("w"), *by)
-            .agg(F.count(F.lit(1)).alias("n"), F.max_by("value", "us").alias("current"),
+            .agg(F.count(F.lit(1)).alias("n"), F.max_by("value", F.struct("us", "sample_id")).alias("current"),
                  F.avg("value").alias("avg"), F.max("value").alias("max"))
             .select(*by, F.unix_micros("w.start").alias("start_us"),
                     F.unix_micros("w.end").alias("end_us"), "n", "current", "avg", "max"))
@@ -93,7 +93,7 @@ def stream_summary(samples: DataFrame, by: Sequence[str] = ("collector", "name")
     """Running A01; use update mode and keep the newest row per key."""
     return samples.groupBy(*by).agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.avg("value").alias("avg_value"), F.max_by("value", "us").alias("last_value"),
+        F.avg("value").alias("avg_value"), F.max_by("value", F.struct("us", "sample_id")).alias("last_value"),
         F.max("us").alias("last_update"))
 
 
