@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions import text
-from opsloom.operators.ordered import by_prefix, previous
 from opsloom.session import cut
 
 BLOCK_BYTES = 16 * 1024 * 1024
 QUERY_ROWS = 512
+EPSILON = 1e-9   # bounds are products of a decimal threshold and must not fall short by rounding
 
 
 # ---------------------------------------------------------------- nearest vectors
@@ -106,26 +106,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: st
 
 # ---------------------------------------------------------------- near duplicates
 
-# One (multiplier, increment) pair per hash function, all below the prime.
+# Shingle hashes are numbers below this prime.
 PRIME = 2147483647
-BANDS, ROWS = 8, 4
-
-
-def coefficients(count: int) -> list[tuple[int, int]]:
-    a, b, out = 1103515245, 12345, []
-    for _ in range(count):
-        a = (a * 48271) % PRIME
-        b = (b * 69621 + 1) % PRIME
-        out.append((a, b))
-    return out
-
-
-def signatures(sets: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """MinHash values per id. The members of one set share a task, so they combine before the shuffle."""
-    mins = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}")
-            for i, (a, b) in enumerate(coefficients(bands * rows))]
-    return (sets.select("id", F.explode("set").alias("h")).groupBy("id").agg(*mins)
-            .select("id", F.array(*[f"m{i}" for i in range(bands * rows)]).alias("sig")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -133,14 +115,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body: str = "text",
-            bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def rare_items(sets: DataFrame, threshold: float) -> DataFrame:
+    """``item, id, n, left``: the items by which sets of the asked Jaccard similarity must meet.
+
+    Items stand in the order of how many sets have them. Similar sets share one of the first
+    ``n - threshold * n + 1`` items of both; ``left`` counts the items from here on. Items of one
+    set take places but meet nothing.
+    """
+    each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("item"))
+    common = each.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ordered = (each.join(common, "item").groupBy("id", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("list")))
+    return (ordered.select("id", "n", F.size("list").alias("m"), F.posexplode("list"))
+            .select(F.col("col.item").alias("item"), "id", "n", (F.col("m") - F.col("pos")).alias("left"))
+            .filter(F.col("left") + EPSILON >= threshold * F.col("n")))
+
+
+def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id",
+            body: str = "text") -> DataFrame:
     """RELATED_TO edges (src, dst, score), src < dst, score = exact Jaccard of word 3-grams.
 
-    Exact copies hang on their first file with score 1. The first files go through MinHash bands.
-    In a band bucket every file is compared with the bucket's first file and with its neighbour in
-    signature order, so a bucket of m files costs 2m comparisons and gives at most 2m edges: a
-    group stays connected without listing all its pairs.
+    Exact copies hang on their first file with score 1. Of the first files every pair that reaches
+    the threshold is found: they meet by their rarest shingles, early enough in both sets for the
+    overlap to be reachable, and are compared on whole sets.
     """
     src = docs.select(key, F.md5(body).alias("_h"), body)
     firsts = src.groupBy("_h").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -151,26 +148,17 @@ def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body:
                       F.lit(1.0).alias("score")))
     uniques = src.join(firsts.select(F.col("_first").alias(key)), key, "left_semi")
     runs = text.shingles(F.col("_w"))
-    # Sets and band members are read several times below, so both are written once.
+    # Sets are read several times below, so they are written once.
     hashed = cut(uniques.select(F.col(key).alias("id"), text.words(body).alias("_w")).select(
         "id", F.array_distinct(F.transform(runs, lambda s: text.hash_number(s) % PRIME))
         .alias("set")), "sets")
-    signed = signatures(hashed, bands, rows)
-    cells = [F.struct(F.lit(b).alias("band"), F.md5(F.array_join(
-        F.slice("sig", b * rows + 1, rows).cast("array<string>"), ",")).alias("bucket"))
-        for b in range(bands)]
-    members = cut(signed.select("id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ","))
-                                .alias("place"), F.inline(F.array(*cells))), "bands")
-    # A bucket with a single file needs no comparison; dropping those first keeps the rest small.
-    pivots = members.groupBy("band", "bucket").agg(F.min("id").alias("pivot"),
-                                                   F.count(F.lit(1)).alias("n")).filter("n > 1")
-    busy = members.join(pivots, ["band", "bucket"])
-    star = busy.filter("id > pivot").select(F.col("pivot").alias("src"), F.col("id").alias("dst"))
-    near = previous(busy.select("band", "bucket", "place", "id"), ["band", "bucket"],
-                    ["place", "id"], {"_p": F.col("id")}, by_prefix("place"))
-    chain = near.filter("_p IS NOT NULL").select(
-        F.least("_p", "id").alias("src"), F.greatest("_p", "id").alias("dst"))
-    pairs = star.unionByName(chain).distinct()
+    rare = rare_items(hashed, threshold)
+    other = rare.toDF("item", "id2", "n2", "left2")
+    reach = threshold / (1 + threshold) * (F.col("n") + F.col("n2"))
+    pairs = (rare.join(other, "item").filter("id < id2")
+             .filter(F.least("left", "left2") + EPSILON >= reach)
+             .filter(F.least("n", "n2") + EPSILON >= threshold * F.greatest("n", "n2"))
+             .select(F.col("id").alias("src"), F.col("id2").alias("dst")).distinct())
     left = hashed.select(F.col("id").alias("src"), F.col("set").alias("_a"))
     right = hashed.select(F.col("id").alias("dst"), F.col("set").alias("_b"))
     scored = (pairs.join(left, "src").join(right, "dst")

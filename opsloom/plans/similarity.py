@@ -40,19 +40,10 @@ SHINGLE_SQL = f"""s AS (SELECT id, list_distinct(list_transform(CASE WHEN len(w)
   ELSE [array_to_string(w, ' ')] END,
   lambda t: CAST(concat('0x', substring(md5(t), 1, 8)) AS BIGINT) % {similar.PRIME})) AS set
   FROM (SELECT min(doc_id) AS id, {WORDS_SQL} AS w FROM documents GROUP BY text))"""
-SIG_SQL = ", ".join(f"list_min(list_transform(set, lambda h: (h * {a} + {b}) % {similar.PRIME}))"
-                    for a, b in similar.coefficients(similar.BANDS * similar.ROWS))
-
-
-@query("d11_related", f"""WITH {SHINGLE_SQL}, g AS MATERIALIZED (SELECT id, set, [{SIG_SQL}] AS sig FROM s),
-m AS MATERIALIZED (SELECT id, md5(array_to_string(sig, ',')) AS place, b AS band,
-  md5(array_to_string(sig[b * 4 + 1 : b * 4 + 4], ',')) AS bucket FROM g, range({similar.BANDS}) t(b)),
-star AS (SELECT min(id) OVER (PARTITION BY band, bucket) AS src, id AS dst FROM m),
-chain AS (SELECT lag(id) OVER (PARTITION BY band, bucket ORDER BY place, id) AS p, id FROM m),
-pairs AS (SELECT src, dst FROM star WHERE src < dst UNION
-  SELECT least(p, id), greatest(p, id) FROM chain WHERE p IS NOT NULL),
-j AS (SELECT src, dst, len(list_intersect(a.set, b.set)) AS n, len(a.set) + len(b.set) AS t
-  FROM pairs JOIN g a ON a.id = src JOIN g b ON b.id = dst),
+
+@query("d11_related", f"""WITH {SHINGLE_SQL}, e AS MATERIALIZED (SELECT id, len(set) AS n, unnest(set) AS h FROM s),
+j AS (SELECT a.id AS src, b.id AS dst, count(*) AS n, any_value(a.n) + any_value(b.n) AS t
+  FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2),
 c AS (SELECT min(doc_id) OVER (PARTITION BY text) AS src, doc_id AS dst FROM documents)
 SELECT src, dst, round(n / (t - n), 6) AS score FROM j WHERE n / (t - n) >= 0.6
 UNION ALL SELECT src, dst, 1.0 FROM c WHERE src < dst""")
