@@ -16,6 +16,7 @@ from opsloom.operators.summary import pool_vectors
 from opsloom.session import cut
 
 CHUNK = 8000
+FIRST_SIGN = 48   # cells of term vectors are written as the ASCII signs from here on
 
 # Leading bytes (hex) of known formats.
 MAGIC = [("25504446", "application/pdf"), ("89504E470D0A1A0A", "image/png"),
@@ -70,32 +71,27 @@ def chunk(docs: DataFrame, n: int = CHUNK, key: str = "file_id", body: str = "te
             .select(key, "pos", "chunks", "chunk"))
 
 
-def hashed_terms(texts: Sequence[str]) -> np.ndarray:
-    """Default vectoriser: token counts in md5 buckets."""
-    import hashlib
+def term_counts(tokens: str) -> tuple[Column, Column]:
+    """Default vector: how many tokens of the column fall into each of ``text.DIMS`` md5 cells.
 
-    import regex
-    splitter, cache = regex.compile(r"[^\p{L}]+"), {}
-    out = np.zeros((len(texts), text.DIMS))
-    for row, body in enumerate(texts):
-        for w in splitter.split(body.lower()):
-            if not w:
-                continue
-            bucket = cache.get(w)
-            if bucket is None:
-                bucket = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % text.DIMS
-                cache[w] = bucket
-            out[row, bucket] += 1
-    return out
+    Gives the expression of column ``_signs`` and, over that column, the counts. Every cell is a sign; the tokens become one string of signs, and counting one is a string
+    operation instead of a pass over the tokens.
+    """
+    signs = F.array_join(F.transform(tokens, lambda w: F.char(
+        F.pmod(text.hash_number(w), F.lit(text.DIMS)) + FIRST_SIGN)), "")
+    counts = F.transform(F.array(*[F.lit(chr(FIRST_SIGN + d)) for d in range(text.DIMS)]),
+                         lambda c: F.length("_signs") - F.length(F.replace(F.col("_signs"), c, F.lit(""))))
+    return signs, counts.cast("array<double>")
 
 
 def embed(docs: DataFrame, cache: DataFrame | None = None, now=None,
-          vectorise: Callable[[Sequence[str]], np.ndarray] = hashed_terms,
+          vectorise: Callable[[Sequence[str]], np.ndarray] | None = None,
           batch: int = 32, n: int = CHUNK) -> DataFrame:
     """Vectors per (model, md5_hash), computed only for contents the cache does not hold.
 
-    ``docs`` has model, md5_hash, text. Copies of one content are embedded once. The vectoriser
-    gets lists of at most ``batch`` chunks; chunk vectors are averaged and normalised.
+    ``docs`` has model, md5_hash, text. Copies of one content are embedded once. By default a chunk's
+    vector is its term counts, computed without Python; a vectoriser gets lists of at most ``batch``
+    chunks instead. Chunk vectors are averaged and normalised.
     """
     todo = docs.groupBy("model", "md5_hash").agg(F.any_value("text").alias("text"))
     hits = None
@@ -113,7 +109,13 @@ def embed(docs: DataFrame, cache: DataFrame | None = None, now=None,
 
     pieces = chunk(todo.withColumn("_k", F.struct("model", "md5_hash")), n, "_k").select(
         "_k.*", "chunk")
-    vectors = pieces.mapInPandas(run, "model string, md5_hash string, embedding array<double>")
+    if vectorise is None:
+        signs, counts = term_counts("_w")
+        worded = pieces.select("model", "md5_hash", text.words("chunk").alias("_w"))
+        vectors = (worded.select("model", "md5_hash", signs.alias("_signs"))
+                   .select("model", "md5_hash", counts.alias("embedding")))
+    else:
+        vectors = pieces.mapInPandas(run, "model string, md5_hash string, embedding array<double>")
     pooled = (pool_vectors(vectors.select(F.struct("model", "md5_hash").alias("_k"), "embedding"),
                            "_k").select("_k.*", "embedding"))
     return pooled if hits is None else hits.unionByName(pooled)

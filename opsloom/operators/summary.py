@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,10 +242,10 @@ def throughput(df: DataFrame, every_s: int, by: Sequence[str]) -> DataFrame:
 
 def pool_vectors(chunks: DataFrame, key: str = "file_id", vec: str = "embedding") -> DataFrame:
     """Mean of chunk vectors, then L2 norm 1; a zero mean vector gives NULL."""
-    cells = chunks.select(key, F.posexplode(vec).alias("pos", "x"))
-    means = cells.groupBy(key, "pos").agg(F.avg("x").alias("m"))
-    packed = means.groupBy(key).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("_v"))
+    whole = chunks.filter(F.col(vec).isNotNull()).select(
+        key, array_to_vector(F.col(vec).cast("array<double>")).alias("_x"))
+    packed = whole.groupBy(key).agg(Summarizer.mean(F.col("_x")).alias("_m")).select(
+        key, vector_to_array("_m").alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     return (packed.withColumn("_n", norm)
             .select(key, F.when(F.col("_n") > 0, F.transform("_v", lambda x: x / F.col("_n")))
