@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +33,18 @@ def append_samples(rounds: DataFrame, path: str) -> None:
     """Append one or many rounds.
 
     Range partitioning by (collector, date, name, ts) spreads a busy day over several files and
-    sorts every file, so row-group statistics serve name and time filters.
+    sorts every file, so row-group statistics serve name and time filters. A round that is appended
+    again adds nothing: samples whose ids the store already has on those days are left out.
     """
-    rows = collection_rows(rounds)
+    rows = collection_rows(rounds).dropDuplicates(["sample_id"])
+    days = rows.agg(F.min("date").alias("low"), F.max("date").alias("high")).first()
+    try:
+        stored = rows.sparkSession.read.parquet(path)
+    except AnalysisException:   # no store yet
+        stored = None
+    if stored is not None and days["low"] is not None:
+        known = stored.filter(F.col("date").between(days["low"], days["high"])).select("sample_id")
+        rows = rows.join(known, "sample_id", "left_anti").select(*rows.columns)
     (rows.repartitionByRange("collector", "date", "name", "ts")
      .sortWithinPartitions("collector", "date", "name", "ts")
      .write.mode("append").partitionBy("collector", "date").parquet(path))

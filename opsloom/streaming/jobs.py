@@ -105,10 +105,20 @@ def newest_batch(updates: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def with_lateness(samples: DataFrame, max_age: str = "168 hours") -> DataFrame:
-    """Stateful operators downstream drop rows older than the watermark."""
+    """Every stateful operator downstream drops rows older than the watermark.
+
+    Windowed aggregates do so by themselves, the alert rules by ``_stateful``; either way the
+    watermark is that of the batches before, so what a batch drops does not depend on its order.
+    """
     return samples.withWatermark("ts", max_age)
 
 
+def _event_time(df: DataFrame) -> list[str]:
+    """The event-time column, if ``df`` has a watermark on it; rules must carry it along."""
+    marked = "ts" in df.columns and any("watermark" in k for k in df.schema["ts"].metadata)
+    return ["ts"] if marked else []
+
+
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["us", "sample_id"],
                                                                  ignore_index=True)
@@ -119,15 +129,22 @@ def _schema_of(df: DataFrame, cols: Sequence[str]) -> str:
 
 
 def _stateful(df: DataFrame, by: Sequence[str], fn: Callable, out: str, state: str) -> DataFrame:
-    return df.groupBy(*by).applyInPandasWithState(fn, out, state, "append",
-                                                  GroupStateTimeout.NoTimeout)
+    def on_time(key, frames, state: GroupState):
+        mark = state.getCurrentWatermarkMs() * 1000
+        kept = [f[f["us"] >= mark] for f in frames]
+        if any(len(f) for f in kept):
+            yield from fn(key, iter(kept), state)
+
+    return df.groupBy(*by).applyInPandasWithState(on_time if _event_time(df) else fn, out, state,
+                                                  "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_threshold(samples: DataFrame, rules: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """M04 = W05: the state of a series is the start of its current violating run."""
     by = ["rule", *series]
     joined = samples.join(rules, samples["name"] == rules["metric"]).select(
-        *by, "sample_id", "us", "value", F.col("duration_s").cast("long").alias("duration_s"),
+        *by, *_event_time(samples), "sample_id", "us", "value",
+        F.col("duration_s").cast("long").alias("duration_s"),
         violates(F.col("value"), F.col("comparison"), F.col("threshold")).alias("violated"))
 
     def step(key, frames, state: GroupState):
@@ -152,7 +169,7 @@ def stream_threshold(samples: DataFrame, rules: DataFrame, series: Sequence[str]
 def stream_pattern(log: DataFrame, by: Sequence[str], matched: Column, occurrences: int,
                    window_s: int = 300) -> DataFrame:
     """M07 = W04: the state is the list of match times still inside the window."""
-    rows = log.select(*by, "sample_id", "us", F.coalesce(matched, F.lit(False)).alias("matched"))
+    rows = log.select(*by, *_event_time(log), "sample_id", "us", F.coalesce(matched, F.lit(False)).alias("matched"))
     width = window_s * MICROS
 
     def step(key, frames, state: GroupState):
@@ -173,7 +190,7 @@ def stream_pattern(log: DataFrame, by: Sequence[str], matched: Column, occurrenc
 def stream_rate(samples: DataFrame, by: Sequence[str], threshold: float,
                 window_s: int = 300) -> DataFrame:
     """M07 = W02: the state holds times and values still inside the window."""
-    rows = samples.select(*by, "sample_id", "us", "value")
+    rows = samples.select(*by, *_event_time(samples), "sample_id", "us", "value")
     width = window_s * MICROS
 
     def step(key, frames, state: GroupState):
@@ -203,7 +220,7 @@ def stream_episodes(marks: DataFrame, by: Sequence[str]) -> DataFrame:
     ``marks`` has (by, us, sample_id, resolve, value, cooldown_s). Output rows are ``notify``
     (a notification is due) and ``resolved`` (an episode closed, with its figures).
     """
-    rows = marks.select(*by, "us", "sample_id", F.col("resolve").cast("int").alias("resolve"),
+    rows = marks.select(*by, *_event_time(marks), "us", "sample_id", F.col("resolve").cast("int").alias("resolve"),
                         "value", F.col("cooldown_s").cast("long").alias("cooldown_s"))
     cols = ["us", "kind", "opened_us", "fires", "peak_value"]
 
