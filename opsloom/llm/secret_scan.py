@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +97,15 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, path: str = VOCABULARY, most: float = CHARS_PER_TOKEN) -> DataFrame:
     """``doc_id`` and ``found``, the spans of its text, for every row of ``docs``."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [[{"kind": KINDS[k], "start": a, "end": e} for a, k, e in spans_of(text, path, most)]
-                     for text in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "found": found})
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"kind": KINDS[k], "start": a, "end": e} for a, k, e in spans_of(x.as_py(), path, most)]
+                     for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "found"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
@@ -136,26 +138,27 @@ def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> st
 def redact(docs: DataFrame, mask: str = "<secret>", path: str = VOCABULARY,
            most: float = CHARS_PER_TOKEN) -> DataFrame:
     """``docs`` with all spans masked; ``n_chars``, where present, follows the text of a changed row."""
-    counted = "n_chars" in docs.columns
+    names = docs.columns
+    place, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            spans = [spans_of(text, path, most) for text in frame["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(place)]
+            spans = [spans_of(text, path, most) for text in texts]
             hit = [i for i, s in enumerate(spans) if s]
+            columns = list(batch.columns)
             if hit:
-                frame = frame.copy()
-                texts = frame["text"].astype(object).to_list()
-                sizes = frame["n_chars"].astype(object).to_list() if counted else None
                 for i in hit:
                     texts[i] = masked(texts[i], spans[i], mask)
-                    if counted:
+                columns[place] = pa.array(texts, columns[place].type)
+                if size is not None:
+                    sizes = columns[size].to_pylist()
+                    for i in hit:
                         sizes[i] = len(texts[i])
-                frame["text"] = pd.Series(texts, index=frame.index, dtype=object)
-                if counted:
-                    frame["n_chars"] = pd.Series(sizes, index=frame.index, dtype=object)
-            yield frame
+                    columns[size] = pa.array(sizes, columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fingerprint(spans: list[tuple[int, int, int]]) -> str:
