@@ -6,13 +6,20 @@ alone and a passage has the same inner cuts wherever it stands. From every sente
 ``SENTENCES`` sentences and ``WORDS`` words; its words are hashed. Spans met twice or more anywhere are repeated;
 the first of them, by ``doc_id`` and place, stays, and sentences covered by any other one are removed.
 
+Passages need no cuts to be found: of all runs of ``WORDS`` words those with the least hash among ``GAP`` neighbours
+are anchors (winnowing), so every repeat of ``WORDS + GAP - 1`` words has an anchor, the same one in each place, and
+neighbouring anchors overlap. Where two or more neighbouring anchors repeat, the runs of words up to ``GAP - 1``
+before and after them are counted too, so a passage of ``WORDS + 2 * GAP - 1`` words goes to its first and last word.
+Words covered by a repeated run that is not the first of its kind are removed, also from within a sentence.
+
 How it runs. Spans are counted by hash alone, with partial aggregation. A bitmap of fixed size made of the
 repeated hashes then lets a second pass over the texts leave out almost all other spans, and a join with
 the repeated hashes the rest. So what is shuffled besides texts follows the amount of repetition, and a
-passage in a third of all texts costs a row for each of them and no group of them.
+passage in a third of all texts costs a row for each of them and no group of them. The runs at the ends of
+repeated anchors set a second bitmap, by which the same pass finds them also inside longer repeats.
 
-Defined results: null and empty texts stay and lose nothing; texts of fewer sentences or words than a span
-stay; rows without an id stay and take no part; rows that repeat a ``doc_id`` are told apart by their words,
+Defined results: null and empty texts stay and lose nothing; texts of fewer words than a span
+stay; ``n_removed`` counts the sentences under sentence spans, ``removed`` has all ranges; rows without an id stay and take no part; rows that repeat a ``doc_id`` are told apart by their words,
 and equal ones count as one; ties can't occur besides; an empty table gives an empty result.
 """
 
@@ -25,14 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloom.llm.tokens import CONTINUES, U64, Chunk, as_long, chunks, mix
+from opsloom.llm.tokens import CONTINUES, U64, Chunk, as_long, chunks, mix, random_words
 from opsloom.session import cut
 
 SENTENCES = 3
 WORDS = 16
 CUT_EVERY = 10
+GAP = 12             # of so many neighbouring runs of WORDS words one at least is an anchor
 BITMAP_BITS = 26     # 8 MB
 
+RUN = random_words(1, 43)[0]     # tells runs of words from sentence spans of the same words
+
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 
@@ -68,6 +78,46 @@ def spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return keys, text, first - bounds[text], stop - first
 
 
+def slide(best, x: np.ndarray, k: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``k`` neighbours."""
+    done = 1
+    while done < k:
+        step = min(done, k - done)
+        x = best(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def word_runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every run of ``WORDS`` words, whether it lies in one text, and the places of the anchors."""
+    hashes = chunk.hashes()
+    at = np.arange(len(hashes) - WORDS + 1)
+    if not len(at):
+        none = np.zeros(0, dtype=np.int64)
+        return none.view(U64), none.astype(bool), none
+    keys = mix(Chunk.ranges(hashes, at, at + WORDS) ^ RUN)
+    text = chunk.text_of_word()
+    good = text[:len(at)] == text[WORDS - 1:]
+    # runs across texts never win; there are WORDS - 1 >= GAP of them, so no window sees two texts
+    none = np.full(GAP - 1, ~U64(0))
+    low = slide(np.minimum, np.concatenate((none, np.where(good, keys, ~U64(0)), none)), GAP)
+    return keys, good, np.flatnonzero(good & (slide(np.maximum, low, GAP) == keys))
+
+
+def is_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> U64(64 - BITMAP_BITS)
+    return (bits[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
+
+
+def stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of every two or more anchors with no greater distance than ``GAP``."""
+    apart = np.diff(at) > GAP
+    first = np.flatnonzero(np.concatenate(([True], apart))) if len(at) else at
+    last = np.flatnonzero(np.concatenate((apart, [True]))) if len(at) else at
+    two = last > first
+    return at[first[two]], at[last[two]]
+
+
 def tags(chunk: Chunk) -> np.ndarray:
     """31 bits that tell texts with one id apart."""
     total = np.zeros(len(chunk.starts) + 1, dtype=U64)
@@ -79,11 +129,12 @@ def tags(chunk: Chunk) -> np.ndarray:
 
 
 def span_keys(docs: DataFrame) -> DataFrame:
-    """``key`` of every span."""
+    """``key`` of every span and anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([as_long(spans(chunk)[0])], names=["key"])
+                keys, _, at = word_runs(chunk)
+                yield pa.RecordBatch.from_arrays([as_long(np.concatenate((spans(chunk)[0], keys[at])))], names=["key"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(run, "key long")
 
@@ -99,20 +150,51 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def marked_spans(docs: DataFrame, bitmap) -> DataFrame:
-    """``key, doc_id, at, size`` of the spans whose bit is set; ``at`` holds the text's tag and first sentence."""
+def edge_keys(docs: DataFrame, bitmap) -> DataFrame:
+    """``key`` of the runs of words just before and after stretches of anchors whose bits are set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                keys, good, at = word_runs(chunk)
+                first, last = stretches(at[is_set(bitmap.value, keys[at])])
+                near = np.arange(1, GAP)
+                edge = np.concatenate(((first[:, None] - near).ravel(), (last[:, None] + near).ravel()))
+                edge = np.unique(edge[(edge >= 0) & (edge < len(keys))])
+                yield pa.RecordBatch.from_arrays([as_long(keys[edge[good[edge]]])], names=["key"])
+
+    return docs.where("doc_id IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(run, "key long")
+
+
+def marked_spans(docs: DataFrame, bitmap, edges) -> DataFrame:
+    """``key, doc_id, at, size`` of the spans, anchors and edges whose bit is set.
+
+    ``at`` holds the text's tag and first sentence, or first word where ``size`` is 0 (anchor) or -1 (edge).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 keys, text, first, size = spans(chunk)
-                place = keys >> U64(64 - BITMAP_BITS)
-                hit = np.flatnonzero((bits[place >> U64(6)] >> (place & U64(63))) & U64(1))
-                if len(hit):
-                    ids = batch.column(0).slice(chunk.first, chunk.n).take(pa.array(text[hit]))
-                    at = (tags(chunk)[text[hit]] << 32) | first[hit]
+                hit = is_set(bits, keys)
+                keys, text, first, size = keys[hit], text[hit], first[hit], size[hit]
+                runs, good, at = word_runs(chunk)
+                at = at[is_set(bits, runs[at])]
+                low, high = stretches(at)
+                inside = np.zeros(len(runs) + 1, dtype=np.int64)
+                np.add.at(inside, np.maximum(low - GAP + 1, 0), 1)
+                np.add.at(inside, np.minimum(high + GAP, len(runs)), -1)
+                edge = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & good)
+                edge = edge[is_set(edges.value, runs[edge])]
+                at = np.setdiff1d(at, edge, assume_unique=True)
+                word = np.concatenate((at, edge))
+                of = chunk.text_of_word()[word]
+                keys, text = np.concatenate((keys, runs[word])), np.concatenate((text, of))
+                first = np.concatenate((first, word - chunk.bounds[of]))
+                size = np.concatenate((size, np.zeros(len(at), dtype=np.int64), np.full(len(edge), -1)))
+                if len(keys):
+                    ids = batch.column(0).slice(chunk.first, chunk.n).take(pa.array(text))
                     yield pa.RecordBatch.from_arrays(
-                        [as_long(keys[hit]), ids, pa.array(at), pa.array(size[hit])],
+                        [as_long(keys), ids, pa.array((tags(chunk)[text] << 32) | first), pa.array(size)],
                         names=["key", "doc_id", "at", "size"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -124,7 +206,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     twice = cut(span_keys(docs).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
                 .select("key"), "twice")
     bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(twice))
-    rows = cut(marked_spans(docs, bitmap).join(twice, "key", "left_semi"), "spans")
+    edges = docs.sparkSession.sparkContext.broadcast(key_bitmap(edge_keys(docs, bitmap)))
+    rows = cut(marked_spans(docs, bitmap, edges).join(twice.withColumn("again", F.lit(True)), "key", "left")
+               .where("size < 0 OR again").drop("again"), "spans")
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     return (rows.join(first, "key").where(F.struct("doc_id", "at") != F.col("first"))
             .select("doc_id", "at", "size"))
@@ -135,7 +219,8 @@ def cleaned(chunk: Chunk, i: int, starts: np.ndarray, bounds: np.ndarray, gone:
     own = starts[bounds[i]:bounds[i + 1] + 1]
     drop = np.zeros(len(own) - 1, dtype=bool)
     for a, n in gone:
-        drop[a:a + n] = True
+        if n > 0:
+            drop[a:a + n] = True
     low, high = chunk.offsets[i], chunk.offsets[i + 1]
     # a sentence takes the blanks after it along
     edges = np.append(chunk.starts[own[:-1]], high) - low
@@ -144,6 +229,12 @@ def cleaned(chunk: Chunk, i: int, starts: np.ndarray, bounds: np.ndarray, gone:
     keep = np.ones(len(raw), dtype=bool)
     for k in np.flatnonzero(drop):
         keep[edges[k]:edges[k + 1]] = False
+    words = np.append(chunk.starts[chunk.bounds[i]:chunk.bounds[i + 1]], high) - low
+    for a, n in gone:
+        if n <= 0:
+            keep[words[a]:words[a + WORDS]] = False
+    if not keep[words[0]:].any():
+        keep[:] = False
     points = np.concatenate(([0], np.cumsum(~CONTINUES[raw])))
     change = np.flatnonzero(np.diff(np.concatenate(([1], keep, [1]))))
     ranges = [{"start": int(points[a]), "end": int(points[b])} for a, b in change.reshape(-1, 2)]
@@ -153,7 +244,7 @@ def cleaned(chunk: Chunk, i: int, starts: np.ndarray, bounds: np.ndarray, gone:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, text, n_sentences, n_removed, removed`` for every row of ``docs``.
 
-    ``text`` lacks the removed sentences; ``removed`` has their ranges in code points of the old text.
+    ``text`` lacks the removed sentences and passages; ``removed`` has their ranges in code points of the old text.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("gone"))

@@ -90,3 +90,20 @@ def test_passages_of_fifty_words_go_from_all_texts_but_one(spark):
     assert rows[0].n_removed == 0 and all(r.n_removed > 0 for r in rows[1:])
     middle = " ".join(passage.split()[15:40])
     assert sum(middle in r.text for r in rows) == 1
+
+
+def test_passages_without_cuts_go_to_the_last_word(spark):
+    words = (f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst")
+    words = [w for w in words if name_of(w) % CUT_EVERY]     # no sign and no word to cut at
+    passage, rows = " ".join(words[:51]), []
+    for i in range(8):
+        before, after = (" ".join(f"x{side}{i}y{k}" for k in range(40)) for side in "lr")
+        rows.append((i, f"{before} {passage} {after}"))
+    rows.append((8, rows[0][1] + " end"))        # the passage is inside a longer repeat here and in row 0
+    del rows[1:3]
+    for some in (rows, rows[:1] + rows[-2:]):
+        got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got[0].text == rows[0][1] and got[8].text == "end"
+        for i, old in some[1:-1]:
+            assert got[i].text == old.replace(passage + " ", ""), i
+            assert applied(old, got[i].removed) == got[i].text
