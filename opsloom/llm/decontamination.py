@@ -3,9 +3,10 @@
 Words become a template: numbers, units and names turn into typed placeholders, other words into their small
 letters without signs around them. Windows of ``WINDOW`` template words that hold at least ``LITERALS`` plain
 words are hashed; windows of documents meet windows of benchmark items in a hash join. Matches of one document and
-item at one distance form an alignment, and an alignment counts only if its slots are consistent: each value of the
-item stands for one value of the document and the other way round, as when a question is asked with other numbers
-and names. A document is contaminated by an item if consistent alignments match at least ``share`` of its windows.
+item at one distance form an alignment. Numbers and units may change freely in it. A name stands for the name that
+takes its place in most of its places, and the other way round; a window counts if each of its names is unchanged or
+stands for its own, as when a question is asked with other numbers and names. A document is contaminated by an
+item if such windows are at least ``share`` of its windows.
 
 Before the join a bitmap of fixed size, set from all benchmark windows, keeps windows of documents that can't match
 from being made into rows. However large the benchmark, the bitmap's size stays; it only lets more rows through.
@@ -100,7 +101,9 @@ def templates(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def template_windows(rows: DataFrame, ident: str, bitmap=None, window: int = WINDOW,
                      literals: int = LITERALS) -> DataFrame:
-    """``ident, at, window, slots, windows``: each window's place, hash and slot values, and how many its text has.
+    """``ident, at, window, slots, places, windows``: each window's place, hash and slots, and how many its text has.
+
+    ``slots`` has the values, ``places`` twice their offset in the window, plus 1 for a name.
 
     With a broadcast ``bitmap`` only the windows whose bit is set become rows.
     """
@@ -109,6 +112,7 @@ def template_windows(rows: DataFrame, ident: str, bitmap=None, window: int = WIN
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 words, slot, own, texts = templates(chunk)
+                name = words == NAME
                 n = len(words) - window + 1
                 if n <= 0:
                     continue
@@ -125,15 +129,17 @@ def template_windows(rows: DataFrame, ident: str, bitmap=None, window: int = WIN
                 first = np.searchsorted(texts, np.arange(chunk.n))
                 text = texts[at]
                 values = [own[i:i + window][slot[i:i + window]] for i in at]
+                places = [np.flatnonzero(slot[i:i + window]) * 2 + name[i:i + window][slot[i:i + window]] for i in at]
                 ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, chunk.n).take(pa.array(text)),
                      pa.array(at - first[text]), as_long(hashes[at]),
                      pa.ListArray.from_arrays(ends, as_long(np.concatenate(values))),
-                     pa.array(per_text[text])], names=[ident, "at", "window", "slots", "windows"])
+                     pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places))),
+                     pa.array(per_text[text])], names=[ident, "at", "window", "slots", "places", "windows"])
 
     return rows.select(F.col(ident).cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, f"{ident} long, at long, window long, slots array<long>, windows long")
+        run, f"{ident} long, at long, window long, slots array<long>, places array<long>, windows long")
 
 
 def window_bitmap(windows: DataFrame) -> np.ndarray:
@@ -151,7 +157,7 @@ def window_bitmap(windows: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Contaminated pairs: ``doc_id, item_id, matched, item_windows, exact``.
 
-    ``matched`` counts the item's windows found in consistent alignments; ``exact`` says that all slots have the
+    ``matched`` counts the item's windows found with consistent slots; ``exact`` says that all slots have the
     item's own values.
     """
     items = template_windows(benchmark, "item_id").dropDuplicates(["item_id", "at", "window"])
@@ -160,13 +166,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         "doc_id", "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots"))
     hits = found.join(items, "window").select(
         "doc_id", "item_id", "at", "windows", (F.col("doc_at") - F.col("at")).alias("shift"),
-        F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d")).alias("pairs"))
+        F.transform(F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d"), F.col("places").alias("p")),
+                    lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d"), (s["p"] % 2 == 1).alias("name"),
+                                       (F.col("at") + F.floor(s["p"] / 2)).alias("place"))).alias("pairs"))
+
+    def own(pair):
+        """Most places of either name have this pair."""
+        same = F.size(F.filter("names", lambda n: n["i"] == pair["i"]))
+        back = F.size(F.filter("names", lambda n: n["d"] == pair["d"]))
+        both = F.size(F.filter("names", lambda n: (n["i"] == pair["i"]) & (n["d"] == pair["d"])))
+        return 2 * both > F.greatest(same, back)
+
     pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
     aligned = (hits.groupBy("doc_id", "item_id", "windows", "shift")
-               .agg(pairs.alias("pairs"), F.collect_set("at").alias("ats"))
-               .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
-               .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
-               .withColumn("exact", F.forall("pairs", lambda p: p["i"] == p["d"])))
+               .agg(F.filter(pairs, lambda p: p["name"]).alias("names"), F.collect_set(F.struct("at", "pairs")).alias("all"))
+               .withColumn("clash", F.transform(F.filter("names", lambda p: (p["i"] != p["d"]) & ~own(p)),
+                                                lambda p: p["place"]))
+               .withColumn("all", F.filter("all", lambda w: ~F.exists(w["pairs"], lambda p: p["name"] & (
+                   p["i"] != p["d"]) & F.array_contains("clash", p["place"]))))
+               .where(F.size("all") > 0)
+               .select("doc_id", "item_id", "windows", F.transform("all", lambda w: w["at"]).alias("ats"),
+                       F.forall("all", lambda w: F.forall(w["pairs"], lambda p: p["i"] == p["d"])).alias("exact")))
     return (aligned.groupBy("doc_id", "item_id", "windows")
             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
                  F.bool_and("exact").alias("exact"))

@@ -47,3 +47,12 @@ def test_edges_and_stage(edges, empty, spark):
 def test_many_copies_of_one_passage(spark):
     docs = [(i, f"intro{i} word{i} {ASK}") for i in range(300)]
     assert [d for d, _, _ in found(spark, docs, [(1, ASK)])] == list(range(300))
+
+
+def test_a_clash_of_numbers_or_of_one_name_hides_nothing(spark):
+    item = ("If Alice has 12 apples and Bob gives Alice 12 more apples then how many of the red apples does Alice have "
+            "after 15 days when Bob eats one of them on every day?")
+    docs = [(1, item.replace("12 more", "15 more")), (2, item.replace("15", "12")),
+            (3, item.replace("12 apples", "3 apples").replace("12 more", "7 more").replace("Alice", "Eve")),
+            (4, item.replace("when Bob", "when Alice"))]
+    assert found(spark, docs, [(9, item)]) == [(i, 9, False) for i in (1, 2, 3)] + [(4, 9, True)]
