@@ -8,10 +8,14 @@ takes its place in most of its places, and the other way round; a window counts
 stands for its own, as when a question is asked with other numbers and names. A document is contaminated by an
 item if such windows are at least ``share`` of its windows.
 
+Beside the templates, windows of ``WINDOW`` plain small words are hashed and joined the same way, of shorter items the
+whole item. Here a document is contaminated by ``share`` of the windows or by ``RUN`` words of the item in a row, so an
+excerpt of a long item, an item of few words and a copy in other letter case are found too.
+
 Before the join a bitmap of fixed size, set from all benchmark windows, keeps windows of documents that can't match
 from being made into rows. However large the benchmark, the bitmap's size stays; it only lets more rows through.
 
-Defined results: null and empty texts and items with fewer than ``WINDOW`` words match nothing; rows without an id
+Defined results: null and empty texts match nothing; rows without an id
 are taken together; repeated rows count as one document or item; empty tables give an empty result. Other
 columns are ignored.
 """
@@ -30,6 +34,7 @@ from opsloom.llm.tokens import LOWER_CODES, U64, Chunk, as_long, chunks, mix, ra
 WINDOW = 8
 LITERALS = 5
 SHARE = 0.3
+RUN = 13             # so many words in a row contaminate, however long the item
 BITMAP_BITS = 24     # 2 MB
 
 # Measuring units and number words that fill a slot.
@@ -142,6 +147,56 @@ def template_windows(rows: DataFrame, ident: str, bitmap=None, window: int = WIN
         run, f"{ident} long, at long, window long, slots array<long>, places array<long>, windows long")
 
 
+def plain_windows(rows: DataFrame, ident: str, sizes: list[int], bitmap=None) -> DataFrame:
+    """``ident, at, window, words``: each plain window's place and hash, and how many words its text has.
+
+    Without a broadcast ``bitmap`` windows shorter than ``WINDOW`` are whole texts only.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                _, _, own, texts = templates(chunk)
+                words = np.bincount(texts, minlength=chunk.n)
+                first = np.searchsorted(texts, np.arange(chunk.n))
+                for size in sizes:
+                    hashes = runs_of(own, size, 50 + size)
+                    good = texts[:len(hashes)] == texts[size - 1:] if len(hashes) else np.zeros(0, dtype=bool)
+                    if bitmap is not None:
+                        place = hashes >> U64(64 - BITMAP_BITS)
+                        good &= (bitmap.value[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
+                    elif size < WINDOW:
+                        good &= words[texts[:len(hashes)]] == size
+                    at = np.flatnonzero(good)
+                    text = texts[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(chunk.first, chunk.n).take(pa.array(text)), pa.array(at - first[text]),
+                         as_long(hashes[at]), pa.array(words[text])], names=[ident, "at", "window", "words"])
+
+    return rows.select(F.col(ident).cast("long"), F.lower(F.col("text").cast("string"))).mapInArrow(
+        run, f"{ident} long, at long, window long, words long")
+
+
+def plain_leaks(docs: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
+    """Pairs found on plain windows: ``doc_id, item_id, matched, item_windows, exact``."""
+    items = plain_windows(benchmark, "item_id", list(range(1, WINDOW + 1))).distinct()
+    sizes = [r[0] for r in items.select(F.least("words", F.lit(WINDOW))).distinct().collect()]
+    bitmap = docs.sparkSession.sparkContext.broadcast(window_bitmap(items))
+    found = plain_windows(docs, "doc_id", sizes, bitmap).select("doc_id", "window", F.col("at").alias("doc_at"))
+    need = F.greatest(F.least("words", F.lit(RUN)) - (WINDOW - 1), F.lit(1)).cast("int")
+    windows = F.greatest(F.col("words") - (WINDOW - 1), F.lit(1))
+    return (found.join(items, "window")
+            .groupBy("doc_id", "item_id", "words", (F.col("doc_at") - F.col("at")).alias("shift"))
+            .agg(F.array_sort(F.collect_set("at")).alias("ats"))
+            .withColumn("need", need)
+            .withColumn("run", F.expr("size(ats) >= need AND exists(sequence(1, greatest(size(ats) - need + 1, 1)), "
+                                      "i -> try_element_at(ats, i + need - 1) - ats[i - 1] = need - 1)"))
+            .groupBy("doc_id", "item_id", "words")
+            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
+                 F.max("run").alias("run"))
+            .where(F.col("run") | (F.col("matched") >= F.greatest(share * windows, F.lit(1.0))))
+            .select("doc_id", "item_id", "matched", windows.alias("item_windows"), F.lit(True).alias("exact")))
+
+
 def window_bitmap(windows: DataFrame) -> np.ndarray:
     """``2 ** BITMAP_BITS`` bits with those of the windows' hashes set; at most that many arrive here."""
     place = F.shiftrightunsigned("window", 64 - BITMAP_BITS)
@@ -158,7 +213,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     """Contaminated pairs: ``doc_id, item_id, matched, item_windows, exact``.
 
     ``matched`` counts the item's windows found with consistent slots; ``exact`` says that all slots have the
-    item's own values.
+    item's own values. Pairs found on plain windows only have the numbers of those.
     """
     items = template_windows(benchmark, "item_id").dropDuplicates(["item_id", "at", "window"])
     bitmap = docs.sparkSession.sparkContext.broadcast(window_bitmap(items))
@@ -187,11 +242,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
                .where(F.size("all") > 0)
                .select("doc_id", "item_id", "windows", F.transform("all", lambda w: w["at"]).alias("ats"),
                        F.forall("all", lambda w: F.forall(w["pairs"], lambda p: p["i"] == p["d"])).alias("exact")))
-    return (aligned.groupBy("doc_id", "item_id", "windows")
-            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
-                 F.bool_and("exact").alias("exact"))
-            .where(F.col("matched") >= F.greatest(F.lit(share) * F.col("windows"), F.lit(1.0)))
-            .select("doc_id", "item_id", "matched", F.col("windows").alias("item_windows"), "exact"))
+    typed = (aligned.groupBy("doc_id", "item_id", "windows")
+             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
+                  F.bool_and("exact").alias("exact"))
+             .where(F.col("matched") >= F.greatest(F.lit(share) * F.col("windows"), F.lit(1.0)))
+             .select("doc_id", "item_id", "matched", F.col("windows").alias("item_windows"), "exact"))
+    values = ["matched", "item_windows", "exact"]
+    return (typed.withColumn("typed", F.lit(1))
+            .unionByName(plain_leaks(docs, benchmark, share).withColumn("typed", F.lit(0)))
+            .groupBy("doc_id", "item_id").agg(F.max(F.struct("typed", *values)).alias("best"))
+            .select("doc_id", "item_id", *[f"best.{v}" for v in values]))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

@@ -56,3 +56,12 @@ def test_a_clash_of_numbers_or_of_one_name_hides_nothing(spark):
             (3, item.replace("12 apples", "3 apples").replace("12 more", "7 more").replace("Alice", "Eve")),
             (4, item.replace("when Bob", "when Alice"))]
     assert found(spark, docs, [(9, item)]) == [(i, 9, False) for i in (1, 2, 3)] + [(4, 9, True)]
+
+
+def test_short_items_excerpts_and_other_case(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500))
+    names = "Anna Müller Berta Özil Carl Weiß Doris Kern Emil Lang Franz Huber"
+    items = [(1, "What is 7 times 8?"), (2, long), (3, names)]
+    docs = [(1, "so what is 7 times 8 then"), (2, "x " + " ".join(long.split()[200:213]) + " y"),
+            (3, "see " + names.lower()), (4, "what is 7 times 9"), (5, "x " + " ".join(long.split()[200:212]) + " y")]
+    assert found(spark, docs, items) == [(i, i, True) for i in (1, 2, 3)]
