@@ -2,7 +2,9 @@
 
 Patterns find assignments, access keys and long hexadecimal runs. The test looks at the other long runs of key
 characters: a byte-pair vocabulary packs words and names of a language well and random strings badly, so
-a run with few characters per token is random. Known digests (hexadecimal or labelled with a digest's name),
+a run with few characters per token is random. A run that is not is tested in its parts between ``/ _ - +``, without
+plain words and numbers, and long parts in windows, so words beside a random part don't hide it. UUIDs and
+spans found by the patterns are left out of a run and the rest of it is tested. Known digests (hexadecimal or labelled with a digest's name),
 UUIDs, plain numbers and runs of one letter case without digits are identifiers, not secrets, for this test;
 spans found by the patterns stay whatever the test says.
 
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHARS_PER_TOKEN = 2.0    # runs with fewer characters per token count as random
-LEAST_RUN = 20
+LEAST_RUN = 16
+WINDOW = 20              # long parts are tested in windows of so many characters, too
 KINDS = ["assign", "access", "hex", "random"]
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -37,6 +40,9 @@ _LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST_NAME = re.compile(r"(md5|sha-?(1|224|256|384|512)|blake\w*|crc\w*|commit|etag|integrity)[\"']?\s*[:=-]\s*[\"']?$",
                           re.IGNORECASE)
+_LABEL = re.compile(_DIGEST_NAME.pattern.removesuffix("$"), re.IGNORECASE)
+_PART = re.compile(r"[A-Za-z0-9]+")
+_PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+|0x[0-9A-Fa-f]+")
 # A common alternation for how vocabularies of this family cut texts before merging.
 _PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,13 +62,43 @@ def is_random(run: str, before: str, path: str, most: float) -> bool:
     digits, upper, lower = (any(map(f, run)) for f in (str.isdigit, str.isupper, str.islower))
     if len(run) < LEAST_RUN or digits + upper + lower < 2 or not (upper or lower):
         return False
-    if _HEX_ONLY.fullmatch(run) or _UUID.search(run) or _DIGEST_NAME.search(before):
+    if _HEX_ONLY.fullmatch(run) or _UUID.fullmatch(run) or _DIGEST_NAME.search(before):
         return False
     if not digits and (run[1:].islower() or run.isupper()):
         return False
     return len(run) < most * len(encoder(path).encode_ordinary(run))
 
 
+def random_parts(run: str, before: str, path: str, most: float) -> list[tuple[int, int]]:
+    """Start and end of the random parts of a run of key characters."""
+    if _DIGEST_NAME.search(before):
+        return []
+    label = _LABEL.search(run)
+    if label:
+        return random_parts(run[:label.start()], before, path, most)
+    if is_random(run, before, path, most):
+        return [(0, len(run))]
+    out, parts = [], [(m.start(), m.end()) for m in _PART.finditer(run)]
+    mixed = [not _PLAIN.fullmatch(run[a:e]) for a, e in parts]
+    k = 0
+    while k < len(parts):
+        j = k
+        while j < len(parts) and mixed[j]:
+            j += 1
+        if j > k and is_random(run[parts[k][0]:parts[j - 1][1]], before, path, most):
+            out.append((parts[k][0], parts[j - 1][1]))
+        else:
+            for a, e in parts[k:j]:
+                if is_random(run[a:e], before, path, most):
+                    out.append((a, e))
+                elif not _HEX_ONLY.fullmatch(run[a:e]):
+                    hits = [i for i in range(a, e - WINDOW + 1) if is_random(run[i:i + WINDOW], before, path, most)]
+                    if hits:
+                        out.append((hits[0], hits[-1] + WINDOW))
+        k = max(j, k + 1)
+    return out
+
+
 def spans_of(text: str | None, path: str = VOCABULARY, most: float = CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """``start, kind number, end`` of every span of a text, sorted."""
     if not text:
@@ -81,13 +117,14 @@ def spans_of(text: str | None, path: str = VOCABULARY, most: float = CHARS_PER_T
     base = sorted((a, e) for a, _, e in found)
     for m in _LONG.finditer(text):
         start, end = m.start(), m.end()
-        run = m.group().strip("=-_/+")
-        start += m.group().index(run) if run else 0
-        end = start + len(run)
-        if any(a < end and start < e for a, e in base):
-            continue
-        if is_random(run, text[max(0, start - 16):start], path, most):
-            found.append((start, 3, end))
+        gone = sorted([(a, e) for a, e in base if a < end and start < e]
+                      + [(start + u.start(), start + u.end()) for u in _UUID.finditer(m.group())])
+        for a, e in [*gone, (end, end)]:
+            run = text[start:max(start, a)].strip("=-_/+")
+            if len(run) >= LEAST_RUN:
+                at = text.index(run, start)
+                found += [(at + x, 3, at + y) for x, y in random_parts(run, text[max(0, at - 16):at], path, most)]
+            start = max(start, e)
     return sorted(found)
 
 
