@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 import corpus_pipeline
 from opsloom.llm import (decontamination, language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
-                         secret_scan, substring_dedup, toxicity)
+                         secret_scan, substring_dedup, token_counts, toxicity)
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,4 +83,9 @@ def op10(spark, sf_dir):
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
