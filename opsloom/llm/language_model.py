@@ -26,11 +26,11 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.llm.packing import pack, pack_keys, pack_planes, unpack, unpack_counts, unpack_keys, unpack_planes
 from opsloom.llm.samples import text_remainder
 from opsloom.llm.tokens import U64, chunks, mix
 from opsloom.session import cut
@@ -44,38 +44,6 @@ CELLS = 512                    # cells of one ratio; smaller ratios share the la
 BUCKETS = 64
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
-
-
-def unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=kind)
-
-
-def pack_planes(x: np.ndarray, width: int = 8) -> bytes:
-    """Whole numbers byte by byte: all lowest bytes, then all second ones; high bytes, mostly 0, vanish."""
-    raw = np.ascontiguousarray(x, dtype=f"<u{width}").view(np.uint8).reshape(-1, width)
-    return pack(raw.T)
-
-
-def unpack_planes(raw: bytes, width: int = 8) -> np.ndarray:
-    planes = unpack(raw, np.uint8).reshape(width, -1).T
-    return np.ascontiguousarray(planes).view(f"<u{width}").ravel()
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return pack_planes(np.diff(keys, prepend=U64(0)))
-
-
-def unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack_planes(raw), dtype=U64)
-
-
-def unpack_counts(raw: bytes) -> np.ndarray:
-    return unpack_planes(raw).astype(np.int64)
-
-
 def key_bits(tokens: int) -> int:
     """Bits of a pair's key: so many that less than one collision is to be expected among all pairs."""
     return min(64, 2 * max(tokens, 1).bit_length() + 2)

@@ -10,7 +10,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from opsloom.llm import (decontamination, language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
-                         secret_scan, substring_dedup, token_counts, toxicity)
+                         secret_scan, substring_dedup, token_alignment, token_counts, toxicity)
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op10(spark, sf_dir):
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_token_counts")
 def op13(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
