@@ -10,7 +10,8 @@ import public_tokenizers
 
 import corpus_pipeline
 from opsloom.llm import (decontamination, language_model, minhash, mixing, pseudonyms, quality_classifier, quality_rules,
-                         secret_scan, substring_dedup, token_alignment, token_counts, toxicity)
+                         secret_scan, substring_dedup, token_alignment, token_counts, toxicity,
+                         whitening)
 from opsloom.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,11 @@ def op10(spark, sf_dir):
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op11_whitening")
+def op11(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_token_alignment")
 def op12(spark, sf_dir):
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
