@@ -42,21 +42,31 @@ def sum_by(df: DataFrame, by: Sequence[str], value: str = "rate") -> DataFrame:
     return df.groupBy(*by).agg(F.sum(value).alias(value))
 
 
-def error_ratio(failures: DataFrame, successes: DataFrame, labels: Sequence[str],
+def error_share(rates: DataFrame, failure: Column, success: Column, labels: Sequence[str],
                 by: Sequence[str] = ()) -> DataFrame:
-    """``sum(failure) / sum(success + failure)``.
+    """``sum(failure) / sum(success + failure)`` per step, from rows that are one, the other or neither.
 
     The denominator matches the two sides on their labels, so a series that lacks either side
-    counts in the numerator only.
+    counts in the numerator only. NULL labels match each other. A step without any match has no row.
     """
-    keys = [*labels, "step_us"]
+    keys, rate = [*labels, "step_us"], F.col("rate")
+    sides = rates.filter(failure | success).groupBy(*keys).agg(
+        F.sum(F.when(failure, rate)).alias("_f"), F.sum(F.when(success, rate)).alias("_s"),
+        F.max(failure & rate.isNotNull()).alias("_has_f"), F.max(success & rate.isNotNull()).alias("_has_s"))
+    both = F.col("_has_f") & F.col("_has_s")
     group = [*by, "step_us"]
-    top = failures.groupBy(*group).agg(F.sum("rate").alias("_f"))
-    both = (failures.select(*keys, F.col("rate").alias("_fr"))
-            .join(successes.select(*keys, F.col("rate").alias("_sr")), keys))
-    bottom = both.groupBy(*group).agg(F.sum(F.col("_fr") + F.col("_sr")).alias("_t"))
-    return top.join(bottom, group).select(
-        *group, F.try_divide("_f", "_t").alias("error_ratio"))
+    return (sides.groupBy(*group).agg(
+        F.sum("_f").alias("_f"), F.sum(F.when(both, F.col("_f") + F.col("_s"))).alias("_t"), F.max(both).alias("_m"))
+        .filter("_m").select(*group, F.try_divide("_f", "_t").alias("error_ratio")))
+
+
+def error_ratio(failures: DataFrame, successes: DataFrame, labels: Sequence[str],
+                by: Sequence[str] = ()) -> DataFrame:
+    """J11 for two tables of rates."""
+    cols = [*labels, "step_us", "rate"]
+    rates = failures.select(*cols, F.lit(True).alias("_side")).unionByName(
+        successes.select(*cols, F.lit(False).alias("_side")))
+    return error_share(rates, F.col("_side"), ~F.col("_side"), labels, by)
 
 
 def bound_label(bound: float) -> str:

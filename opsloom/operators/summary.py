@@ -27,9 +27,11 @@ def trend_class(n: Column, slope: Column) -> Column:
 
 def series_summary(df: DataFrame, keys: Sequence[str], value: str = "value", us: str = "us",
                    tie: str = "sample_id", seconds: int = HOUR,
-                   as_coded: bool = False) -> DataFrame:
+                   as_coded: bool = False, total: str | None = None) -> DataFrame:
     """n, current, avg, max and least-squares slope on the sample index, per ``keys``.
 
+    ``total`` names a further column for the sum of the values.
+
     A series is summarised slice by slice and the slices are merged with the pairwise covariance
     formula, so no task holds a whole series and the index offsets never travel back to the rows.
     ``as_coded`` reads samples newest first, as the reference does: current is the oldest sample
@@ -40,7 +42,8 @@ def series_summary(df: DataFrame, keys: Sequence[str], value: str = "value", us:
     per_slice = (sliced.withColumn("_i", position).groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mv"),
         (F.covar_pop("_i", value) * F.count(F.lit(1))).alias("_c"), F.max(value).alias("_hi"),
-        F.max_by(value, "_i").alias("_last"), F.min_by(value, "_i").alias("_first")))
+        F.max_by(value, "_i").alias("_last"), F.min_by(value, "_i").alias("_first"),
+        F.sum(value).alias("_sum")))
     across = Window.partitionBy(*keys)
     before = across.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     placed = per_slice.withColumns({
@@ -49,15 +52,16 @@ def series_summary(df: DataFrame, keys: Sequence[str], value: str = "value", us:
         "_all_mean": F.sum(F.col("_n") * F.col("_mv")).over(across) / F.sum("_n").over(across)})
     cross = F.col("_c") + F.col("_n") * (F.col("_mi") - (F.col("_all_n") - 1) / 2) * (
         F.col("_mv") - F.col("_all_mean"))
-    total = F.sum("_n").cast("double")
-    slope = F.when(F.sum("_n") >= 2, F.sum(cross) / (total * (total * total - 1) / 12))
+    n = F.sum("_n").cast("double")
+    slope = F.when(F.sum("_n") >= 2, F.sum(cross) / (n * (n * n - 1) / 12))
     current = F.min_by("_first", "_slice") if as_coded else F.max_by("_last", "_slice")
     out = placed.groupBy(*keys).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
         F.coalesce(current, F.lit(0.0)).alias("current"),
-        F.coalesce(F.sum(F.col("_n") * F.col("_mv")) / total, F.lit(0.0)).alias("avg"),
+        F.coalesce(F.sum(F.col("_n") * F.col("_mv")) / n, F.lit(0.0)).alias("avg"),
         F.coalesce(F.max("_hi"), F.lit(0.0)).alias("max"),
-        (-slope if as_coded else slope).alias("slope"))
+        (-slope if as_coded else slope).alias("slope"),
+        *([F.sum("_sum").alias(total)] if total else []))
     return out.withColumn("trend", trend_class(F.col("n"), F.col("slope")))
 
 
@@ -117,9 +121,8 @@ def latest(df: DataFrame, by: Sequence[str], cols: Sequence[str] = ("value", "us
 
 
 def error_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Current, total and trend per error type."""
-    totals = df.groupBy(*by).agg(F.sum("value").alias("total"))
-    return series_summary(df, by).join(totals, list(by))
+    """Current, total and trend per error type; a NULL type is a type of its own."""
+    return series_summary(df, by, total="total")
 
 
 RANGES = {"1h": 1, "6h": 6, "24h": 24, "7d": 168}

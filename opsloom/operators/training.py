@@ -19,10 +19,10 @@ BATCH, EPOCHS, TEST_SHARE, SEED = 64, 10, 0.2, 42
 
 
 def encode_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    """code = position of the label among the sorted distinct labels."""
-    names = df.select(F.col(label).cast("string").alias("_name")).distinct()
+    """code = position of the label among the sorted distinct labels; NULL for a NULL label."""
+    names = df.select(F.col(label).cast("string").alias("_name")).distinct().filter("_name IS NOT NULL")
     codes = row_index(names, [], ["_name"], by_prefix("_name", 1), "code")
-    return (df.withColumn("_name", F.col(label).cast("string")).join(codes, "_name").drop("_name"))
+    return (df.withColumn("_name", F.col(label).cast("string")).join(codes, "_name", "left").drop("_name"))
 
 
 def _place(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -35,13 +35,14 @@ def stratified_split(df: DataFrame, share: float = TEST_SHARE, seed: int = SEED,
     """``split`` = test for the first round(n * share) rows of each label in hash order.
 
     Sizes are exact and repeatable. Ranks come from slices of the hash, so a label that holds most
-    rows is ranked by many tasks.
+    rows is ranked by many tasks. Rows with a NULL label are split like a label of their own.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     ranked = row_index(_place(df, seed, key), [label], ["_place", key], by_prefix("_place"), "_rank")
     test = F.col("_rank") < F.round(F.col("_n") * share)
-    return (ranked.join(sizes, label).withColumn("split", F.when(test, "test").otherwise("train"))
-            .drop("_place", "_rank", "_n"))
+    return (ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+            .withColumn("split", F.when(test, "test").otherwise("train"))
+            .drop("_place", "_rank", "_n", "_label"))
 
 
 def assign_batches(df: DataFrame, workers: int, batch: int = BATCH, seed: int = SEED,

@@ -69,7 +69,24 @@ FROM t JOIN b USING (step_us)""")
 def j11(spark, d):
     rates = pn.step_rates(model.counters(spark, d).filter("name IN ('error', 'view')"),
                           ["name", "instance"], 21600)
-    return pn.error_ratio(rates.filter("name = 'error'"), rates.filter("name = 'view'"),
+    return pn.error_share(rates, F.col("name") == "error", F.col("name") == "view",
+                          ["instance"]).withColumn("error_ratio", F.round("error_ratio", 9))
+
+
+@query("j11_error_ratio_unlabelled", DELTA_SQL + """, r AS (SELECT name, CASE WHEN instance % 3 <> 0 THEN instance
+  END AS instance, us - us % 21600000000 AS step_us, sum(delta) / 21600 AS rate FROM deltas GROUP BY 1, 2, 3),
+f AS (SELECT * FROM r WHERE name = 'error'), s AS (SELECT * FROM r WHERE name = 'view'),
+t AS (SELECT instance, step_us, sum(rate) AS f FROM f GROUP BY 1, 2),
+b AS (SELECT f.instance, f.step_us, sum(f.rate + s.rate) AS t FROM f JOIN s
+      ON s.instance IS NOT DISTINCT FROM f.instance AND s.step_us = f.step_us GROUP BY 1, 2)
+SELECT t.instance, t.step_us, round(CASE WHEN b.t <> 0 THEN t.f / b.t END, 9) AS error_ratio
+FROM t JOIN b ON t.instance IS NOT DISTINCT FROM b.instance AND t.step_us = b.step_us""")
+def j11b(spark, d):
+    """Series that lost their label count together under NULL."""
+    kept = F.when(F.col("instance") % 3 != 0, F.col("instance"))
+    rates = (pn.step_rates(model.counters(spark, d).filter("name IN ('error', 'view')"), ["name", "instance"], 21600)
+             .groupBy("name", kept.alias("instance"), "step_us").agg(F.sum("rate").alias("rate")))
+    return pn.error_share(rates, F.col("name") == "error", F.col("name") == "view", ["instance"],
                           ["instance"]).withColumn("error_ratio", F.round("error_ratio", 9))
 
 

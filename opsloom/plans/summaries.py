@@ -77,6 +77,16 @@ def a06(spark, d):
     return shown(sm.error_stats(s, ["error_type"])).withColumn("total", F.round("total", 4))
 
 
+@query("a06_error_stats_untyped", summary_sql({"error_type": "CASE WHEN k::INT % 7 <> 3 THEN 'E' || (k::INT % 7) END"},
+                                             "name = 'error'", ", sum(value) AS total"))
+def a06b(spark, d):
+    """Errors without a type are a type of their own."""
+    kind = F.pmod(F.col("labels")["k"].cast("int"), F.lit(7))
+    s = model.samples(spark, d).filter("name = 'error'").withColumn(
+        "error_type", F.when(kind != 3, F.concat(F.lit("E"), kind.cast("string"))))
+    return shown(sm.error_stats(s, ["error_type"])).withColumn("total", F.round("total", 4))
+
+
 @query("a07_queue_stats", summary_sql(
     {"queue": "name", "priority": "['high','medium','low'][user_id % 3 + 1]",
      "window_us": "us - us % 21600000000"}, "collector = 'queue'"))
