@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import text
 from opsloom.operators.ordered import row_index
-from opsloom.operators.similar import knn
+from opsloom.operators.vectors import knn
 
 # Searched fields in rank order, shortest word that may hold a typo.
 FIELDS = ["title", "file_name", "summary", "tags", "categories", "dewey_decimal"]
@@ -110,10 +110,10 @@ def search(docs: DataFrame, query: str, filters: Column | str | None = None,
 
 
 def vector_search(docs: DataFrame, queries: DataFrame, k: int, filters: Column | str | None = None,
-                  metric: str = "cosine") -> DataFrame:
-    """Nearest vectors among the documents that pass the filter."""
+                  metric: str = "cosine", recall: float | None = None) -> DataFrame:
+    """Nearest vectors among the documents that pass the filter, all of them or a share of about ``recall``."""
     kept = docs if filters is None else docs.filter(filters)
-    return knn(queries, kept.select(F.col("id").alias("base_id"), "embedding"), k, metric)
+    return knn(queries, kept.select(F.col("id").alias("base_id"), "embedding"), k, metric, recall=recall)
 
 
 def hybrid(keyword_hits: DataFrame, vector_hits: DataFrame, k: int, depth: int = 60) -> DataFrame:

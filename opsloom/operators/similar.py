@@ -1,109 +1,16 @@
-"""Similarity joins over vectors, texts and 64-bit hashes (J12, D11, D12, D17 vector side)."""
+"""Similarity joins over texts and 64-bit hashes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions import text
 from opsloom.session import cut
 
-BLOCK_BYTES = 16 * 1024 * 1024
-QUERY_ROWS = 512
 EPSILON = 1e-9   # bounds are products of a decimal threshold and must not fall short by rounding
 
 
-# ---------------------------------------------------------------- nearest vectors
-
-def _nearest(ids, vectors, base_ids, base, k, metric):
-    """Best ``k`` base rows for every query as (query, base, distance) arrays.
-
-    Queries go in slabs, so the distance matrix stays small. Ties on distance go to the smaller id.
-    """
-    take, found = min(k, len(base_ids)), []
-    base_sq, base_norm = (base ** 2).sum(1)[None, :], np.linalg.norm(base, axis=1)[None, :]
-    for at in range(0, len(ids), QUERY_ROWS):
-        mine, v = ids[at:at + QUERY_ROWS], vectors[at:at + QUERY_ROWS]
-        if metric == "cosine":
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = 1.0 - (v @ base.T) / (np.linalg.norm(v, axis=1)[:, None] * base_norm)
-            dist[~np.isfinite(dist)] = np.inf
-        else:
-            dist = np.sqrt(np.maximum((v ** 2).sum(1)[:, None] + base_sq - 2.0 * v @ base.T, 0.0))
-        dist[mine[:, None] == base_ids[None, :]] = np.inf
-        limit = np.partition(dist, take - 1, axis=1)[:, take - 1:take]
-        rows, cols = np.nonzero((dist <= limit + 1e-8) & np.isfinite(dist))
-        near = dist[rows, cols]
-        order = np.lexsort((base_ids[cols], np.round(near, 9), rows))
-        rows, cols, near = rows[order], cols[order], near[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-        keep = place < take
-        found.append((mine[rows[keep]], base_ids[cols[keep]], near[keep]))
-    return [np.concatenate(part) for part in zip(*found)]
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype("float64")
-
-
-def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: str = "query_id",
-        bid: str = "base_id", vec: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Exact ``k`` nearest base vectors of every query (a vector is not its own neighbour).
-
-    The size of the query side is measured first. Up to ``block_bytes`` it is broadcast and the
-    base is scanned in Arrow batches with matrix products. A larger query side meets the base in a
-    grid: both sides are hashed into blocks of about ``block_bytes`` and every cell of the grid is
-    one bounded task. Either way ``k`` rows per query and batch leave a task, never all pairs.
-    """
-    def size(df):
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-        return row["n"] * ((row["d"] or 0) + 1) * 8
-
-    schema = f"{qid} long, {bid} long, distance double"
-    query_bytes = size(queries)
-    if query_bytes <= block_bytes:
-        part = queries.select(qid, vec).toPandas()
-        held = (part[qid].to_numpy(), _matrix(part[vec])) if len(part) else (np.array([]), None)
-        shared = queries.sparkSession.sparkContext.broadcast(held)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, vectors = shared.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    q, n, dist = _nearest(ids, vectors, pdf[bid].to_numpy(), _matrix(pdf[vec]), k,
-                                          metric)
-                    yield pd.DataFrame({qid: q, bid: n, "distance": dist})
-
-        best = base.select(bid, vec).mapInPandas(scan, schema)
-    else:
-        q_blocks, b_blocks = (int(-(-b // block_bytes)) for b in (query_bytes, size(base)))
-        # Fresh names on both sides: a table may be joined with itself.
-        cells_q = queries.select(
-            F.col(qid).alias("_q"), F.col(vec).alias("_qv"),
-            F.pmod(F.xxhash64(qid), F.lit(q_blocks)).cast("int").alias("_qb"),
-            F.explode(F.sequence(F.lit(0), F.lit(max(b_blocks, 1) - 1))).alias("_bb"))
-        cells_b = base.select(
-            F.col(bid).alias("_b"), F.col(vec).alias("_bv"),
-            F.pmod(F.xxhash64(bid), F.lit(max(b_blocks, 1))).cast("int").alias("_bb"),
-            F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("_qb"))
-
-        def cell(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(b):
-                return pd.DataFrame({qid: [], bid: [], "distance": []})
-            out = _nearest(q["_q"].to_numpy(), _matrix(q["_qv"]), b["_b"].to_numpy(),
-                           _matrix(b["_bv"]), k, metric)
-            return pd.DataFrame(dict(zip((qid, bid, "distance"), out)))
-
-        best = (cells_q.groupBy("_qb", "_bb").cogroup(cells_b.groupBy("_qb", "_bb"))
-                .applyInPandas(cell, schema))
-    order = Window.partitionBy(qid).orderBy(F.round("distance", 9), bid)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 # ---------------------------------------------------------------- near duplicates
 
 # Shingle hashes are numbers below this prime.

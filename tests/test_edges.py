@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions import parse
-from opsloom.operators import (documents, graph, joins, panels, quality, rules, search, similar,
+from opsloom.operators import (documents, graph, joins, panels, quality, rules, search, similar, vectors,
                                state, summary, training)
 from opsloom.operators import select as sel
 from opsloom.session import small_table
@@ -217,8 +217,8 @@ def test_knn_blocks_agree(spark):
     rows = [(i, [float((i * 7) % 11), float((i * 5) % 13)]) for i in range(60)]
     v = spark.createDataFrame(rows, "query_id LONG, embedding ARRAY<DOUBLE>")
     base = v.withColumnRenamed("query_id", "base_id")
-    one = sorted(map(tuple, similar.knn(v, base, 3).select("query_id", "base_id", "rank").collect()))
-    many = sorted(map(tuple, similar.knn(v, base, 3, block_bytes=400).select(
+    one = sorted(map(tuple, vectors.knn(v, base, 3).select("query_id", "base_id", "rank").collect()))
+    many = sorted(map(tuple, vectors.knn(v, base, 3, block_bytes=400).select(
         "query_id", "base_id", "rank").collect()))
     brute = []
     for i, a in rows:
