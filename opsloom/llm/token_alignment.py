@@ -33,17 +33,20 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
 
 from opsloom.llm.packing import pack_planes, unpack_planes
 from opsloom.llm.token_counts import byte_letters
 from opsloom.session import cut
 
 BLOCK_CHARS = 2_000_000        # characters of a block
+TOGETHER = 2_000               # words that are tokenized as one text
+# Fixed value: how byte-level vocabularies split a text before merging.
+_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = re.compile(r"^ |\s | $")
@@ -81,18 +84,19 @@ class Pair:
     """Two tokenizers with the bytes of their tokens: byte-level (A) and pieces with byte fallback (B)."""
 
     def __init__(self, a: bytes, b: bytes):
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
+        of, spec = byte_letters(), json.loads(a)
+        names = {bytes(of[c] for c in name): i for name, i in spec["model"]["vocab"].items()}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][x + y] for x, y in merges]
+        if made != sorted(made) or spec["normalizer"] or not spec["pre_tokenizer"]["use_regex"]:
+            raise ValueError("not a byte-level vocabulary in the order of its merges")
+        self.a = tiktoken.Encoding("a", pat_str=_PARTS, mergeable_ranks=names, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        of = byte_letters()
-        spec = json.loads(a)
-        names = {**{t["content"]: t["id"] for t in spec["added_tokens"]}, **spec["model"]["vocab"]}
-        self.bytes_a = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            self.bytes_a[i] = bytes(of[c] for c in name) if all(c in of for c in name) else name.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_a = by_number(names)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def words(self, text: str) -> list[str]:
@@ -101,61 +105,95 @@ class Pair:
             return [text]
         return _BLANK.split(text) if _UNEVEN.search(text) else text.split(" ")
 
-    def align(self, words: list[str]) -> Words:
-        """Tokens, groups and links of words, each one with a blank before it."""
-        with_blank = [" " + w for w in words]
-        a = [e.ids for e in self.a.encode_batch_fast(with_blank, add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
-        good = np.array([w.encode() == b"".join(map(self.bytes_a.__getitem__, x))
-                         == b"".join(map(self.bytes_b.__getitem__, y)) for w, x, y in zip(with_blank, a, b)], bool)
-        a, b = [x if g else [] for x, g in zip(a, good)], [y if g else [] for y, g in zip(b, good)]
-        return Words(good, *flat(a, self.bytes_a), *flat(b, self.bytes_b))
-
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Ids of both tokenizers for a blank and the text, and whether both give its bytes back."""
+        raw, b = (" " + text).encode(), self.b.encode(text)
+        a = self.a.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+        good = raw == b"".join(map(self.bytes_a.__getitem__, a.tolist())) == b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, np.array(b, np.int64), True) if good else (a[:0], a[:0], False)
 
-def flat(ids: list[list[int]], names: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids in one list, the byte offset at which each one ends, and the number of ids of each word."""
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    all_ids = np.fromiter((i for own in ids for i in own), np.int64, int(n.sum()))
-    return all_ids, np.cumsum(np.fromiter(map(len, names), np.int64, len(names))[all_ids]), n
+    def align(self, words: list[str]) -> Words:
+        """Tokens, groups and links of words, each one with a blank before it.
+
+        Many words are tokenized as one text; one that a tokenizer can't give back, or that ends with white space, which
+        could grow together with the blank of the next, is tokenized by itself.
+        """
+        good, a, b, at = np.ones(len(words), bool), [], [], 0
+        while at < len(words):
+            to = at + 1
+            if self.by_word and not words[at][-1:].isspace() and words[at]:
+                while to < min(len(words), at + TOGETHER) and words[to] and not words[to][-1].isspace():
+                    to += 1
+            x, y, whole = self.tokens(" ".join(words[at:to]))
+            if whole or to == at + 1:
+                good[at:to] = whole
+                a.append(x), b.append(y)
+            else:
+                for i in range(at, to):
+                    x, y, good[i] = self.tokens(words[i])
+                    a.append(x), b.append(y)
+            at = to
+        size = np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)) * good
+        return Words(self, good, size, *(np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b)))
+
+
+def by_number(names: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(names.values()) + 1)
+    for name, i in names.items():
+        out[i] = name
+    return out
+
+
+def digits(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below ``n`` as text in bytes, filled up with zeros, and how many bytes each has."""
+    texts = np.array([str(i).encode() for i in range(n)])
+    return texts.view(np.uint8).reshape(n, -1), np.char.str_len(texts)
 
 
 class Words:
-    """Aligned words: ``n_a, n_b, n_groups, n_links`` of each, its groups as text, and its id pairs."""
+    """Aligned words: ``n_a, n_b, n_groups, n_links`` of each, its groups as text, and its id pairs.
+
+    ``size`` has the bytes of each word, 0 if it has no tokens; ``a`` and ``b`` are the ids of all words.
+    """
 
-    def __init__(self, good, a, ends_a, n_a, b, ends_b, n_b):
+    def __init__(self, pair: Pair, good: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray):
         self.good, words = good, len(good)
-        bounds = np.concatenate([[0], np.cumsum(n_a[n_a > 0])])
-        cuts = divide(ends_a, ends_b, bounds)[1:] if len(a) else np.zeros(0, np.int64)
+        stops, ends_a, ends_b = np.cumsum(size), np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
+        past_a, past_b = np.searchsorted(ends_a, stops, "right"), np.searchsorted(ends_b, stops, "right")
+        bounds = np.concatenate([[0], past_a])
+        cuts = divide(ends_a, ends_b, bounds[np.append(True, np.diff(bounds) > 0)])[1:]
         offsets = ends_a[cuts - 1]                                    # byte offsets at which groups end
-        word_a, word_b = np.repeat(np.arange(words), n_a), np.repeat(np.arange(words), n_b)
-        ends = np.union1d(ends_a, ends_b)                             # where a link ends
+        ends = np.sort(np.concatenate([ends_a, ends_b]))
+        ends = ends[np.append(True, np.diff(ends) > 0)[:len(ends)]]   # where a link ends
         link_a, link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        of_link = word_a[link_a]
-        self.figures = np.stack([n_a, n_b, np.bincount(word_a[cuts - 1], minlength=words),
-                                 np.bincount(of_link, minlength=words)], axis=1)
-        self.text = self.written(a, ends_a, b, ends_b, offsets, np.cumsum(n_a + n_b))
+        of_link = np.searchsorted(stops, ends)
+        n_groups, n_links = (np.searchsorted(x, stops, "right") for x in (offsets, ends))
+        self.figures = np.diff(np.stack([past_a, past_b, n_groups, n_links]), axis=1, prepend=0).T
+        self.text = self.written(a, ends_a, b, ends_b, offsets, past_a + past_b)
         # distinct pairs of each word and how often it links them
-        self.pairs, pair = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
-        own, self.times = np.unique(of_link << 32 | pair, return_counts=True)
+        self.pairs, place = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
+        own, self.times = np.unique(of_link << 32 | place, return_counts=True)
         self.pair, of = own & 0xFFFFFFFF, own >> 32
         self.first = np.searchsorted(of, np.arange(words + 1))
 
     @staticmethod
-    def written(a, ends_a, b, ends_b, offsets, stops) -> list[str]:
-        """Groups of each word as ``a1,a2|b1;a3|b2,b3``."""
+    def written(a, ends_a, b, ends_b, offsets, stops) -> list[bytes]:
+        """Groups of each word as ``a1,a2|b1;a3|b2,b3;``."""
+        if not len(a):
+            return [b""] * len(stops)
         group_a, group_b = np.searchsorted(offsets, ends_a), np.searchsorted(offsets, ends_b)
         before = np.concatenate([[0], np.cumsum(np.bincount(group_a, minlength=len(offsets)))])   # of a, by group
-        parts = np.empty(len(a) + len(b), object)
-        for ids, ends, group, last, place in (
-                (a, ends_a, group_a, "|", np.arange(len(a)) + np.searchsorted(group_b, group_a)),
-                (b, ends_b, group_b, ";", np.arange(len(b)) + before[1:][group_b])):
-            final = offsets[group] == ends
-            parts[place] = [f"{i}{last if f else ','}" for i, f in zip(ids.tolist(), final.tolist())]
-        parts, at, out = parts.tolist(), 0, []
-        for stop in stops.tolist():
-            out.append("".join(parts[at:stop])[:-1])
-            at = stop
-        return out
+        ids, sign = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        for own, ends, group, last, place in (
+                (a, ends_a, group_a, b"|", np.arange(len(a)) + np.searchsorted(group_b, group_a)),
+                (b, ends_b, group_b, b";", np.arange(len(b)) + before[1:][group_b])):
+            ids[place], sign[place] = own, np.where(offsets[group] == ends, ord(last), ord(","))
+        table, size = digits(int(ids.max()) + 1)
+        cells = np.column_stack([table[ids], np.zeros(len(ids), np.uint8)])
+        cells[np.arange(len(ids)), size[ids]] = sign
+        text = cells[cells != 0].tobytes()
+        at = np.concatenate([[0], np.cumsum(size[ids] + 1)])[np.concatenate([[0], stops])].tolist()
+        return [text[x:y] for x, y in zip(at[:-1], at[1:])]
 
 
 def aligned(pair: Pair, texts: list[str]):
@@ -170,7 +208,7 @@ def aligned(pair: Pair, texts: list[str]):
     for k in range(len(FIGURES)):
         figures[:, k] = np.bincount(of, words.figures[word, k], len(texts))
     figures[~good] = 0
-    groups = [";".join(map(words.text.__getitem__, h)) if g else "" for h, g in zip(held, good.tolist())]
+    groups = [b"".join(map(words.text.__getitem__, h))[:-1] if g else b"" for h, g in zip(held, good.tolist())]
     # how often each text has each word, then each pair of that word
     own, times = np.unique((of << 32 | word)[good[of]], return_counts=True)
     of, word = own >> 32, own & 0xFFFFFFFF
@@ -223,7 +261,8 @@ def token_groups(docs: DataFrame, a: str, b: str, text: str = "text", block_char
             for first, texts in parts(batch, block_chars):
                 figures, groups, *_ = aligned(pair_of(*files.value), texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), *map(pa.array, figures.T), pa.array(groups)],
+                    [batch.column(0).slice(first, len(texts)), *map(pa.array, figures.T),
+                     pa.array([g.decode() for g in groups], pa.string())],
                     ["doc_id", *FIGURES, "groups"])
 
     return docs.select("doc_id", F.col(text).cast("string").alias("text")).mapInArrow(
@@ -243,7 +282,7 @@ def blocks(docs: DataFrame, a: str, b: str, text: str, block_chars: int) -> Data
         for batch in batches:
             for first, texts in parts(batch, block_chars):
                 figures, groups, pairs, of, place, times = aligned(pair_of(*files.value), texts)
-                hashed = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                hashed = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
                 step = np.diff(place, prepend=0)
                 start = np.append(True, np.diff(of) > 0)[:len(of)]
                 step[start] = place[start]                            # a text's places rise, so differences are small
