@@ -36,15 +36,18 @@ def parts_of(keys: list[tuple[object, float]], share: float) -> list[tuple[objec
     return [(k, min(PARTS, max(2, -int(-s // share)))) for k, s in keys]
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = SHARE) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: float = SHARE,
+               heavy: list[tuple[object, float]] | None = None) -> DataFrame:
     """``left JOIN right USING (key)`` with the rows of keys that are heavy in ``left`` dealt over several parts.
 
+    ``heavy`` are keys found before, for a ``left`` that holds part of the same rows; without it they are looked for.
+
     ``how`` is inner, left, left_semi or left_anti. The right side should be small for one key, since its rows of
     a heavy key are copied. The table of heavy keys has at most ``1 / share`` rows, which bounds what is broadcast.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} can't be split by its left side")
-    keys = parts_of(heavy_keys(left, key, share), share)
+    keys = parts_of(heavy_keys(left, key, share) if heavy is None else heavy, share)
     if not keys:
         return left.join(right, key, how)
     kind = dict(left.dtypes)[key]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions import text
+from opsloom.operators.graph import components
+from opsloom.operators.heavy import heavy_keys, split_join
 from opsloom.session import cut
 
 EPSILON = 1e-9   # bounds are products of a decimal threshold and must not fall short by rounding
@@ -31,47 +33,106 @@ def rare_items(sets: DataFrame, threshold: float) -> DataFrame:
     """
     each = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("item"))
     common = each.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ordered = (each.join(common, "item").groupBy("id", "n")
+    ordered = (split_join(each, common, "item").groupBy("id", "n")
                .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("list")))
     return (ordered.select("id", "n", F.size("list").alias("m"), F.posexplode("list"))
             .select(F.col("col.item").alias("item"), "id", "n", (F.col("m") - F.col("pos")).alias("left"))
             .filter(F.col("left") + EPSILON >= threshold * F.col("n")))
 
 
-def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id",
-            body: str = "text") -> DataFrame:
-    """RELATED_TO edges (src, dst, score), src < dst, score = exact Jaccard of word 3-grams.
+def folded(docs: DataFrame, key: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """Files with the first file of their content, ``_first``, and the written shingle sets of first files.
 
-    Exact copies hang on their first file with score 1. Of the first files every pair that reaches
-    the threshold is found: they meet by their rarest shingles, early enough in both sets for the
-    overlap to be reachable, and are compared on whole sets.
+    A file without text is the first and only one of its kind.
     """
     src = docs.select(key, F.md5(body).alias("_h"), body)
     firsts = src.groupBy("_h").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
     # Only hashes with copies take part, and only ids travel, however popular one content is.
-    copies = (src.select(key, "_h").join(firsts.filter("_n > 1"), "_h")
-              .filter(F.col(key) > F.col("_first"))
-              .select(F.col("_first").alias("src"), F.col(key).alias("dst"),
-                      F.lit(1.0).alias("score")))
+    copied = split_join(src.select(key, "_h"), firsts.filter("_n > 1 AND _h IS NOT NULL").drop("_n"), "_h", "left")
     uniques = src.join(firsts.select(F.col("_first").alias(key)), key, "left_semi")
     runs = text.shingles(F.col("_w"))
-    # Sets are read several times below, so they are written once.
     hashed = cut(uniques.select(F.col(key).alias("id"), text.words(body).alias("_w")).select(
         "id", F.array_distinct(F.transform(runs, lambda s: text.hash_number(s) % PRIME))
         .alias("set")), "sets")
+    return copied.select(key, F.coalesce("_first", key).alias("_first")), hashed
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``src, dst, score``: the pairs whose whole sets reach the threshold."""
+    scored = split_join(split_join(pairs, sets.toDF("src", "_a"), "src"), sets.toDF("dst", "_b"), "dst")
+    return (scored.select("src", "dst", jaccard(F.col("_a"), F.col("_b")).alias("score"))
+            .filter(F.col("score") >= threshold))
+
+
+def reachable(n: Column, n2: Column, left: Column, left2: Column, threshold: float) -> Column:
+    """Whether two sets can still overlap enough, by their sizes and what is left of both from a shared item on."""
+    overlap = threshold / (1 + threshold) * (n + n2)
+    return (F.least(left, left2) + EPSILON >= overlap) & (F.least(n, n2) + EPSILON >= threshold * F.greatest(n, n2))
+
+
+def related(docs: DataFrame, threshold: float = 0.6, key: str = "file_id",
+            body: str = "text") -> DataFrame:
+    """RELATED_TO edges (src, dst, score), src < dst, score = exact Jaccard of word 3-grams.
+
+    Exact copies hang on their first file with score 1. Of the first files every pair that reaches
+    the threshold is found: they meet by their rarest shingles, early enough in both sets for the
+    overlap to be reachable, and are compared on whole sets. Groups of many near copies have as many
+    edges as pairs; ``related_classes`` says the same in one row a file.
+    """
+    copied, hashed = folded(docs, key, body)
+    copies = copied.filter(F.col(key) > F.col("_first")).select(
+        F.col("_first").alias("src"), F.col(key).alias("dst"), F.lit(1.0).alias("score"))
     rare = rare_items(hashed, threshold)
     other = rare.toDF("item", "id2", "n2", "left2")
-    reach = threshold / (1 + threshold) * (F.col("n") + F.col("n2"))
     pairs = (rare.join(other, "item").filter("id < id2")
-             .filter(F.least("left", "left2") + EPSILON >= reach)
-             .filter(F.least("n", "n2") + EPSILON >= threshold * F.greatest("n", "n2"))
+             .filter(reachable(F.col("n"), F.col("n2"), F.col("left"), F.col("left2"), threshold))
              .select(F.col("id").alias("src"), F.col("id2").alias("dst")).distinct())
-    left = hashed.select(F.col("id").alias("src"), F.col("set").alias("_a"))
-    right = hashed.select(F.col("id").alias("dst"), F.col("set").alias("_b"))
-    scored = (pairs.join(left, "src").join(right, "dst")
-              .select("src", "dst", jaccard(F.col("_a"), F.col("_b")).alias("score"))
-              .filter(F.col("score") >= threshold))
-    return copies.unionByName(scored)
+    return copies.unionByName(verified(pairs, hashed, threshold))
+
+
+def related_classes(docs: DataFrame, threshold: float = 0.6, key: str = "file_id", body: str = "text",
+                    growth: int = 64) -> tuple[DataFrame, DataFrame]:
+    """D11 in proportion to the files: classes ``key, class_id, members``, and the links that hold them together.
+
+    A class has all files that RELATED_TO edges connect, directly or over others; its id is its least file. No group
+    is paired out: among the sets that share a rare item one is the pivot, the others are compared with it, and those
+    that stay apart form the next round with ``growth`` times as many pivots, until every two sets that share a rare
+    item are compared, connected, or excluded by the exact bounds. Links are ``src, dst, score`` between first
+    files, as many as were confirmed on the way, each at or above the threshold.
+    """
+    copied, hashed = folded(docs, key, body)
+    live = cut(rare_items(hashed, threshold), "rare")
+    heavy = heavy_keys(live, "item")
+    labels = cut(live.select("id").distinct().select("id", F.col("id").alias("label")), "labels")
+    found, pivots = [], 1
+    while True:
+        now = live.join(labels, "id")
+        apart = (now.groupBy("item").agg(F.min("label").alias("_low"), F.max("label").alias("_high"))
+                 .filter("_low < _high").select("item"))
+        now = cut(split_join(now, apart, "item", heavy=heavy), "live")
+        if now.isEmpty():
+            break
+        slot = F.pmod(F.xxhash64("id", F.lit(pivots)), F.lit(pivots))
+        chosen = cut(now.groupBy("item", slot.alias("_slot")).agg(F.max(F.struct("left", "id", "n", "label")).alias("p"))
+                     .select("item", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.left").alias("left2"),
+                             F.col("p.label").alias("label2")), "pivots")
+        pairs = (split_join(now, chosen, "item", heavy=heavy).filter("label <> label2")
+                 .filter(reachable(F.col("n"), F.col("n2"), F.col("left"), F.col("left2"), threshold))
+                 .select(F.least("id", "id2").alias("src"), F.greatest("id", "id2").alias("dst")).distinct())
+        links = cut(verified(cut(pairs, "pairs"), hashed, threshold), "links")
+        found.append(links)
+        labels = components(labels, links)
+        live = now.join(chosen.select("item", F.col("id2").alias("id")), ["item", "id"], "left_anti").select(
+            "item", "id", "n", "left")
+        pivots *= growth
+    placed = (split_join(copied, labels.toDF("_first", "label"), "_first", "left")
+              .select(key, F.coalesce("label", "_first").alias("class_id")))
+    sizes = placed.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
+    classes = split_join(placed, sizes, "class_id").select(key, "class_id", "members")
+    none = hashed.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("score")).limit(0)
+    for links in found:
+        none = none.unionByName(links)
+    return classes, none
 
 
 # ---------------------------------------------------------------- 64-bit hashes

@@ -8,7 +8,7 @@ that parameters bound, whatever the number of vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -200,21 +200,22 @@ def visits(queries: DataFrame, cells: Cells, probes: int, qid: str, vec: str, re
     return rows.mapInPandas(run, f"{qid} {kind}, {vec} {dict(queries.dtypes)[vec]}, cell int")
 
 
-def compared(asked: DataFrame, celled: DataFrame, cells: Cells, k: int, qid: str, bid: str, vec: str,
-             block_bytes: int) -> DataFrame:
-    """The ``k`` best rows of each query within each block of a cell.
+def in_blocks(asked: DataFrame, stored: DataFrame, rows: Mapping[int, int], d: int, qid: str, bid: str, vec: str,
+              compare: Callable, block_bytes: int) -> DataFrame:
+    """``qid, bid, distance`` of whatever ``compare`` finds between the two sides of each cell.
 
     A cell's queries and rows are dealt over as many blocks as their number asks for, by a hash of their ids, and
-    every block of one side meets every block of the other, so a cell with most rows is many tasks.
+    every block of one side meets every block of the other, so a cell with most rows is many tasks. ``rows`` has the
+    stored rows of each cell; the queries of each are counted here, one row a cell reaches the driver.
     """
-    held = max(1, block_bytes // (8 * cells.d))
-    wanted = asked.groupBy("cell").count().collect()          # one row for each cell
-    parts = [(r["cell"], -(-r["count"] // held), int(-(-cells.rows[r["cell"]] // held))) for r in wanted]
+    held = max(1, block_bytes // (8 * d))
+    wanted = asked.groupBy("cell").count().collect()
+    parts = [(r["cell"], -(-r["count"] // held), -(-rows[r["cell"]] // held)) for r in wanted if rows.get(r["cell"])]
+    kinds = {qid: dict(asked.dtypes)[qid], bid: dict(stored.dtypes)[bid]}
+    schema = f"{qid} {kinds[qid]}, {bid} {kinds[bid]}, distance double"
     if not parts:
-        return asked.sparkSession.createDataFrame([], f"{qid} {dict(asked.dtypes)[qid]}, "
-                                                  f"{bid} {dict(celled.dtypes)[bid]}, distance double")
+        return asked.sparkSession.createDataFrame([], schema)
     grid = F.broadcast(small_table(asked.sparkSession, "cell INT, q_parts INT, b_parts INT", parts))
-    kinds = {qid: dict(asked.dtypes)[qid], bid: dict(celled.dtypes)[bid]}
 
     def dealt(df: DataFrame, key: str, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
         return (df.join(grid, "cell").select(
@@ -223,18 +224,24 @@ def compared(asked: DataFrame, celled: DataFrame, cells: Cells, k: int, qid: str
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_part)))
 
     left = dealt(asked, qid, "q_parts", "b_parts", "_qp", "_bp")
-    right = dealt(celled.select(bid, vec, "cell"), bid, "b_parts", "q_parts", "_bp", "_qp")
+    right = dealt(stored.select(bid, vec, "cell"), bid, "b_parts", "q_parts", "_bp", "_qp")
 
     def cell(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return pd.DataFrame({qid: [], bid: [], "distance": []})
-        out = nearest(q["_id"].to_numpy(), matrix(q["_v"], cells.metric), b["_id"].to_numpy(),
-                      matrix(b["_v"], cells.metric), k, cells.metric)
+        out = compare(q["_id"].to_numpy(), q["_v"], b["_id"].to_numpy(), b["_v"]) if len(q) and len(b) else ([], [], [])
         return pd.DataFrame(dict(zip((qid, bid, "distance"), out)))
 
     keys = ["cell", "_qp", "_bp"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        cell, f"{qid} {kinds[qid]}, {bid} {kinds[bid]}, distance double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, schema)
+
+
+def compared(asked: DataFrame, celled: DataFrame, cells: Cells, k: int, qid: str, bid: str, vec: str,
+             block_bytes: int) -> DataFrame:
+    """The ``k`` best rows of each query within each block of a cell."""
+    def compare(ids, v, base_ids, base):
+        return nearest(ids, matrix(v, cells.metric), base_ids, matrix(base, cells.metric), k, cells.metric)
+
+    rows = {c: int(n) for c, n in enumerate(cells.rows)}
+    return in_blocks(asked, celled, rows, cells.d, qid, bid, vec, compare, block_bytes)
 
 
 def best(found: DataFrame, k: int, qid: str, bid: str) -> DataFrame:
@@ -267,3 +274,92 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: st
         more = compared(further, celled, sizes, k, qid, bid, vec, block_bytes)
         found = best(found.drop("rank").unionByName(more), k, qid, bid)
     return found.select(qid, bid, "distance", "rank")
+
+
+# ---------------------------------------------------------------- related vectors
+
+PLANES = 12                # most bits of a sign pattern
+PATTERN_ROWS = 64          # rows that a pattern should have
+
+
+def directions(d: int, planes: int, seed: int = 5) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((d, planes))
+
+
+def patterns(x: np.ndarray, across: np.ndarray, probes: int) -> np.ndarray:
+    """The ``probes`` sign patterns to look into, for unit vectors: the own one, then those with least margins flipped.
+
+    A pattern's cost is the sum of the squared margins of its flipped bits.
+    """
+    margins = x @ across
+    own = (margins > 0) @ (1 << np.arange(across.shape[1]))
+    if probes == 1:
+        return own[:, None]
+    flips = np.arange(1 << across.shape[1])
+    bits = (flips[:, None] >> np.arange(across.shape[1])) & 1
+    cost = margins ** 2 @ bits.T
+    near = np.argsort(cost, axis=1, kind="stable")[:, :probes] if probes < len(flips) else np.tile(flips, (len(x), 1))
+    return own[:, None] ^ near
+
+
+def probes_for_angle(sample: np.ndarray, across: np.ndarray, cosine: float, recall: float, asked: int = 512) -> int:
+    """Patterns to look into so that a vector at just this cosine, in any direction, is found with chance ``recall``."""
+    x = sample[:asked]
+    side = np.random.default_rng(9).standard_normal(x.shape)
+    side = unit(side - (side * x).sum(1, keepdims=True) * x + 1e-300)
+    theirs = patterns(cosine * x + np.sqrt(max(0.0, 1 - cosine ** 2)) * side, across, 1)
+    place = np.sort((patterns(x, across, 1 << across.shape[1]) == theirs).argmax(axis=1))
+    return int(place[min(len(place) - 1, int(np.ceil(recall * len(place))))]) + 1
+
+
+def related_vectors(df: DataFrame, cosine: float, key: str = "id", vec: str = "embedding", recall: float | None = 0.95,
+                    planes: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """D11 on vectors: pairs (src, dst, score), src < dst, of vectors with at least this cosine.
+
+    Equal vectors are folded first: each hangs on its first row with score 1 and takes no part in comparisons. The others lie
+    in the cell of their sign pattern under random directions and look into further patterns in the order of the
+    margins they would have to cross, as many as find a pair at the threshold with chance ``recall`` in one
+    direction alone, measured on a bounded sample; pairs are confirmed by their cosine. ``recall=None`` looks into all
+    patterns and is exact.
+    """
+    if not -1 <= cosine <= 1:
+        raise ValueError("a cosine lies in -1..1")
+    good = clean(df.select(key, vec), key, vec, metric="cosine")
+    firsts = good.groupBy(F.xxhash64(vec).alias("_h"), vec).agg(F.min(key).alias("_first"))
+    held = cut(good.join(firsts.select("_h", F.col(vec).alias("_v"), "_first"),
+                         (F.xxhash64(vec) == F.col("_h")) & (F.col(vec) == F.col("_v"))).select(key, "_first"), "held")
+    copies = held.filter(F.col(key) > F.col("_first")).select(
+        F.col("_first").alias("src"), F.col(key).alias("dst"), F.lit(1.0).alias("score"))
+    rows = cut(firsts.select(F.col("_first").alias("id"), vec), "firsts")
+    sample, n = bounded_sample(rows, "cosine", "id", vec)
+    if not n:
+        return copies
+    d = sample.shape[1]
+    bits = planes if planes is not None else int(np.clip(np.log2(max(1, n / PATTERN_ROWS)), 0, PLANES))
+    across = directions(d, bits)
+    probes = 1 << bits if recall is None else probes_for_angle(sample, across, cosine, recall)
+    kinds = dict(rows.dtypes)
+
+    def placed(looked: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), SLAB):
+                    pdf = whole.iloc[at:at + SLAB]
+                    cells = patterns(matrix(pdf[vec], "cosine"), across, looked)
+                    each = np.repeat(np.arange(len(pdf)), cells.shape[1])
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[each], vec: pdf[vec].to_numpy()[each],
+                                        "cell": cells.ravel().astype("int32")})
+        return clean(rows, "id", vec, d, "cosine").mapInPandas(run, f"id {kinds['id']}, {vec} {kinds[vec]}, cell int")
+
+    stored = cut(placed(1).withColumnRenamed("id", "other"), "patterns")
+    sizes = {r["cell"]: r["count"] for r in stored.groupBy("cell").count().collect()}     # one row for each pattern
+
+    def compare(ids, v, other_ids, other):
+        score = matrix(v, "cosine") @ matrix(other, "cosine").T
+        at, to = np.nonzero((score >= cosine - SLACK) & (ids[:, None] != other_ids[None, :]))
+        return ids[at], other_ids[to], score[at, to]
+
+    met = in_blocks(placed(probes), stored, sizes, d, "id", "other", vec, compare, block_bytes)
+    pairs = (met.groupBy(F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))
+             .agg(F.max("distance").alias("score")).filter(F.round("score", 9) >= cosine))
+    return copies.unionByName(pairs)

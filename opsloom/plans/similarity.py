@@ -43,6 +43,19 @@ def j12c(spark, d):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+RELATED_VECTORS_SQL = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+f AS MATERIALIZED (SELECT e, min(vec_id) AS id FROM v GROUP BY 1)
+SELECT f.id AS src, vec_id AS dst, 1.0::DOUBLE AS score FROM v JOIN f USING (e) WHERE vec_id > f.id
+UNION ALL SELECT a.id, b.id, round(list_cosine_similarity(a.e, b.e), 6) FROM f a JOIN f b ON a.id < b.id
+  AND round(list_cosine_similarity(a.e, b.e), 9) >= 0.4"""
+
+
+@query("d11_related_vectors", RELATED_VECTORS_SQL)
+def d11v(spark, d):
+    return near.related_vectors(vectors(spark, d, "id"), 0.4, recall=None, planes=4).withColumn(
+        "score", F.round("score", 6))
+
+
 SHINGLE_SQL = f"""s AS (SELECT id, list_distinct(list_transform(CASE WHEN len(w) >= 3
   THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
   ELSE [array_to_string(w, ' ')] END,
@@ -60,6 +73,18 @@ def d11(spark, d):
         "score", F.round("score", 6))
 
 
+@query("d11_classes", f"""WITH RECURSIVE {SHINGLE_SQL}, e AS MATERIALIZED (SELECT id, len(set) AS n, unnest(set) AS h FROM s),
+j AS MATERIALIZED (SELECT src, dst FROM (SELECT a.id AS src, b.id AS dst, count(*) AS n,
+  any_value(a.n) + any_value(b.n) AS t FROM e a JOIN e b ON a.h = b.h AND a.id <> b.id GROUP BY 1, 2)
+  WHERE n / (t - n) >= 0.6),
+reach AS (SELECT id, id AS other FROM s UNION SELECT r.id, j.dst FROM reach r JOIN j ON r.other = j.src),
+c AS (SELECT id, min(other) AS class_id FROM reach GROUP BY 1),
+f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS id FROM documents)
+SELECT doc_id AS file_id, class_id, count(*) OVER (PARTITION BY class_id) AS members FROM f JOIN c USING (id)""")
+def d11b(spark, d):
+    return similar.related_classes(model.files(spark, d).select("file_id", "text"), 0.6)[0]
+
+
 @query("d12_phash_pairs", f"""WITH w AS (SELECT doc_id, unnest({WORDS_SQL}) AS w FROM documents),
 c AS (SELECT doc_id, CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 64 AS cell,
   count(*) AS n FROM w GROUP BY 1, 2),
