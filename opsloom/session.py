@@ -59,7 +59,7 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a durable lineage cut."""
     spark = df.sparkSession
     path = fresh_dir(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
