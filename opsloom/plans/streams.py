@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opsloom import model
 from opsloom.model import FILES_SQL, SAMPLES_SQL
+from opsloom.operators.rules import violates
 from opsloom.plans.alerting import HELD_SQL, RULES, rules
 from opsloom.plans.registry import ORACLES, query
 from opsloom.session import fresh_dir
@@ -61,14 +62,31 @@ def m05(spark, d):
     return jobs.drain(hourly, "late")
 
 
+@query("m05_late_rows", f"""WITH {SAMPLES_SQL}, p AS (SELECT *, user_id % 3 AS part FROM samples),
+m AS (SELECT max(us) FILTER (part = 0) - 604800000000 AS m0 FROM p),
+j AS (SELECT part AS batch_id, us, CASE WHEN part > 0 AND us < CASE part WHEN 1 THEN m0 ELSE greatest(m0,
+  (SELECT max(us) FROM p WHERE part = 1) - 604800000000) END THEN 'late' END AS reason FROM p, m)
+SELECT batch_id, coalesce(reason, 'on time') AS reason, count(*) AS n, min(us) AS first_us, max(us) AS last_us
+FROM j GROUP BY 1, 2""")
+def m05b(spark, d):
+    """Three files that each go over the whole time: after the first one, rows older than a week are late."""
+    path, root, check = (fresh_dir(spark, kind) for kind in ("events", "on-time", "on-time-checkpoint"))
+    events = spark.read.schema(model.EVENTS).parquet(f"{d}/events.parquet")
+    for part in range(3):
+        events.filter(F.col("user_id") % 3 == part).coalesce(1).write.mode("append").parquet(path)
+        stream = model.as_samples(jobs.file_stream(spark, path, model.EVENTS))
+        jobs.stream_on_time(stream, root, check).awaitTermination()
+    return jobs.batches_of(spark, root, "counts").select(
+        F.col("batch_id").cast("long"), F.coalesce("reason", F.lit("on time")).alias("reason"), "n", "first_us", "last_us")
+
+
 def marks(spark, d):
-    """Violations of three rules and the samples that resolve them."""
+    """Violations of all rules and the samples that resolve them."""
     s = sample_stream(spark, d)
-    r = rules(spark).filter("rule <> 'flat_error'").select("rule", "metric", "threshold",
-                                                           "comparison", "cooldown_s")
+    r = rules(spark).select("rule", "metric", "threshold", "comparison", "cooldown_s")
     bad = s.join(r, s["name"] == r["metric"]).filter(
-        "(comparison = 'greater' AND value > threshold) OR (comparison = 'less' AND value < threshold)")
-    names = [(x[0], x[6]) for x in RULES if x[0] != "flat_error"]
+        violates(F.col("value"), F.col("comparison"), F.col("threshold")))
+    names = [(x[0], x[6]) for x in RULES]
     ends = s.filter("name = 'signup' AND value > 150").withColumn("_r", F.explode(F.array(*[
         F.struct(F.lit(n).alias("rule"), F.lit(c).alias("cooldown_s")) for n, c in names])))
     cols = ["us", "sample_id"]
@@ -78,9 +96,9 @@ def marks(spark, d):
 
 EPISODE_MARKS = HELD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, ev AS (
   SELECT rule, us, sample_id, 0 AS resolve, value, cooldown_s FROM held
-    WHERE violated AND rule <> 'flat_error'
+    WHERE violated
   UNION ALL SELECT r.rule, s.us, s.sample_id, 1, NULL, 0 FROM samples s, rules r
-    WHERE s.name = 'signup' AND s.value > 150 AND r.rule <> 'flat_error'),
+    WHERE s.name = 'signup' AND s.value > 150),
 n AS (SELECT *, sum(resolve) OVER (PARTITION BY rule ORDER BY us, sample_id
   ROWS UNBOUNDED PRECEDING) - resolve AS episode FROM ev)"""
 
@@ -128,14 +146,16 @@ def m08(spark, d):
     return jobs.drain(jobs.stream_dedup(f), "dedup").select("md5_hash")
 
 
-@query("m09_stream_pair", f"""WITH {SAMPLES_SQL} SELECT a.user_id, a.us AS started_us, b.us AS done_us
-FROM samples a JOIN samples b ON a.user_id = b.user_id AND a.name = 'signup' AND b.name = 'purchase'
-AND b.us >= a.us AND b.us <= a.us + 21600000000""")
+@query("m09_stream_pair", f"""WITH {SAMPLES_SQL}, s AS (SELECT user_id, us FROM samples WHERE name = 'signup'),
+p AS (SELECT user_id, us FROM samples WHERE name = 'purchase'),
+m AS (SELECT least((SELECT max(us) FROM s) // 1000, (SELECT max(us) FROM p) // 1000) * 1000 AS mark)
+SELECT s.user_id, s.us AS started_us, p.us AS done_us FROM s LEFT JOIN p ON p.user_id = s.user_id
+  AND p.us >= s.us AND p.us <= s.us + 21600000000, m WHERE p.us IS NOT NULL OR s.us + 21600000000 < mark""")
 def m09(spark, d):
+    """Starts with their ends, and starts whose six hours have passed without one."""
     started = sample_stream(spark, d).filter("name = 'signup'")
     done = sample_stream(spark, d).filter("name = 'purchase'")
-    out = jobs.drain(jobs.stream_pair(started, done, "user_id", "6 HOURS"), "pairs")
-    return out.filter("done_us IS NOT NULL")
+    return jobs.drain(jobs.stream_pair(started, done, "user_id", "6 HOURS"), "pairs")
 
 
 @query("m10_write_alerts", HELD_SQL + """ SELECT rule, epoch_us(min(ts)) AS created_us,

@@ -18,9 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opsloom.model import as_samples
 from opsloom.operators.episodes import render_alerts
-from opsloom.operators.rules import violates
 from opsloom.operators.state import upsert
 from opsloom.session import fresh_dir
+from opsloom.streaming.rules import columns, event_time, stream_episodes, stream_threshold  # noqa: F401
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
@@ -105,7 +105,7 @@ def newest_batch(updates: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def with_lateness(samples: DataFrame, max_age: str = "168 hours") -> DataFrame:
-    """Every stateful operator downstream drops rows older than the watermark.
+    """Every stateful operator downstream drops rows older than the watermark; see ``stream_on_time`` to keep them.
 
     Windowed aggregates do so by themselves, the alert rules by ``_stateful``; either way the
     watermark is that of the batches before, so what a batch drops does not depend on its order.
@@ -113,10 +113,40 @@ def with_lateness(samples: DataFrame, max_age: str = "168 hours") -> DataFrame:
     return samples.withWatermark("ts", max_age)
 
 
-def _event_time(df: DataFrame) -> list[str]:
-    """The event-time column, if ``df`` has a watermark on it; rules must carry it along."""
-    marked = "ts" in df.columns and any("watermark" in k for k in df.schema["ts"].metadata)
-    return ["ts"] if marked else []
+def stream_on_time(samples: DataFrame, root: str, checkpoint: str, max_age_s: int = 168 * 3600,
+                   required: Sequence[str] = ("name", "us"), every: str | None = None):
+    """Rows that come too late, or lack what a sample must have, are set aside and counted, never lost.
+
+    A row is late if it is older than ``max_age_s`` before the newest on-time row of the batches before; it doesn't
+    depend on the order within a batch. Each batch writes ``rows/batch_id=n`` with a ``reason`` (NULL: on time),
+    ``counts/batch_id=n`` with rows and time range by reason, and ``marks/batch_id=n`` with the mark for the next one. A
+    batch reads the mark before it and overwrites its own folders, so a repeated batch changes nothing.
+    """
+    spark = samples.sparkSession
+    age = max_age_s * MICROS
+
+    def sink(batch: DataFrame, number: int) -> None:
+        before = None if number == 0 else spark.read.parquet(f"{root}/marks/batch_id={number - 1}").first()["mark"]
+        reason = F.lit(None).cast("string")
+        if before is not None:
+            reason = F.when(F.col("us") < before, "late")
+        for name in reversed(required):
+            reason = F.when(F.col(name).isNull(), f"no {name}").otherwise(reason)
+        judged = batch.withColumn("reason", reason)
+        judged.write.mode("overwrite").parquet(f"{root}/rows/batch_id={number}")
+        rows = spark.read.schema(judged.schema).parquet(f"{root}/rows/batch_id={number}")
+        (rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+         .write.mode("overwrite").parquet(f"{root}/counts/batch_id={number}"))
+        newest = rows.filter("reason IS NULL").agg(F.greatest(F.max("us") - age, F.lit(before).cast("long")).alias("mark"))
+        newest.write.mode("overwrite").parquet(f"{root}/marks/batch_id={number}")
+
+    writer = samples.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start()
+
+
+def batches_of(spark: SparkSession, root: str, part: str) -> DataFrame:
+    """A part of what ``stream_on_time`` wrote (rows, counts) with the number of its batch."""
+    return spark.read.option("basePath", f"{root}/{part}").parquet(f"{root}/{part}")
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -124,10 +154,6 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
                                                                  ignore_index=True)
 
 
-def _schema_of(df: DataFrame, cols: Sequence[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
-
-
 def _stateful(df: DataFrame, by: Sequence[str], fn: Callable, out: str, state: str) -> DataFrame:
     def on_time(key, frames, state: GroupState):
         mark = state.getCurrentWatermarkMs() * 1000
@@ -135,41 +161,14 @@ def _stateful(df: DataFrame, by: Sequence[str], fn: Callable, out: str, state: s
         if any(len(f) for f in kept):
             yield from fn(key, iter(kept), state)
 
-    return df.groupBy(*by).applyInPandasWithState(on_time if _event_time(df) else fn, out, state,
+    return df.groupBy(*by).applyInPandasWithState(on_time if event_time(df) else fn, out, state,
                                                   "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_threshold(samples: DataFrame, rules: DataFrame, series: Sequence[str] = ()) -> DataFrame:
-    """M04 = W05: the state of a series is the start of its current violating run."""
-    by = ["rule", *series]
-    joined = samples.join(rules, samples["name"] == rules["metric"]).select(
-        *by, *_event_time(samples), "sample_id", "us", "value",
-        F.col("duration_s").cast("long").alias("duration_s"),
-        violates(F.col("value"), F.col("comparison"), F.col("threshold")).alias("violated"))
-
-    def step(key, frames, state: GroupState):
-        pdf = _ordered(frames)
-        start = state.get[0] if state.exists else None
-        bad, us = pdf["violated"].to_numpy(), pdf["us"].to_numpy()
-        was = np.concatenate([[start is not None], bad[:-1]])
-        starts = pd.Series(np.where(bad & ~was, us, 0)).replace(0, np.nan).ffill()
-        # Rows before the first new start still belong to the carried run.
-        known = starts.fillna(start if start is not None else 0).astype("int64").to_numpy()
-        run = pd.array(np.where(bad, known, 0), dtype="Int64")
-        run[~bad] = pd.NA
-        state.update((int(known[-1]) if bad[-1] else None,))
-        held = bad & ((us - known) >= pdf["duration_s"].to_numpy() * MICROS)
-        yield pdf[[*by, "sample_id", "us", "value", "violated"]].assign(run_start=run, fires=held)
-
-    return _stateful(joined, by, step, f"{_schema_of(joined, by)}, sample_id long, us long, "
-                     "value double, violated boolean, run_start long, fires boolean",
-                     "start long")
-
-
 def stream_pattern(log: DataFrame, by: Sequence[str], matched: Column, occurrences: int,
                    window_s: int = 300) -> DataFrame:
     """M07 = W04: the state is the list of match times still inside the window."""
-    rows = log.select(*by, *_event_time(log), "sample_id", "us", F.coalesce(matched, F.lit(False)).alias("matched"))
+    rows = log.select(*by, *event_time(log), "sample_id", "us", F.coalesce(matched, F.lit(False)).alias("matched"))
     width = window_s * MICROS
 
     def step(key, frames, state: GroupState):
@@ -183,14 +182,14 @@ def stream_pattern(log: DataFrame, by: Sequence[str], matched: Column, occurrenc
         yield pdf[[*by, "sample_id", "us"]].assign(
             matches=count, fires=hit & (count >= occurrences))
 
-    return _stateful(rows, by, step, f"{_schema_of(rows, by)}, sample_id long, us long, "
+    return _stateful(rows, by, step, f"{columns(rows, by)}, sample_id long, us long, "
                      "matches long, fires boolean", "times array<long>")
 
 
 def stream_rate(samples: DataFrame, by: Sequence[str], threshold: float,
                 window_s: int = 300) -> DataFrame:
     """M07 = W02: the state holds times and values still inside the window."""
-    rows = samples.select(*by, *_event_time(samples), "sample_id", "us", "value")
+    rows = samples.select(*by, *event_time(samples), "sample_id", "us", "value")
     width = window_s * MICROS
 
     def step(key, frames, state: GroupState):
@@ -209,48 +208,11 @@ def stream_rate(samples: DataFrame, by: Sequence[str], threshold: float,
             rate=pd.Series(rate).astype(object).where(seconds > 0, None),
             fires=np.nan_to_num(np.abs(rate)) > threshold)
 
-    return _stateful(rows, by, step, f"{_schema_of(rows, by)}, sample_id long, us long, "
+    return _stateful(rows, by, step, f"{columns(rows, by)}, sample_id long, us long, "
                      "value double, rate double, fires boolean",
                      "times array<long>, values array<double>")
 
 
-def stream_episodes(marks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """M06 = W07 and W08: cooldown and lifecycle.
-
-    ``marks`` has (by, us, sample_id, resolve, value, cooldown_s). Output rows are ``notify``
-    (a notification is due) and ``resolved`` (an episode closed, with its figures).
-    """
-    rows = marks.select(*by, *_event_time(marks), "us", "sample_id", F.col("resolve").cast("int").alias("resolve"),
-                        "value", F.col("cooldown_s").cast("long").alias("cooldown_s"))
-    cols = ["us", "kind", "opened_us", "fires", "peak_value"]
-
-    def step(key, frames, state: GroupState):
-        pdf = _ordered(frames)
-        opened, fires, peak, sent = state.get if state.exists else (None, 0, None, None)
-        out = []
-        for us, resolve, value, cool in zip(pdf["us"].tolist(), pdf["resolve"].tolist(),
-                                            pdf["value"].tolist(), pdf["cooldown_s"].tolist()):
-            if resolve:
-                if opened is not None:
-                    out.append((us, "resolved", opened, fires, peak))
-                opened, fires, peak = None, 0, None
-                continue
-            opened = us if opened is None else opened
-            fires, peak = fires + 1, value if peak is None else max(peak, value)
-            if sent is None or us - sent > cool * MICROS:
-                sent = us
-                out.append((us, "notify", opened, fires, peak))
-        state.update((opened, fires, peak, sent))
-        frame = pd.DataFrame(out, columns=cols)
-        for name, part in zip(by, key):
-            frame[name] = part
-        yield frame[[*by, *cols]]
-
-    return _stateful(rows, by, step, f"{_schema_of(rows, by)}, us long, kind string, "
-                     "opened_us long, fires long, peak_value double",
-                     "opened long, fires long, peak double, sent long")
-
-
 def stream_dedup(files: DataFrame, ttl: str = "3600 seconds", key: str = "md5_hash") -> DataFrame:
     """Later copies of a content inside the time to live are dropped."""
     return files.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])

@@ -129,3 +129,68 @@ def test_unmatched_start_comes_out(spark):
     out = jobs.drain(jobs.stream_pair(src.filter("kind = 's'"), src.filter("kind = 'd'"), "k",
                                       "1 HOURS"), "pair").collect()
     assert {r["k"]: r["done_us"] is not None for r in out} == {"a": True, "b": False, "c": True}
+
+
+def state_rows(spark, checkpoint):
+    return (spark.read.format("statestore").option("stateVarName", "series").load(checkpoint)).count()
+
+
+def three_files(spark):
+    """Samples of a busy series, of one that stops, and of one whose last run is open when it stops."""
+    hour = 3_600_000_000
+    rows = [("busy", h) for h in range(0, 60)] + [("stops", h) for h in range(0, 6)] + [("open", h) for h in range(0, 9)]
+    rows = [(i, n, (h + 24) * hour + i, 9.0 if (n == "open" and h > 5) or (n == "busy" and h % 7 < 3) else 1.0)
+            for i, (n, h) in enumerate(rows)]
+    for low, high in ((0, 20), (20, 40), (40, 60)):
+        yield spark.createDataFrame([r for r in rows if low <= r[2] // hour - 24 < high],
+                                    "sample_id LONG, name STRING, us LONG, value DOUBLE").coalesce(1)
+
+
+SMALL = "sample_id LONG, name STRING, us LONG, value DOUBLE"
+
+
+@pytest.mark.parametrize("idle", [None, 12 * 3600])
+def test_idle_series_leave_no_state(spark, idle):
+    """Three files, each read by a query that starts anew on the same checkpoint."""
+    path, out, check, out2, check2 = (fresh_dir(spark, k) for k in ("in", "o", "c", "o2", "c2"))
+    rule = spark.createDataFrame([("r", n, "greater", 5.0, 3600, 7200) for n in ("busy", "stops", "open")],
+                                 "rule STRING, metric STRING, comparison STRING, threshold DOUBLE, duration_s INT, cooldown_s INT")
+    for part in three_files(spark):
+        part.write.mode("append").parquet(path)
+        s = (jobs.file_stream(spark, path, SMALL).withColumn("ts", F.timestamp_micros("us"))
+             .withWatermark("ts", "1 hour"))
+        jobs.drain(jobs.stream_threshold(s, rule, ["name"], idle_s=idle), "t", out=out, checkpoint=check)
+        marks = s.filter("name <> 'stops'").select("name", "ts", "us", "sample_id", (F.col("value") < 5).alias("resolve"),
+                                                   "value", F.lit(7200).alias("cooldown_s"))
+        jobs.drain(jobs.stream_episodes(marks, ["name"], idle_s=idle), "e", out=out2, checkpoint=check2)
+    held = spark.read.parquet(out)
+    assert held.count() == 75 and held.filter("name = 'open' AND fires").count() == 2
+    episodes = [tuple(r) for r in spark.read.parquet(out2).filter("kind = 'expired'")
+                .select("name", "us", "fires", "peak_value").collect()]
+    last = 32 * 3_600_000_000 + 60 + 6 + 8
+    assert episodes == ([("open", last + idle * 1_000_000, 3, 9.0)] if idle else [])
+    assert state_rows(spark, check) == (1 if idle else 3) and state_rows(spark, check2) == (1 if idle else 2)
+
+
+def test_idle_series_need_a_watermark(spark):
+    path = fresh_dir(spark, "in")
+    spark.createDataFrame([(1, "a", 1, 1.0)], SMALL).write.parquet(path)
+    s = jobs.file_stream(spark, path, SMALL)
+    with pytest.raises(ValueError):
+        jobs.stream_threshold(s, rules(spark), idle_s=60)
+
+
+def test_late_rows_are_kept_and_counted(spark):
+    root, check, path = (fresh_dir(spark, k) for k in ("r", "c", "in"))
+    day = 86_400_000_000
+    parts = [[(1, "a", 10 * day, 1.0), (2, "a", 2 * day, 1.0), (3, None, 9 * day, 1.0)],
+             [(4, "a", 3 * day - 1, 1.0), (5, "a", 3 * day, 1.0), (6, "a", 12 * day, 1.0), (7, None, None, 1.0)],
+             [(8, "a", 4 * day, 1.0), (9, "a", 5 * day, 1.0)]]
+    for part in parts:
+        spark.createDataFrame(part, SMALL).coalesce(1).write.mode("append").parquet(path)
+        jobs.stream_on_time(jobs.file_stream(spark, path, SMALL), root, check, 7 * 86400).awaitTermination()
+    rows = {(r.batch_id, r.sample_id): r.reason for r in jobs.batches_of(spark, root, "rows").collect()}
+    assert rows == {(0, 1): None, (0, 2): None, (0, 3): "no name", (1, 4): "late", (1, 5): None, (1, 6): None,
+                    (1, 7): "no name", (2, 8): "late", (2, 9): None}
+    counts = {(r.batch_id, r.reason): (r.n, r.first_us) for r in jobs.batches_of(spark, root, "counts").collect()}
+    assert counts[2, "late"] == (1, 4 * day) and counts[1, None] == (2, 3 * day) and sum(n for n, _ in counts.values()) == 9
