@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators.ordered import (MICROS, asof, by_time, first_in_window, null_safe, previous,
                                        runs, trailing_sum)
+from opsloom.session import cut
 
 EQUAL_TOLERANCE = 0.0001
 ORDER = ["us", "sample_id"]
@@ -99,12 +100,13 @@ def _hops(times: np.ndarray, cooldown: int) -> np.ndarray:
     return np.searchsorted(times, times + cooldown, side="right")
 
 
-def _slice_exits(times: np.ndarray, cooldown: int, start: int) -> list[tuple[int, int]]:
+def _slice_exits(times: Sequence[int], cooldown: int, start: int) -> list[tuple[int, int]]:
     """How a slice maps the last notification before it to the last one inside it.
 
     Returns (upto, exit): whoever sends first at or before ``upto`` (and after the previous
     ``upto``) ends the slice with ``exit`` as its last notification.
     """
+    times = np.asarray(times)
     hop, n = _hops(times, cooldown), len(times)
     last = np.where(hop < n, hop, np.arange(n))
     while True:     # each step doubles the hops that are followed
@@ -124,47 +126,79 @@ def _slice_exits(times: np.ndarray, cooldown: int, start: int) -> list[tuple[int
     return table
 
 
+def _after(table: tuple[Sequence[int], Sequence[int]], sent: int | None, cooldown: int) -> int | None:
+    """Last notification at the end of a slice, or block of slices, given the last one before it."""
+    upto, leaves = table
+    free = 0 if sent is None else int(np.searchsorted(upto, sent + cooldown, side="right"))
+    return int(leaves[free]) if free < len(upto) else sent
+
+
+def _composed(first: tuple, start: int, second: tuple, cooldown: int) -> tuple[list[int], list[int]]:
+    """One table for two neighbours: what leaves the first one enters the second; what passes the first one freely
+    meets the second directly, which only concerns times up to a cooldown after ``start``."""
+    upto = [int(u) for u in first[0]]
+    leaves = [_after(second, int(x), cooldown) for x in first[1]]
+    reached = upto[-1] if upto else None
+    for u, x in zip(*second):
+        if reached is not None and reached >= start + cooldown:
+            break
+        upto.append(int(u))
+        leaves.append(int(x))
+        reached = int(u)
+    last = [i for i in range(len(leaves)) if i + 1 == len(leaves) or leaves[i + 1] != leaves[i]]
+    return [upto[i] for i in last], [leaves[i] for i in last]
+
+
 def cooldown_sent(violations: DataFrame, by: Sequence[str], cooldown_s: int,
-                  slice_s: int | None = None) -> DataFrame:
+                  slice_s: int | None = None, fanout: int = 64) -> DataFrame:
     """Notify when the last *sent* notification is more than the cooldown ago.
 
-    The choice is sequential, so each series is cut into slices much longer than the cooldown.
-    Every slice is reduced, in parallel, to a small table from "last notification before" to
-    "last notification inside"; those tables are followed per series; then every slice replays
-    its own violations from its known start. Only distinct violation times take part, and no
-    task sees the violations of more than one slice.
+    The choice is sequential, so each series is cut into slices. Every slice is reduced, in parallel, to a table
+    from "last notification before" to "last notification inside". Such tables compose: ``fanout`` neighbours become
+    the table of a block, blocks become larger blocks, round by round until a series is one block; then the rounds are
+    walked back, and each block tells its parts with which notification they begin. At last every slice
+    replays its own violations from its known start. A table has at most the violation times of one cooldown, a
+    group at most ``fanout`` tables or the violations of one slice, however long the series.
     """
     cooldown = cooldown_s * MICROS
     width = (slice_s or max(16 * cooldown_s, 1)) * MICROS
     violations, keys = null_safe(violations, by)
-    times = violations.select(*keys, "us", (F.col("us") - F.pmod("us", F.lit(width)))
-                              .alias("_slice")).dropDuplicates([*keys, "us", "_slice"])
+    number = F.expr(f"(us - pmod(us, {width}L)) div {width}L")
+    times = violations.select(*keys, "us", number.alias("_slice")).dropDuplicates(
+        [*keys, "us", "_slice"]).filter("us IS NOT NULL")
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in violations.select(*keys).schema.fields)
     given = [F.when(~F.col(f"_null_{k}"), F.col(f"_key_{k}")).alias(k) if k not in keys else F.col(k)
              for k in by]
+    table_schema = f"{key_schema}, _slice long, start long, upto array<long>, exits array<long>"
 
-    def reduce_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["_slice"].iloc[0])
-        table = _slice_exits(np.sort(pdf["us"].to_numpy()), cooldown, start)
-        out = pd.DataFrame(table, columns=["upto", "exit"])
+    def named(pdf: pd.DataFrame, out: pd.DataFrame, *cols: str) -> pd.DataFrame:
         for k in keys:
             out[k] = pdf[k].iloc[0]
-        out["_slice"] = start
-        return out[[*keys, "_slice", "upto", "exit"]]
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        sent, rows = None, []
-        for start, table in pdf.sort_values(["_slice", "upto"]).groupby("_slice", sort=True):
-            rows.append((start, sent))
-            upto = table["upto"].to_numpy()
-            free = 0 if sent is None else int(np.searchsorted(upto, sent + cooldown, side="right"))
-            if free < len(upto):
-                sent = int(table["exit"].iloc[free])
-        out = pd.DataFrame(rows, columns=["_slice", "entry"]).astype({"entry": "Int64"})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_slice", "entry"]]
+        return out[[*keys, *cols]]
+
+    def reduce_slice(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["_slice"].iloc[0])
+        table = _slice_exits(np.sort(pdf["us"].to_numpy()), cooldown, at * width)
+        return named(pdf, pd.DataFrame({"_slice": [at], "start": [at * width], "upto": [[u for u, _ in table]],
+                                        "exits": [[x for _, x in table]]}), "_slice", "start", "upto", "exits")
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_slice", ignore_index=True)
+        start, table = int(pdf["start"].iloc[0]), (pdf["upto"].iloc[0], pdf["exits"].iloc[0])
+        for upto, exits in zip(pdf["upto"].iloc[1:], pdf["exits"].iloc[1:]):
+            table = _composed(table, start, (upto, exits), cooldown)
+        return named(pdf, pd.DataFrame({"_slice": [int(pdf["_block"].iloc[0])], "start": [start],
+                                        "upto": [list(map(int, table[0]))], "exits": [list(map(int, table[1]))]}),
+                     "_slice", "start", "upto", "exits")
+
+    def hand_down(entry: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        sent = None if not len(entry) or pd.isna(entry["entry"].iloc[0]) else int(entry["entry"].iloc[0])
+        rows = []
+        for at, upto, exits in parts.sort_values("_slice")[["_slice", "upto", "exits"]].itertuples(index=False):
+            rows.append((at, sent))
+            sent = _after((upto, exits), sent, cooldown)
+        return named(parts, pd.DataFrame(rows, columns=["_slice", "entry"]).astype({"entry": "Int64"}), "_slice", "entry")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         all_times = np.sort(pdf["us"].to_numpy())
@@ -175,16 +209,24 @@ def cooldown_sent(violations: DataFrame, by: Sequence[str], cooldown_s: int,
         while i < len(all_times):
             sent.append(int(all_times[i]))
             i = int(hop[i])
-        out = pd.DataFrame({"us": np.array(sent, dtype="int64")})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "us"]]
-
-    exits = times.groupBy(*keys, "_slice").applyInPandas(
-        reduce_slice, f"{key_schema}, _slice long, upto long, exit long")
-    entries = exits.groupBy(*keys).applyInPandas(follow, f"{key_schema}, _slice long, entry long")
-    return (times.join(entries, [*keys, "_slice"]).groupBy(*keys, "_slice")
-            .applyInPandas(replay, f"{key_schema}, us long").select(*given, "us"))
+        return named(pdf, pd.DataFrame({"us": np.array(sent, dtype="int64")}), "us")
+
+    parent = F.expr(f"floor(_slice / {int(fanout)})")
+    levels = [cut(times.groupBy(*keys, "_slice").applyInPandas(reduce_slice, table_schema), "exits")]
+    ends = levels[0].agg(F.min("_slice").alias("low"), F.max("_slice").alias("high")).first()
+    first, blocks = ends["low"] or 0, (ends["high"] or 0) - (ends["low"] or 0) + 1
+    levels[0] = levels[0].withColumn("_slice", F.col("_slice") - first)        # numbers from 0 on
+    while blocks > 1:
+        blocks = -(-blocks // fanout)
+        levels.append(cut(levels[-1].withColumn("_block", parent).groupBy(*keys, "_block").applyInPandas(
+            block, table_schema), "exits"))
+    entries = levels[-1].select(*keys, "_slice", F.lit(None).cast("long").alias("entry"))
+    for parts in reversed(levels[:-1]):
+        whole = entries.withColumnRenamed("_slice", "_block")
+        entries = (whole.groupBy(*keys, "_block").cogroup(parts.withColumn("_block", parent).groupBy(*keys, "_block"))
+                   .applyInPandas(hand_down, f"{key_schema}, _slice long, entry long"))
+    return (times.withColumn("_slice", F.col("_slice") - first).join(entries, [*keys, "_slice"])
+            .groupBy(*keys, "_slice").applyInPandas(replay, f"{key_schema}, us long").select(*given, "us"))
 
 
 def gaps(samples: DataFrame, defs: DataFrame, by: Sequence[str], k: float = 2.0) -> DataFrame:

@@ -104,7 +104,7 @@ sent(rule, us) AS (SELECT rule, min(us) FROM v2 GROUP BY rule
 SELECT rule, us FROM sent WHERE us IS NOT NULL""")
 def w07(spark, d):
     return rl.cooldown_sent(held(spark, d).filter("violated"), ["rule"], 21600,
-                            slice_s=172800).select("rule", "us")
+                            slice_s=43200).select("rule", "us")
 
 
 @query("w11_gaps", f"""WITH {SAMPLES_SQL}, defs(collector, interval_s) AS (VALUES ('queue', 30),
