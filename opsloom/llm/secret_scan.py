@@ -10,7 +10,8 @@ spans found by the patterns stay whatever the test says.
 
 Spans are ``kind, start, end`` in code points of the text, the end exclusive; a span of an assignment is the whole
 assignment. Defined results: null and empty texts have no spans; texts of any length are read whole; repeated
-rows give repeated results; rows without an id are scanned too. Other columns are ignored.
+rows give repeated results; rows without an id are scanned too; an empty table gives an empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,10 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST_NAME = re.compile(r"(md5|sha-?(1|224|256|384|512)|blake\w*|crc\w*|commit|etag|integrity)[\"']?\s*[:=-]\s*[\"']?$",
                           re.IGNORECASE)
 _LABEL = re.compile(_DIGEST_NAME.pattern.removesuffix("$"), re.IGNORECASE)
+# Lengths of digests in hexadecimal and in base 64 without its filling.
+_DIGEST = re.compile("(?:" + "|".join([f"[0-9A-Fa-f]{{{n}}}" for n in (128, 96, 64, 56, 40, 32, 16, 8)]
+                                      + [f"[A-Za-z0-9+/]{{{n}}}" for n in (86, 64, 43, 38, 27, 22)])
+                     + r")(?![A-Za-z0-9+/])")
 _PART = re.compile(r"[A-Za-z0-9]+")
 _PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f]+|0x[0-9A-Fa-f]+")
@@ -70,12 +75,24 @@ def is_random(run: str, before: str, path: str, most: float) -> bool:
 
 
 def random_parts(run: str, before: str, path: str, most: float) -> list[tuple[int, int]]:
-    """Start and end of the random parts of a run of key characters."""
+    """Start and end of the random parts of a run of key characters.
+
+    A digest's name exempts what stands right behind it if that has the form of a digest; the rest is tested.
+    """
     if _DIGEST_NAME.search(before):
         return []
-    label = _LABEL.search(run)
-    if label:
-        return random_parts(run[:label.start()], before, path, most)
+    out, at = [], 0
+    for label in _LABEL.finditer(run):
+        if label.start() < at:
+            continue
+        out += [(at + a, at + e) for a, e in parts_of(run[at:label.start()], before, path, most)]
+        value = _DIGEST.match(run, label.end())
+        at = value.end() if value else label.end()
+    return out + [(at + a, at + e) for a, e in parts_of(run[at:], before, path, most)]
+
+
+def parts_of(run: str, before: str, path: str, most: float) -> list[tuple[int, int]]:
+    """Random parts of a run, or of a piece of it, without a digest's name in it."""
     if is_random(run, before, path, most):
         return [(0, len(run))]
     out, parts = [], [(m.start(), m.end()) for m in _PART.finditer(run)]
@@ -114,20 +131,35 @@ def spans_of(text: str | None, path: str = VOCABULARY, most: float = CHARS_PER_T
             found += [(at + k.start(), 1, at + k.end()) for k in _ACCESS.finditer(run)
                       if k.end() - k.start() >= 18]
         found += [(at + k.start(), 2, at + k.end()) for k in _HEX.finditer(run)]
-    base = sorted((a, e) for a, _, e in found)
+    base, at = joined((a, e) for a, _, e in found), 0
     for m in _LONG.finditer(text):
         start, end = m.start(), m.end()
-        gone = sorted([(a, e) for a, e in base if a < end and start < e]
-                      + [(start + u.start(), start + u.end()) for u in _UUID.finditer(m.group())])
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        to = at
+        while to < len(base) and base[to][0] < end:
+            to += 1
+        gone = sorted(base[at:to] + [(start + u.start(), start + u.end()) for u in _UUID.finditer(m.group())])
         for a, e in [*gone, (end, end)]:
             run = text[start:max(start, a)].strip("=-_/+")
             if len(run) >= LEAST_RUN:
-                at = text.index(run, start)
-                found += [(at + x, 3, at + y) for x, y in random_parts(run, text[max(0, at - 16):at], path, most)]
+                low = text.index(run, start)
+                found += [(low + x, 3, low + y) for x, y in random_parts(run, text[max(0, low - 16):low], path, most)]
             start = max(start, e)
     return sorted(found)
 
 
+def joined(spans) -> list[tuple[int, int]]:
+    """Spans that overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for a, e in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((a, e))
+    return out
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 

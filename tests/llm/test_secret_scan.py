@@ -65,3 +65,21 @@ def test_words_uuids_and_patterns_beside_a_random_part_do_not_hide_it():
         assert spans and spans[-1][0] <= text.index(secret) + 4 and spans[-1][1] == text.index(secret) + len(secret), before
     assert [k for _, k, _ in spans_of("a Zk3vQ9xW7bLm2TyR b")] == [3]
     assert spans_of("services/production/credentials/internationalisation") == []
+
+
+def test_a_digests_name_exempts_its_own_value_only():
+    secret = "Zk3vQ9xW7bLm2TyR8sHd4JnC"
+    for before in ("path/commit-hooks/services/", "repo/integrity-check/keys/", "etag-service/", "crc-live_",
+                   "md5-" + "0123456789abcdef" * 2 + "/", "sha1-" * 400):
+        text = f"see {before}{secret} here"
+        spans = [(a, e) for a, k, e in spans_of(text) if k == 3]
+        assert spans and spans[-1][1] == text.index(secret) + len(secret), before
+    digest64 = "n4bQgYhMfWWaL+qgxVrQFaO/TxsrC4Is0V1sFbDwCgg"
+    assert spans_of(f"integrity sha256-{digest64}=") == []
+
+
+def test_many_runs_take_time_in_proportion():
+    import time
+    text = " ".join(f"{i:032x}" for i in range(60_000))
+    began = time.time()
+    assert len(spans_of(text)) == 60_000 and time.time() - began < 20
