@@ -9,7 +9,8 @@ stands for its own, as when a question is asked with other numbers and names. A
 item if such windows are at least ``share`` of its windows.
 
 Beside the templates, windows of ``WINDOW`` plain small words are hashed and joined the same way, of shorter items the
-whole item. Here a document is contaminated by ``share`` of the windows or by ``RUN`` words of the item in a row, so an
+whole item; one of fewer than ``ALONE`` words must be a sentence or line of the document by itself, since such words stand
+in many texts that have nothing to do with it. Here a document is contaminated by ``share`` of the windows or by ``RUN`` words of the item in a row, so an
 excerpt of a long item, an item of few words and a copy in other letter case are found too.
 
 Before the join a bitmap of fixed size, set from all benchmark windows, keeps windows of documents that can't match
@@ -34,6 +35,7 @@ from opsloom.llm.tokens import LOWER_CODES, U64, Chunk, as_long, chunks, mix, ra
 WINDOW = 8
 LITERALS = 5
 SHARE = 0.3
+ALONE = 4            # items of fewer words only count where they are a whole sentence or line
 RUN = 13             # so many words in a row contaminate, however long the item
 BITMAP_BITS = 24     # 2 MB
 
@@ -82,8 +84,9 @@ def bare(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def templates(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words of a chunk: hash, whether it is a slot, the hash of the word itself, and its text."""
+def templates(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words of a chunk: hash, whether it is a slot, the hash of the word itself, its text, and whether a
+    text, line or sentence begins with it."""
     starts, ends = bare(chunk)
     texts = chunk.text_of_word()
     data = chunk.data
@@ -94,14 +97,17 @@ def templates(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
                      | (lines[chunk.starts[1:]] > lines[chunk.ends[:-1]]))
     own = Chunk.ranges(LOWER_CODES[data], starts, ends)
     solid = starts < ends
-    starts, ends, texts, own, opens = (x[solid] for x in (starts, ends, texts, own, opens))
+    begun = np.concatenate(([0], np.cumsum(opens)))     # a word of signs only leaves its beginning to the next one
+    places = np.flatnonzero(solid)
+    opens = begun[places + 1] > begun[np.concatenate(([0], places[:-1] + 1))] if len(places) else opens[:0]
+    starts, ends, texts, own = (x[solid] for x in (starts, ends, texts, own))
     small = np.concatenate(([0], np.cumsum(_SMALL[data] | _UPPER[data])))
     number = _DIGIT[data[starts]] & (small[ends] - small[starts] <= 3) | np.isin(own, _NUMBER_WORDS)
     unit = np.isin(own, _UNITS)
     second = np.minimum(starts + 1, ends - 1)
     name = _UPPER[data[starts]] & _SMALL[data[second]] & ~opens
     out = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
-    return out, number | unit | name, own, texts
+    return out, number | unit | name, own, texts, opens
 
 
 def template_windows(rows: DataFrame, ident: str, bitmap=None, window: int = WINDOW,
@@ -116,7 +122,7 @@ def template_windows(rows: DataFrame, ident: str, bitmap=None, window: int = WIN
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
             for chunk in chunks(batch.column(1)):
-                words, slot, own, texts = templates(chunk)
+                words, slot, own, texts, _ = templates(chunk)
                 name = words == NAME
                 n = len(words) - window + 1
                 if n <= 0:
@@ -155,7 +161,8 @@ def plain_windows(rows: DataFrame, ident: str, sizes: list[int], bitmap=None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
-                _, _, own, texts = templates(chunk)
+                _, _, own, texts, opens = templates(chunk)
+                opens = np.append(opens, True)
                 words = np.bincount(texts, minlength=chunk.n)
                 first = np.searchsorted(texts, np.arange(chunk.n))
                 for size in sizes:
@@ -164,6 +171,8 @@ def plain_windows(rows: DataFrame, ident: str, sizes: list[int], bitmap=None) ->
                     if bitmap is not None:
                         place = hashes >> U64(64 - BITMAP_BITS)
                         good &= (bitmap.value[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
+                        if size < ALONE:
+                            good &= opens[:len(hashes)] & opens[size:size + len(hashes)]
                     elif size < WINDOW:
                         good &= words[texts[:len(hashes)]] == size
                     at = np.flatnonzero(good)

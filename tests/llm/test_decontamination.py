@@ -65,3 +65,10 @@ def test_short_items_excerpts_and_other_case(spark):
     docs = [(1, "so what is 7 times 8 then"), (2, "x " + " ".join(long.split()[200:213]) + " y"),
             (3, "see " + names.lower()), (4, "what is 7 times 9"), (5, "x " + " ".join(long.split()[200:212]) + " y")]
     assert found(spark, docs, items) == [(i, i, True) for i in (1, 2, 3)]
+
+
+def test_items_of_a_word_or_two_only_count_by_themselves(spark):
+    items = [(1, "Paris"), (2, "the answer")]
+    docs = [(1, "we went to Paris in spring"), (2, "Paris"), (3, "Which town?\n - Paris!\nYes"), (4, "It is. Paris. So"),
+            (5, "this is the answer to all"), (6, "The answer"), (7, "parisian"), (8, "Paris, of course")]
+    assert found(spark, docs, items) == [(2, 1, True), (3, 1, True), (4, 1, True), (6, 2, True)]
