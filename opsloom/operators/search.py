@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsloom.functions import text
 from opsloom.operators.ordered import row_index
 from opsloom.operators.vectors import knn
+from opsloom.session import small_table
 
 # Searched fields in rank order, shortest word that may hold a typo.
 FIELDS = ["title", "file_name", "summary", "tags", "categories", "dewey_decimal"]
@@ -54,22 +56,97 @@ def matching_terms(idx: DataFrame, words: Sequence[str]) -> DataFrame:
         "term", "word_no", "typos")
 
 
+# ---------------------------------------------------------------- stored postings
+
+def one_less(word: str) -> list[str]:
+    """The word and what is left of it without one character: words within one edit share one of these."""
+    return list(dict.fromkeys([word, *(word[:i] + word[i + 1:] for i in range(len(word)))]))
+
+
+@dataclass
+class Index:
+    """Postings by term and the deletion neighbourhoods of all terms, written once and read by the buckets of a query."""
+
+    spark: SparkSession
+    root: str
+    buckets: int
+
+    def read(self, part: str, column: str, wanted: Sequence[str]) -> DataFrame:
+        """Rows of a part whose ``column`` is one of the wanted strings; only their buckets are read."""
+        table = self.spark.read.parquet(f"{self.root}/{part}")
+        if not wanted:
+            return table.limit(0)
+        names = small_table(self.spark, "name STRING", [(w,) for w in wanted])
+        at = names.select(bucket_of(F.col("name"), self.buckets).alias("b")).distinct().collect()
+        return table.filter(F.col("bucket").isin([r["b"] for r in at]) & F.col(column).isin(list(wanted)))
+
+    def terms(self, words: Sequence[str]) -> DataFrame:
+        """``term, word_no, typos`` as ``matching_terms``, by an equal join of deletion neighbourhoods."""
+        variants = [(i, w, v) for i, w in enumerate(words) for v in (one_less(w) if len(w) >= MIN_TYPO_SIZE else [w])]
+        if not variants:
+            return self.spark.createDataFrame([], "term STRING, word_no INT, typos INT")
+        asked = small_table(self.spark, "word_no INT, word STRING, variant STRING", variants)
+        found = self.read("terms", "variant", sorted({v for _, _, v in variants})).join(F.broadcast(asked), "variant")
+        typos = F.when(F.col("term") == F.col("word"), 0).when(
+            (F.length("word") >= MIN_TYPO_SIZE) & (F.levenshtein("term", "word", 1) == 1), 1)
+        return found.select("term", "word_no", typos.alias("typos")).filter("typos IS NOT NULL").distinct()
+
+    def hits(self, words: Sequence[str]) -> DataFrame:
+        """Postings of the terms within one edit of a query word, whose number the length of the words bounds."""
+        near = self.terms(words).collect()
+        terms = small_table(self.spark, "term STRING, word_no INT, typos INT", [tuple(r) for r in near]) if near else (
+            self.terms([]))
+        rows = self.read("postings", "term", sorted({r["term"] for r in near})).select("term", "doc", "field_rank", "pos")
+        return rows.join(F.broadcast(terms), "term")
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(docs: DataFrame, root: str, fields: Sequence[str] = FIELDS, key: str = "id",
+                buckets: int = 64) -> Index:
+    """Write postings and deletion neighbourhoods, each in ``buckets`` folders by a hash of what they are looked up by.
+
+    Within a bucket rows are sorted, so that a reader skips most of it; a bucket is written by as many tasks as have
+    rows for it, so a term in every document is not one task.
+    """
+    idx = postings(docs, fields, key).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    part = F.pmod(F.xxhash64("doc"), F.lit(8))
+    (idx.repartition("bucket", part).sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket")
+     .mode("overwrite").parquet(f"{root}/postings"))
+    spark = docs.sparkSession
+    terms = spark.read.parquet(f"{root}/postings").select("term").distinct()
+    less = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.concat(
+        F.substring("term", F.lit(1), i - 1), F.substr("term", i + 1)))
+    variants = terms.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), less))).alias("variant"))
+    (variants.withColumn("bucket", bucket_of(F.col("variant"), buckets)).repartition("bucket")
+     .sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/terms"))
+    return Index(spark, root, buckets)
+
+
 def search(docs: DataFrame, query: str, filters: Column | str | None = None,
            sort: Sequence[str] = (), fields: Sequence[str] = FIELDS, key: str = "id",
            limit: int | None = None, offset: int = 0, cap: int | None = None,
-           far: int | None = None) -> DataFrame:
+           far: int | None = None, index: Index | None = None) -> DataFrame:
     """Ranked hits, all of them unless ``limit`` asks for a page.
 
     Rules in order: query words found, typos, proximity of neighbouring query words, best field,
     ``sort`` columns (a leading minus sorts descending), exactly matched words. ``cap`` ends the
     result after so many hits, as the page limit of an index does, and ``far`` treats greater
     distances as equal; both are off by default. A page past the end is empty. Ranking carries ids,
-    rule values and sort columns only; the documents themselves are joined to the page of hits.
+    rule values and sort columns only; the documents themselves are joined to the page of hits. With an ``index`` of the
+    documents no text is read for the ranking, only the postings of matching terms.
     """
     kept = docs if filters is None else docs.filter(filters)
     words = query_words(query)
-    idx = postings(kept, fields, key)
-    hits = idx.join(matching_terms(idx, words), "term")
+    if index is None:
+        idx = postings(kept, fields, key)
+        hits = idx.join(matching_terms(idx, words), "term")
+    else:
+        hits = index.hits(words)
+        if filters is not None:
+            hits = hits.join(kept.select(F.col(key).alias("doc")), "doc", "left_semi")
     # Nearest earlier hit of each word in the same field: one ordered pass per document field.
     lane = Window.partitionBy("doc", "field_rank").orderBy("pos", "word_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)

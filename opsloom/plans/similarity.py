@@ -9,6 +9,7 @@ from opsloom.operators import vectors as near
 from opsloom.plans.documents import WORDS_SQL
 from opsloom.plans.registry import query
 from opsloom.plans.state_quality import files_with_entities
+from opsloom.session import fresh_dir
 
 
 def vectors(spark, d, name):
@@ -150,6 +151,13 @@ def run_search(spark, d, **page):
                                         "file_size")
 
 
+@query("d16_search_index", SEARCH_SQL + """ SELECT id, words, typos, proximity, attribute, exact, file_size FROM hits""")
+def d16b(spark, d):
+    """The same search over stored postings."""
+    table = search_table(spark, d).drop("file_name")
+    return run_search(spark, d, index=search.build_index(table, fresh_dir(spark, "postings"), buckets=16))
+
+
 @query("t03_search_page", SEARCH_SQL + """ SELECT id, words, typos FROM hits
 ORDER BY words DESC, typos, proximity, attribute, file_size DESC, exact DESC, id LIMIT 20 OFFSET 40""")
 def t03(spark, d):
