@@ -12,10 +12,11 @@ neighbouring anchors overlap. Where two or more neighbouring anchors repeat, the
 before and after them are counted too, so a passage of ``WORDS + 2 * GAP - 1`` words goes to its first and last word.
 Words covered by a repeated run that is not the first of its kind are removed, also from within a sentence.
 
-How it runs. Spans are counted by hash alone, with partial aggregation. A bitmap of fixed size made of the
-repeated hashes then lets a second pass over the texts leave out almost all other spans, and a join with
-the repeated hashes the rest. So what is shuffled besides texts follows the amount of repetition, and a
-passage in a third of all texts costs a row for each of them and no group of them. The runs at the ends of
+How it runs. Spans are counted by hash alone, with partial aggregation. A bitmap of bounded size, made of the
+repeated hashes and sized by their number, then lets a second pass over the texts leave out almost all other spans.
+What is left is dealt by hash and sorted; where a hash occurs once it is its own first and stays. So what is
+shuffled besides texts follows the amount of repetition, and a passage in a third of all texts costs a row for
+each of them, which one task passes over without holding them. The runs at the ends of
 repeated anchors set a second bitmap, by which the same pass finds them also inside longer repeats.
 
 Defined results: null and empty texts stay and lose nothing; texts of fewer words than a span
@@ -39,7 +40,8 @@ SENTENCES = 3
 WORDS = 16
 CUT_EVERY = 10
 GAP = 12             # of so many neighbouring runs of WORDS words one at least is an anchor
-BITMAP_BITS = 26     # 8 MB
+BITMAP_BITS = 28     # most bits of a bitmap, 32 MB
+KEY_BITS = 64        # bits for each key, as long as there are fewer in all
 
 RUN = random_words(1, 43)[0]     # tells runs of words from sentence spans of the same words
 
@@ -105,7 +107,7 @@ def word_runs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def is_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys >> U64(64 - BITMAP_BITS)
+    place = keys >> U64(64 - (64 * len(bits)).bit_length() + 1)
     return (bits[place >> U64(6)] >> (place & U64(63))) & U64(1) == 1
 
 
@@ -139,13 +141,17 @@ def span_keys(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("text").cast("string")).mapInArrow(run, "key long")
 
 
-def key_bitmap(keys: DataFrame) -> np.ndarray:
-    """``2 ** BITMAP_BITS`` bits with those of the keys set; the number of words that arrive is bounded."""
-    place = F.shiftrightunsigned("key", 64 - BITMAP_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - BITMAP_BITS}) & 63 AS int))")
+def key_bitmap(keys: DataFrame, expected: int | None = None) -> np.ndarray:
+    """Bits with those of the keys set: ``KEY_BITS`` for each expected key, ``2 ** BITMAP_BITS`` at most.
+
+    The number of words that arrive is bounded.
+    """
+    bits = BITMAP_BITS if expected is None else min(BITMAP_BITS, max(20, (KEY_BITS * expected).bit_length()))
+    place = F.shiftrightunsigned("key", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))")
     words = (keys.select(F.shiftright(place, 6).alias("word"), bit.alias("bit"))
              .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
-    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=U64)
+    out = np.zeros(1 << (bits - 6), dtype=U64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().view(U64)
     return out
 
@@ -201,17 +207,36 @@ def marked_spans(docs: DataFrame, bitmap, edges) -> DataFrame:
         run, "key long, doc_id long, at long, size long")
 
 
+def but_the_first(rows: DataFrame) -> DataFrame:
+    """``doc_id, at, size`` of the rows whose key occurs before them, by ``doc_id`` and place.
+
+    Rows are dealt by key and sorted, so a task passes over them once and holds the first row of one key only,
+    however many rows the key has.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None                              # key, doc_id and place of the first row of the key at hand
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            new = np.append(True, x[1:, 0] != x[:-1, 0])
+            first = x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
+            if held is not None and held[0] == x[0, 0]:
+                first[:np.append(np.flatnonzero(new)[1:], len(x))[0]] = held
+            held = first[-1].copy()
+            yield batch.select(["doc_id", "at", "size"]).filter(pa.array((x[:, 1:] != first[:, 1:]).any(axis=1)))
+
+    ordered = rows.repartition("key").sortWithinPartitions("key", "doc_id", "at")
+    return ordered.mapInArrow(run, "doc_id long, at long, size long")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, at, size`` of every repeated span that is not the first of its kind."""
     twice = cut(span_keys(docs).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
                 .select("key"), "twice")
-    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(twice))
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(twice, twice.count()))
     edges = docs.sparkSession.sparkContext.broadcast(key_bitmap(edge_keys(docs, bitmap)))
-    rows = cut(marked_spans(docs, bitmap, edges).join(twice.withColumn("again", F.lit(True)), "key", "left")
-               .where("size < 0 OR again").drop("again"), "spans")
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    return (rows.join(first, "key").where(F.struct("doc_id", "at") != F.col("first"))
-            .select("doc_id", "at", "size"))
+    return but_the_first(marked_spans(docs, bitmap, edges))
 
 
 def cleaned(chunk: Chunk, i: int, starts: np.ndarray, bounds: np.ndarray, gone: list[tuple[int, int]]):

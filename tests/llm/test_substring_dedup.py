@@ -1,7 +1,7 @@
 import pyarrow as pa
 
 from conftest import prose  # noqa: F401  (tests/llm/conftest.py)
-from opsloom.llm.substring_dedup import CUT_EVERY, SENTENCES, WORDS, remove_repeats
+from opsloom.llm.substring_dedup import CUT_EVERY, SENTENCES, WORDS, but_the_first, remove_repeats
 from opsloom.llm.tokens import chunks
 
 
@@ -107,3 +107,17 @@ def test_passages_without_cuts_go_to_the_last_word(spark):
         for i, old in some[1:-1]:
             assert got[i].text == old.replace(passage + " ", ""), i
             assert applied(old, got[i].removed) == got[i].text
+
+
+def test_first_rows_stay_across_batches(spark):
+    """Keys of one and of many rows, equal rows, and a key that goes over several Arrow batches."""
+    rows = [(7, d, a, 1) for d in range(30) for a in (3, 9)] + [(7, 0, 3, 1), (8, 5, 1, 2), (-9, 4, 2, 0), (-9, 3, 8, -1)]
+    df = spark.createDataFrame(rows, "key long, doc_id long, at long, size long").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, but_the_first(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted([(d, a, 1) for d in range(30) for a in (3, 9) if (d, a) != (0, 3)] + [(4, 2, 0)])
+    assert but_the_first(df.where("false")).collect() == []
