@@ -1,17 +1,25 @@
 """A training corpus in five stages: each takes documents and gives documents, the last one their mixture.
 
 Stages keep to their own decision: toxic documents go, one document of each near-duplicate group stays, documents
-holding benchmark items go, secrets are masked, and sources are repeated to their target shares. Rows without an id
-pass the stages that decide by id. Extra columns travel along.
+holding benchmark items go, secrets are masked, and sources are repeated to their target shares.
+
+Results for odd input: rows without an id pass the stages that decide by id; null and empty texts have no words, secrets
+or items and stay until the mixture, where they count as any row of their source. Of rows that share an id the
+near-duplicate stage keeps one, that of the least text hash, so that a repeated task keeps the same one; equal rows are one
+row there. Texts of any length are read whole. An empty table gives an empty result of the same columns, and extra
+columns travel along whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from opsloom.llm import decontamination, minhash, mixing, secret_scan, toxicity
 from opsloom.session import cut, prepare
 
+PLACE = "place among rows of one id"     # a column for a moment, named as no table names one
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones, does not call toxic."""
@@ -22,7 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, one row of each document."""
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # the limit of a row an id is applied before the shuffle, so an id with many rows sends few
+    whole = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), whole)
+    named = (docs.join(kept, "doc_id", "left_semi").withColumn(PLACE, F.row_number().over(order))
+             .where(F.col(PLACE) == 1).select(*docs.columns))
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
