@@ -265,12 +265,13 @@ def knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", qid: st
         probes = probes_for(sample, centres, k, recall)
     celled = cut(in_cells(base, centres, metric, bid, vec), "celled")
     sizes = cell_sizes(celled, centres, metric)
-    asked = visits(queries.select(qid, vec), sizes, probes or PROBES, qid, vec)
+    queries = cut(queries.select(qid, vec), "queries")       # read several times below
+    asked = visits(queries, sizes, probes or PROBES, qid, vec)
     found = best(compared(asked, celled, sizes, k, qid, bid, vec, block_bytes), k, qid, bid)
     if probes is None and (sizes.rows > 0).sum() > PROBES:
         found = cut(found, "near")
         reached = found.filter(F.col("rank") == k).select(qid, F.col("distance").alias("_reached"))
-        further = visits(queries.select(qid, vec).join(reached, qid, "left"), sizes, PROBES, qid, vec, "_reached")
+        further = visits(queries.join(reached, qid, "left"), sizes, PROBES, qid, vec, "_reached")
         more = compared(further, celled, sizes, k, qid, bid, vec, block_bytes)
         found = best(found.drop("rank").unionByName(more), k, qid, bid)
     return found.select(qid, bid, "distance", "rank")
