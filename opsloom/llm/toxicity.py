@@ -40,7 +40,7 @@ BEGINNINGS = (4, 6, 8)   # bytes of the beginnings that longer words have as fea
 KINDS = 4        # kinds of toxic rows, fewer if there are few such rows
 KIND_ROWS = 20   # toxic rows for each kind
 LEAST_ROWS = 3   # sampled rows of a category that must have a feature for it to count
-STANDS_OUT = 6.0 # standard deviations by which a feature must be more frequent in them than in all rows
+STANDS_OUT = 4.0 # standard deviations by which a feature must be more frequent in them than in all rows
 L1 = 6.0         # a feature must pull this hard to get a weight: those of a few rows by chance do not
 CUT = 0.5 + 1e-9  # least probability that may count as toxic
 PRECISION = 0.99  # share of truly toxic rows among those called toxic, on out-of-fold predictions
