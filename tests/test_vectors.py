@@ -1,6 +1,9 @@
 """Vector search over cells against all pairs, its recall, and rows that can't be compared."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +98,41 @@ def test_fewer_rows_than_asked(spark):
     got = knn(v, v.withColumnRenamed("query_id", "base_id"), 50)
     assert found(got) == brute(x, x, 2, "l2") and got.columns == ["query_id", "base_id", "distance", "rank"]
     assert len(nearest(np.array([1]), x[:1], np.array([5, 6]), x[:2], 9)[0]) == 2
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_a_vector_travels_once_to_each_group(spark, metric):
+    """Where no cell can be left out, a query is one row for each group of cells, not for each cell."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 24))
+    v = frame(spark, x)
+    base = v.withColumnRenamed("query_id", "base_id")
+    centres = learn_cells(*bounded_sample(base, metric), 40)
+    cells = cell_sizes(in_cells(base, centres, metric), centres, metric)
+    groups = vectors.grouped(cells, 150)
+    assert 3 <= groups.max() + 1 <= 6
+    asked = vectors.visits(v, cells, 40, "query_id", "embedding", None, groups).select("query_id", "cell", "cells").collect()
+    assert len(asked) == 400 * (groups.max() + 1)
+    assert sum(len(r["cells"]) for r in asked) == 400 * (cells.rows > 0).sum()
+    assert all(groups[c] == r["cell"] for r in asked for c in r["cells"])
+    got = found(knn(v, base, 4, metric, cells=40, block_bytes=24 * 8 * 7, group_bytes=24 * 8 * 150))
+    assert got == brute(x, x, 4, metric)
+
+
+def test_far_from_the_origin_and_equal_rows(spark):
+    """Single precision only leaves out what lies beyond the limit by more than its error."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([1e6 + rng.standard_normal((150, 5)), np.full((60, 5), 1e6), 1e-12 * rng.standard_normal((90, 5))])
+    v = frame(spark, x)
+    got = found(knn(v, v.withColumnRenamed("query_id", "base_id"), 3, cells=12, block_bytes=5 * 8 * 16))
+    assert got == brute(x, x, 3, "l2")
+
+
+def test_related_blocks_are_compared_in_slabs():
+    rows = pd.DataFrame({"_id": np.arange(4096), "_v": list(np.random.default_rng(5).standard_normal((4096, 32)))})
+    tracemalloc.start()
+    at, to, score = vectors.above(rows, rows, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4096 * 4096 * 8 / 3                        # all scores at once would take 134 MB
+    assert len(at) == len(to) == len(score) and (at != to).all()
