@@ -217,7 +217,7 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], us: str, sums: Mapping[str,
     Time is cut into blocks of which a whole number fill the window. A window is then the rows of
     its own block up to now, the whole blocks before, and the rows of its oldest block that are not
     too old. Each row is shown to the block it can be the oldest of, shifted by the window, so both
-    open ends are running sums over one partition: up to now, and from now on. Amounts are only ever
+    open ends are running sums over one partition: up to now, and, backwards, from now on. Amounts are only ever
     added, so a huge or infinite one leaves no trace once it is out of the window. ``inclusive``
     keeps a row exactly ``window_s`` old. ``seconds`` bounds a block.
     """
@@ -244,9 +244,11 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], us: str, sums: Mapping[str,
     events = valued.select(*safe_keys, F.explode(F.array_compact(F.array(
         here, F.when(adds, later)))).alias("_e")).select(*safe_keys, "_e.*")
     own = Window.partitionBy(*safe_keys, "_block").orderBy("_at")
+    # A frame that ends with the partition is summed anew for every row; backwards it is a running sum.
+    back = Window.partitionBy(*safe_keys, "_block").orderBy(F.desc("_at"))
     ends = {f"_s_{n}": F.coalesce(F.sum(a).over(own.rangeBetween(_FIRST, _HERE)), F.lit(0))
-            + F.coalesce(F.sum(f"{a}_old").over(own.rangeBetween(_HERE, Window.unboundedFollowing)),
-                         F.lit(0)) for n, a in names.items()}
+            + F.coalesce(F.sum(f"{a}_old").over(back.rangeBetween(_FIRST, _HERE)), F.lit(0))
+            for n, a in names.items()}
     summed = events.withColumns(ends).filter("_row IS NOT NULL")
     if blocks > 1:
         across = Window.partitionBy(*safe_keys).orderBy("_block").rangeBetween(-(blocks - 1) * step,

@@ -184,3 +184,13 @@ def test_asof_exact_time_and_before_first(spark):
     got = {r["us"]: r["found"] and r["found"]["value"] for r in ordered.asof(
         probes, samples, ["name"], "us", ["value"], "sample_id").collect()}
     assert got == {99 * S: None, 100 * S: 1.0, 7999 * S: 1.0, 90000 * S: 2.0}
+
+
+def test_no_frame_is_summed_anew_for_every_row(spark):
+    """Frames that end with their partition cost the square of its rows."""
+    from opsloom.operators.rules import pattern_rule
+    log = spark.createDataFrame([(i, "a", i * 1_000_000, str(i)) for i in range(50)],
+                                "sample_id LONG, name STRING, us LONG, line STRING")
+    for hold in (0, 20):
+        out = pattern_rule(log, ["name"], "line", "^[1-5]", 2, 30, duration_s=hold)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
