@@ -24,6 +24,7 @@ from opsloom.streaming.rules import columns, event_time, stream_episodes, stream
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MICROS = 1_000_000
+OUT_ROWS = 1 << 16         # rows that a stateful rule puts into one frame
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None,
@@ -149,20 +150,39 @@ def batches_of(spark: SparkSession, root: str, part: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/{part}").parquet(f"{root}/{part}")
 
 
-def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(frames), ignore_index=True).sort_values(["us", "sample_id"],
-                                                                 ignore_index=True)
+def _ordered(frames: Iterator[pd.DataFrame], value: str, mark: int | None) -> tuple | None:
+    """Times, ids and values of one series in time order, without rows before ``mark``; nothing else is held."""
+    parts = []
+    for f in frames:
+        f = f if mark is None else f[f["us"] >= mark]
+        if len(f):
+            parts.append((f["us"].to_numpy(), f["sample_id"].to_numpy(), f[value].to_numpy()))
+    if not parts:
+        return None
+    us, ids, values = (np.concatenate(part) for part in zip(*parts))
+    del parts
+    order = np.lexsort((ids, us))
+    return us[order], ids[order], values[order]
 
 
-def _stateful(df: DataFrame, by: Sequence[str], fn: Callable, out: str, state: str) -> DataFrame:
-    def on_time(key, frames, state: GroupState):
-        mark = state.getCurrentWatermarkMs() * 1000
-        kept = [f[f["us"] >= mark] for f in frames]
-        if any(len(f) for f in kept):
-            yield from fn(key, iter(kept), state)
+def _stateful(df: DataFrame, by: Sequence[str], value: str, fn: Callable, out: str, state: str) -> DataFrame:
+    """``fn(times, ids, values, state)`` updates the state and gives ``slice -> columns``; it is asked for slices."""
+    marked = bool(event_time(df))
 
-    return df.groupBy(*by).applyInPandasWithState(on_time if event_time(df) else fn, out, state,
-                                                  "append", GroupStateTimeout.NoTimeout)
+    def step(key, frames, state: GroupState):
+        rows = _ordered(frames, value, state.getCurrentWatermarkMs() * 1000 if marked else None)
+        if rows is None:
+            return
+        us, ids, values = rows
+        columns_of = fn(us, ids, values, state)
+        for at in range(0, len(us), OUT_ROWS):
+            part = slice(at, at + OUT_ROWS)
+            frame = pd.DataFrame({"sample_id": ids[part], "us": us[part], **columns_of(part)})
+            for n, (name, one) in enumerate(zip(by, key)):
+                frame.insert(n, name, one)
+            yield frame
+
+    return df.groupBy(*by).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_pattern(log: DataFrame, by: Sequence[str], matched: Column, occurrences: int,
@@ -171,18 +191,19 @@ def stream_pattern(log: DataFrame, by: Sequence[str], matched: Column, occurrenc
     rows = log.select(*by, *event_time(log), "sample_id", "us", F.coalesce(matched, F.lit(False)).alias("matched"))
     width = window_s * MICROS
 
-    def step(key, frames, state: GroupState):
-        pdf = _ordered(frames)
-        us, hit = pdf["us"].to_numpy(), pdf["matched"].to_numpy()
+    def step(us, ids, hit, state: GroupState):
         old = np.array(state.get[0], dtype="int64") if state.exists else np.array([], dtype="int64")
         times = np.concatenate([old, us[hit]])
-        count = (np.searchsorted(times, us, side="right")
-                 - np.searchsorted(times, us - width, side="left"))
         state.update(([int(t) for t in times[times >= us[-1] - width]],))
-        yield pdf[[*by, "sample_id", "us"]].assign(
-            matches=count, fires=hit & (count >= occurrences))
 
-    return _stateful(rows, by, step, f"{columns(rows, by)}, sample_id long, us long, "
+        def counted(part):
+            count = (np.searchsorted(times, us[part], side="right")
+                     - np.searchsorted(times, us[part] - width, side="left"))
+            return {"matches": count, "fires": hit[part] & (count >= occurrences)}
+
+        return counted
+
+    return _stateful(rows, by, "matched", step, f"{columns(rows, by)}, sample_id long, us long, "
                      "matches long, fires boolean", "times array<long>")
 
 
@@ -192,23 +213,23 @@ def stream_rate(samples: DataFrame, by: Sequence[str], threshold: float,
     rows = samples.select(*by, *event_time(samples), "sample_id", "us", "value")
     width = window_s * MICROS
 
-    def step(key, frames, state: GroupState):
-        pdf = _ordered(frames)
+    def step(us, ids, value, state: GroupState):
         old_t, old_v = state.get if state.exists else ([], [])
-        times = np.concatenate([np.array(old_t, dtype="int64"), pdf["us"].to_numpy()])
-        values = np.concatenate([np.array(old_v, dtype="float64"), pdf["value"].to_numpy()])
-        us = pdf["us"].to_numpy()
-        first = np.searchsorted(times, us - width, side="left")
-        seconds = (us - times[first]) / MICROS
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rate = np.where(seconds > 0, (pdf["value"].to_numpy() - values[first]) / seconds, np.nan)
+        times = np.concatenate([np.array(old_t, dtype="int64"), us])
+        values = np.concatenate([np.array(old_v, dtype="float64"), value])
         keep = times >= us[-1] - width
         state.update(([int(t) for t in times[keep]], [float(v) for v in values[keep]]))
-        yield pdf[[*by, "sample_id", "us", "value"]].assign(
-            rate=pd.Series(rate).astype(object).where(seconds > 0, None),
-            fires=np.nan_to_num(np.abs(rate)) > threshold)
 
-    return _stateful(rows, by, step, f"{columns(rows, by)}, sample_id long, us long, "
+        def rated(part):
+            first = np.searchsorted(times, us[part] - width, side="left")
+            seconds = (us[part] - times[first]) / MICROS
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rate = np.where(seconds > 0, (value[part] - values[first]) / seconds, np.nan)
+            return {"value": value[part], "rate": rate, "fires": np.nan_to_num(np.abs(rate)) > threshold}
+
+        return rated
+
+    return _stateful(rows, by, "value", step, f"{columns(rows, by)}, sample_id long, us long, "
                      "value double, rate double, fires boolean",
                      "times array<long>, values array<double>")
 

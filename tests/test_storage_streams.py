@@ -3,6 +3,8 @@
 import json
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,22 @@ def test_late_rows_are_kept_and_counted(spark):
                     (1, 7): "no name", (2, 8): "late", (2, 9): None}
     counts = {(r.batch_id, r.reason): (r.n, r.first_us) for r in jobs.batches_of(spark, root, "counts").collect()}
     assert counts[2, "late"] == (1, 4 * day) and counts[1, None] == (2, 3 * day) and sum(n for n, _ in counts.values()) == 9
+
+
+def test_series_of_a_batch_are_held_as_numbers():
+    """Of the rows of a series in one batch only three numbers each are held, not frames with their names."""
+    import tracemalloc
+
+    from opsloom.streaming.jobs import _ordered
+
+    def frames():
+        for at in range(0, 200_000, 10_000):
+            us = np.arange(at + 10_000, at, -1)
+            yield pd.DataFrame({"name": [f"series {i}" for i in range(10_000)], "sample_id": us, "us": us, "value": us / 2})
+
+    tracemalloc.start()
+    us, ids, values = _ordered(frames(), "value", 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert us[0] == ids[0] == 11 and len(us) == 199_990 and (np.diff(us) > 0).all() and values[-1] == 100_000
+    assert peak < 200_000 * 100
