@@ -41,6 +41,7 @@ KINDS = 4        # kinds of toxic rows, fewer if there are few such rows
 KIND_ROWS = 20   # toxic rows for each kind
 LEAST_ROWS = 3   # sampled rows of a category that must have a feature for it to count
 STANDS_OUT = 4.0 # standard deviations by which a feature must be more frequent in them than in all rows
+COUNTED_ROWS = 512
 L1 = 6.0         # a feature must pull this hard to get a weight: those of a few rows by chance do not
 CUT = 0.5 + 1e-9  # least probability that may count as toxic
 PRECISION = 0.99  # share of truly toxic rows among those called toxic, on out-of-fold predictions
@@ -106,7 +107,10 @@ def sampled(sample: DataFrame, target: str, bits: int) -> tuple[np.ndarray, list
 def standing_out(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Which features are so much more frequent in rows of the category (1) than in all that it can't be chance."""
     def counts(chosen: np.ndarray) -> np.ndarray:
-        return np.bincount(np.concatenate([rows[r] for r in chosen] or [np.zeros(0, int)]), minlength=size)
+        total = np.zeros(size, int)
+        for at in range(0, len(chosen), COUNTED_ROWS):      # never the features of all rows in one array
+            total += np.bincount(np.concatenate([rows[r] for r in chosen[at:at + COUNTED_ROWS]]), minlength=size)
+        return total
 
     own, every = counts(np.flatnonzero(y == 1)), counts(np.arange(len(rows)))
     rate = float((y == 1).mean()) if len(y) else 0.0

@@ -98,3 +98,16 @@ def test_kinds_follow_what_stands_out():
     kind = kinds_of(rows, np.array(toxic), 256, 2)
     assert set(kind[0::6]) != set(kind[1::6]) and len(set(kind[0::6])) == len(set(kind[1::6])) == 1
     assert set(kind[2::6]) == {-1}
+
+
+def test_features_of_all_rows_are_never_one_array():
+    import tracemalloc
+
+    from opsloom.llm.toxicity import standing_out
+    rng = np.random.default_rng(1)
+    rows, y = [rng.integers(0, 4096, 400).astype(np.int32) for _ in range(8000)], np.arange(8000) % 2
+    tracemalloc.start()
+    found = standing_out(rows, y, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (4096,) and peak < 8000 * 400 * 4        # all features at once take this much, and twice as 64 bits
