@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom.operators.graph import components
-from opsloom.operators.similar import related_classes
+from opsloom.functions import text
+from opsloom.operators import similar
+from opsloom.operators.similar import related, related_classes
 from opsloom.operators.vectors import related_vectors
 
 WORDS = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ar", "el", "in", "os", "un")]
@@ -80,6 +82,64 @@ def test_a_large_group_costs_its_members(spark):
     assert links.count() <= 10 * 2000
 
 
+def near_copies(draw, m):
+    base = text_of(draw, 60).split()
+    for i in range(m):
+        yield " ".join([*base[:i % 50], f"q{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}", *base[i % 50 + 1:]])
+
+
+@pytest.mark.parametrize("size", [7, 256])
+def test_edges_are_those_of_all_pairs_whatever_the_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(similar, "BLOCK_SETS", size)
+    monkeypatch.setattr(similar, "BLOCK_COLUMNS", 50)
+    draw = random.Random(size)
+    texts = list(enumerate([*near_copies(draw, 90), *near_copies(draw, 30), *(text_of(draw) for _ in range(30))]))
+    texts += [(200, None), (201, ""), (202, " "), (203, "bar"), (204, "bar"), (205, "gar gar gar gar gar"), (206, texts[3][1])]
+    got = related(spark.createDataFrame(texts, "file_id LONG, text STRING").repartition(5), 0.6).collect()
+    sets = sets_of(texts)
+    kept = [i for i, _ in texts if i not in (200, 204, 206)]
+    want = {(i, j): s for x, i in enumerate(kept) for j in kept[x + 1:]
+            if (s := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.6} | {(203, 204): 1.0, (3, 206): 1.0}
+    want.pop((201, 202), None)
+    found = {(r.src, r.dst): r.score for r in got}
+    found.pop((201, 202), None)
+    assert len(got) - len(found) <= 1 and found.keys() == want.keys() and len(want) > 4000
+    assert all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_blocks_meet_instead_of_files(spark):
+    texts = list(enumerate(near_copies(random.Random(5), 600)))
+    _, hashed = similar.folded(spark.createDataFrame(texts, "file_id LONG, text STRING"), "file_id", "text")
+    rare = similar.rare_items(hashed, 0.6)
+    meets = similar.meeting_blocks(rare.join(similar.blocks_of(rare), "id"), 0.6)
+    assert 0 < meets.count() <= 40                            # 179,700 pairs of files
+
+
+def test_shingle_sets_are_those_of_the_expressions(spark, monkeypatch):
+    monkeypatch.setattr(similar, "RUNS", 3)
+    texts = [(1, "A b c d e f a b c"), (2, "Été à l'été, ßtraße"), (3, ""), (4, "one two"), (5, None), (6, "x y z x y z x y z")]
+    df = spark.createDataFrame(texts, "file_id LONG, text STRING")
+    _, hashed = similar.folded(df, "file_id", "text")
+    got = {r.id: r.set and sorted(r.set) for r in hashed.collect()}
+    want = df.select("file_id", text.words("text").alias("w")).select(
+        "file_id", F.transform(text.shingles(F.col("w")), lambda s: text.hash_number(s) % similar.PRIME).alias("set"))
+    assert got == {r.file_id: None if r.file_id == 5 else sorted({*r.set}) for r in want.collect()}
+
+
+def test_shared_items_by_ranges_and_hot(spark, monkeypatch):
+    monkeypatch.setattr(similar, "RANGE_ITEMS", 50)
+    draw = random.Random(8)
+    sets = [(f"k{i}", sorted({1, *draw.sample(range(2, 400), 12)})) for i in range(60)] + [("none", None)]
+    rows = similar.shared_items(spark.createDataFrame(sets, "id STRING, set ARRAY<LONG>")).collect()
+    df = {}
+    for _, s in sets[:-1]:
+        for x in s:
+            df[x] = df.get(x, 0) + 1
+    assert sorted((r.id, r.n, r.df, r.item) for r in rows) == sorted(
+        (i, len(s), df[x], x) for i, s in sets[:-1] for x in s if df[x] > 1)
+    assert similar.shared_items(spark.createDataFrame([], "id LONG, set ARRAY<LONG>")).collect() == []
+
+
 def test_components(spark):
     n = 300
     chain = [(i, i + 1) for i in range(n) if i % 100 != 99] + [(5, 5), (7, 6)]
