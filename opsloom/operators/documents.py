@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from opsloom.operators.summary import pool_vectors
 from opsloom.session import cut
 
 CHUNK = 8000
+KNOWN_TERMS = 50_000   # most frequent terms that each task knows, none longer than KNOWN_BYTES
+KNOWN_BYTES = 64
 FIRST_SIGN = 48   # cells of term vectors are written as the ASCII signs from here on
 
 # Leading bytes (hex) of known formats.
@@ -167,21 +172,76 @@ def tags(docs: DataFrame, k: int = 10, key: str = "file_id", body: str = "text",
          min_length: int = 3) -> DataFrame:
     """The ``k`` terms with the highest tf-idf per document.
 
-    Term counts combine before the shuffle; a frequent term is one hot join key on a side with one
-    row per term, which AQE splits. The corpus size is a scalar subquery.
+    A text's terms are counted where it is read and written as one row. Only terms that can be among the best of
+    their document travel to their document frequency: the most frequent ones are known to each task, the others are
+    at most as frequent as the last of these, which bounds every score from both sides. Rows of one key count as one
+    document; only keys with several rows are grouped.
     """
-    terms = docs.select(key, F.explode(F.filter(
-        text.words(body), lambda w: F.length(w) >= min_length)).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    score = F.round(F.col("tf") * F.log((total + 1) / (F.col("df") + 1)), 9)
+    kind = dict(docs.dtypes)[key]
+    long_enough = F.filter(text.words(body), lambda w: F.length(w) >= min_length)
+    counted = cut(docs.select(key, F.array_join(long_enough, " ").cast("binary").alias("words")).mapInArrow(
+        count_terms, f"{key} {kind}, terms array<string>, tf array<int>"), "terms")
+    several = cut(counted.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        F.col(key).alias("_k")), "several")
+    merged = None
+    if not several.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_k"))
+        merged = cut(counted.join(several, same, "left_semi").select(key, F.inline(F.arrays_zip("terms", "tf"))).groupBy(
+            key, F.col("terms").alias("term")).agg(F.sum("tf").cast("int").alias("tf")), "merged")
+        counted = counted.join(several, same, "left_anti")
+    each = counted.select(F.explode("terms").alias("term"))
+    if merged is not None:
+        each = each.unionByName(merged.select("term"))
+    df = cut(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    total = docs.count()
+    known = df.filter(F.octet_length("term") <= KNOWN_BYTES).orderBy(F.desc("df"), "term").limit(KNOWN_TERMS).toArrow()
+    tf = counted.mapInArrow(possible_tags(docs.sparkSession.sparkContext.broadcast(known), total, k),
+                            f"{key} {kind}, term string, tf int")
+    if merged is not None:
+        tf = tf.unionByName(merged)
+    score = F.round(F.col("tf") * F.log(F.lit(total + 1).cast("long") / (F.col("df") + 1)), 9)
     best = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return (tf.join(df, "term").withColumn("score", score)
             .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select(key, "term", "score", "rank"))
 
 
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``mapInArrow``: the distinct terms of a key's words and how often each stands there."""
+    for b in batches:
+        counts = [Counter(words.split(b" ")) if words else {} for words in b["words"].to_pylist()]
+        terms = pa.array([[*c] for c in counts], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), terms, pa.array([[*c.values()] for c in counts], pa.list_(pa.int32()))],
+                                         names=[b.schema.names[0], "terms", "tf"])
+
+
+def possible_tags(known, total: int, k: int):
+    """For ``mapInArrow`` over ``key, terms, tf``: the terms that may be among the best ``k`` of their key.
+
+    ``known`` is a broadcast table of the most frequent terms. A term that is not in it is in one document at least
+    and in no more than the last one there; a term too long for it may be in all.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, df = known.value["term"].combine_chunks(), known.value["df"].to_numpy()
+        for b in batches:
+            terms, tf = b["terms"].flatten(), b["tf"].flatten().to_numpy()
+            at = pc.fill_null(pc.index_in(terms, value_set=names), -1).to_numpy()
+            fewest, most = np.ones(len(at)), np.full(len(at), float(df[-1] if len(df) else total))
+            most[pc.greater(pc.binary_length(terms), KNOWN_BYTES).to_numpy(zero_copy_only=False)] = total
+            fewest[at >= 0] = most[at >= 0] = df[at[at >= 0]]
+            low, high = (tf * np.log((total + 1) / (n + 1)) for n in (most, fewest))
+            lengths = b["terms"].value_lengths().to_numpy()
+            ends = np.cumsum(lengths)
+            # Rounding of the scores is far below the margin.
+            cuts = np.array([np.partition(low[e - n:e], n - k)[n - k] - 1e-6 if n > k else -np.inf
+                             for e, n in zip(ends, lengths)])
+            kept = pa.array(np.flatnonzero(high >= np.repeat(cuts, lengths)))
+            rows = pa.array(np.repeat(np.arange(b.num_rows), lengths)).take(kept)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), terms.take(kept), pa.array(tf).take(kept)],
+                                             names=[b.schema.names[0], "term", "tf"])
+    return run
+
+
 def categorise(docs: DataFrame, lexicon: Mapping[str, list[str]], key: str = "file_id",
                body: str = "text") -> DataFrame:
     """Category with most keyword hits and its share of all hits; no hit gives (NULL, 0).

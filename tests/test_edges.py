@@ -1,7 +1,10 @@
 """Hand-made edge frames."""
 
 import datetime as dt
+import math
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +251,38 @@ def test_phash_pairs_brute_force(spark, d):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("known", [3, 50_000])
+def test_tags_are_the_best_of_all_terms(spark, monkeypatch, known):
+    monkeypatch.setattr(documents, "KNOWN_TERMS", known)
+    draw = random.Random(known)
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "aeiou" for c in "xyz"]
+    texts = [(i, " ".join(draw.choices(words, range(len(words), 0, -1), k=draw.randrange(60)))) for i in range(40)]
+    texts += [(41, None), (42, ""), (43, "ab c"), (None, "axe aax"), (None, "aax oxo"), (3, "aax " + "q" * 90), (44, "É éTÉ été")]
+    df = spark.createDataFrame(texts, "file_id LONG, text STRING").repartition(4)
+    got = sorted(((r.file_id, r["rank"], r.term, r.score) for r in documents.tags(df, 4).collect()), key=str)
+    counts = {}
+    for i, t in texts:
+        for w in (t or "").lower().split():
+            if len(w) >= 3:
+                counts.setdefault(i, {}).setdefault(w, 0)
+                counts[i][w] += 1
+    want = []
+    for i, c in counts.items():
+        scores = sorted((-round(n * math.log((len(texts) + 1) / (sum(w in o for o in counts.values()) + 1)), 9), w)
+                        for w, n in c.items())
+        want += [(i, rank, w, -s) for rank, (s, w) in enumerate(scores[:4], 1)]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want, key=str)]
+    assert all(abs(x[3] - y[3]) < 1e-8 for x, y in zip(got, sorted(want, key=str)))
+
+
+def test_only_possible_tags_travel():
+    class Known:
+        value = pa.table({"term": ["the", "and"], "df": [900, 500]})
+    row = pa.RecordBatch.from_pydict({"file_id": [1], "terms": [["the", "and", "new", "one", "q" * 90]], "tf": [[3, 2, 5, 1, 1]]})
+    out = pa.Table.from_batches(documents.possible_tags(Known, 1000, 1)([row]))
+    assert out["term"].to_pylist() == ["new", "one", "q" * 90]
+
+
 def test_related_links_copies_and_near_copies(spark):
     base = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
     rows = [(0, base), (1, base), (2, base + " extra"), (3, "something else entirely here now")]
