@@ -46,7 +46,7 @@ def rare_items(sets: DataFrame, threshold: float) -> DataFrame:
     the same in near copies.
     """
     ordered = (shared_items(sets).groupBy("id", "n")
-               .agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("list"), F.min("item").alias("lead")))
+               .agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("list"), F.min("item").alias("lead")))
     return (ordered.select("id", "n", F.size("list").alias("m"), "lead", F.posexplode("list"))
             .select(F.col("col.item").alias("item"), "id", "n", (F.col("m") - F.col("pos")).alias("left"), "lead")
             .filter(F.col("left") + EPSILON >= threshold * F.col("n")))
