@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import text
 from opsloom.operators.graph import components
-from opsloom.operators.heavy import heavy_keys, split_join
+from opsloom.operators.heavy import SHARE, heavy_keys, split_join
 from opsloom.session import cut
 
 EPSILON = 1e-9   # bounds are products of a decimal threshold and must not fall short by rounding
@@ -60,8 +60,10 @@ def shared_items(sets: DataFrame) -> DataFrame:
     """
     small = sets.select("id", F.col("set").cast("array<int>").alias("set")).filter("set IS NOT NULL")
     kind = dict(sets.dtypes)["id"]
-    total = small.agg(F.sum(F.size("set"))).first()[0] or 0
-    hot = [k for k, _ in heavy_keys(small.select(F.explode("set").alias("item")), "item")]
+    size = small.agg(F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("items"), F.count(F.lit(1)).alias("sets")).first()
+    total, hot = size["items"], []
+    if size["sets"] >= SHARE * total:   # an item stands once in a set, so in large sets none has such a share
+        hot = [k for k, _ in heavy_keys(small.select(F.explode("set").alias("item")), "item")]
     dealt = small.mapInArrow(into_ranges(max(1, -(-total // RANGE_ITEMS)), hot),
                              f"part int, id array<{kind}>, n array<int>, item array<int>")
     rows = dealt.groupBy("part").applyInArrow(met_twice, f"id {kind}, n int, df long, item int")

@@ -140,6 +140,15 @@ def test_shared_items_by_ranges_and_hot(spark, monkeypatch):
     assert similar.shared_items(spark.createDataFrame([], "id LONG, set ARRAY<LONG>")).collect() == []
 
 
+def test_hot_items_are_looked_for_only_where_sets_are_small(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(similar, "heavy_keys", lambda *a: asked.append(a) or [(1, 0.1)])
+    for n in (10, 400):
+        sets = spark.createDataFrame([(i, [1, *range(i * n + 2, i * n + n + 1)]) for i in range(4)], "id LONG, set ARRAY<LONG>")
+        assert {(r.id, r.df, r.item) for r in similar.shared_items(sets).collect()} == {(i, 4, 1) for i in range(4)}
+    assert len(asked) == 1
+
+
 def test_components(spark):
     n = 300
     chain = [(i, i + 1) for i in range(n) if i % 100 != 99] + [(5, 5), (7, 6)]
