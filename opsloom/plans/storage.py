@@ -50,9 +50,8 @@ def s03(spark, d):
     path = fresh_dir(spark, "tree")
     pages = model.table(spark, d, "pages")
     suffix = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
-    (pages.select("page_id", suffix.alias("suffix"), F.col("html").alias("value"))
-     # Tasks put their files in place themselves; else the driver moves them one by one at the end.
-     .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id", "suffix").text(path))
+    src_files.write_texts(pages.select("page_id", suffix.alias("suffix"), F.col("html").alias("value")),
+                          path, ["page_id", "suffix"])
     found = src_files.scan_files(spark, path, "*.txt")
     return found.select(
         F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id"),
